@@ -166,7 +166,7 @@ def word_count(df: DataFrame, text_col: str) -> DataFrame:
     """Occurrences per lower-cased word, most first."""
     words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
     return (
-        df.select(F.lower(F.explode(words)).alias("word"))
-        .groupBy("word").agg(F.count("*").alias("n"))
+        df.select(F.explode(words).alias("word"))
+        .groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
         .orderBy(*rank_first("n", "word"))
     )

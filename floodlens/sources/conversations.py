@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodlens import schemas
@@ -11,11 +11,11 @@ from floodlens import schemas
 def _conversations(rows: DataFrame) -> DataFrame:
     stamps = F.col("timestamps")
     rest = F.slice(stamps, 2, F.greatest(F.size(stamps) - 1, F.lit(0)))
-    first: Column = F.get(stamps, F.lit(0))
-    return rows.select(
+    # A name of its own: inside a lambda, an output alias would win over the input column.
+    return rows.withColumn("_first", F.get(stamps, F.lit(0))).select(
         F.col("ts").cast("long").alias("ts"), "src", "sport", "dst", "dport", "end_state",
         F.transform(stamps, lambda t: t.cast("long")).alias("timestamps"),
-        F.transform(rest, lambda t: t - first).alias("intervals"),
+        F.transform(rest, lambda t: t - F.col("_first")).alias("intervals"),
     )
 
 

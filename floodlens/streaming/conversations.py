@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -48,7 +50,6 @@ class ConversationTracker(StatefulProcessor):
         self.seconds = handle.getMapState("seconds", "ts bigint", _SECOND)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
         for batch in rows:
             merged = batch.groupby("ts").agg(
                 {"n": "sum", "starter": "min", "syn": "max", "fin": "max", "rst": "max"})
@@ -59,44 +60,41 @@ class ConversationTracker(StatefulProcessor):
                     n, starter = n + old[0], min(starter, old[1])
                     syn, fin, rst = max(syn, old[2]), max(fin, old[3]), max(rst, old[4])
                 self.seconds.updateValue((int(ts),), (n, starter, syn, fin, rst))
-                latest = int(ts) if latest is None else max(latest, int(ts))
-        if latest is not None:
-            self.handle.registerTimer((latest + self.gap_s) * 1000 + 1)
+        for conversation in self._held():
+            self.handle.registerTimer(self._over_at(conversation) * 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark_s = timerValues.getCurrentWatermarkInMs() / 1000
-        held = sorted((k[0], *v) for k, v in self.seconds.iterator())
         rows = []
-        stretch: list[tuple] = []
-        for second in [*held, None]:
-            if stretch and (second is None or second[0] - stretch[-1][0] > self.gap_s):
-                if stretch[-1][0] + self.gap_s < watermark_s:
-                    rows.extend(self._conversations(key, stretch))
-                    for done in stretch:
-                        self.seconds.removeKey((done[0],))
-                stretch = []
-            stretch.append(second)
+        for conversation in self._held():
+            if self._over_at(conversation) < watermark_s:
+                rows.extend(self._rows(key, conversation))
+                for second in conversation:
+                    self.seconds.removeKey((second[0],))
         yield pd.DataFrame(rows)
 
-    def close(self) -> None:
-        pass
+    def _over_at(self, conversation: list[tuple]) -> int:
+        return conversation[-1][0] + self.gap_s
 
-    def _conversations(self, key, stretch: list[tuple]) -> Iterator[dict]:
-        """Cut a stretch without silence where an ended connection is opened anew."""
-        current: list[tuple] = []
+    def _held(self) -> list[list[tuple]]:
+        """The held seconds, cut at silences and where an ended connection is opened anew."""
+        found: list[list[tuple]] = []
         ended = False
-        for second in stretch:
-            _, _, _, syn, fin, rst = second
-            if syn and ended:
-                yield from self._rows(key, current)
-                current = []
+        for second in sorted((k[0], *v) for k, v in self.seconds.iterator()):
+            ts, _, _, syn, fin, rst = second
+            silent = not found or ts - found[-1][-1][0] > self.gap_s
+            if silent or (syn and ended):
+                found.append([])
             if fin or rst:
                 ended = True
-            elif syn:
+            elif syn or silent:
                 ended = False
-            current.append(second)
-        yield from self._rows(key, current)
+            found[-1].append(second)
+        return found
+
+    def close(self) -> None:
+        pass
 
     def _rows(self, key, seconds: list[tuple]) -> Iterator[dict]:
         start = seconds[0][0]
@@ -131,6 +129,8 @@ def stream_conversations(packet_stream: DataFrame, watermark: str = "10 minutes"
     spark = packet_stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     ship_package(spark)
+    # The driver-side planning worker does not see shipped packages: send the code itself.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     schema = (
         "a_ip string, a_port int, b_ip string, b_port int, ts bigint, n bigint, "
         "starter int, syn int, fin int, rst int"
