@@ -111,7 +111,9 @@ def geo_distance(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str,
 
 
 def asn_enrich(ips: DataFrame, prefix_dim: DataFrame, ip_col: str = "ip_src") -> DataFrame:
-    """Network table of the addresses by longest matching prefix; `NA` where none matches.
+    """Network table of the addresses by longest matching prefix.
+
+    Where none matches, the country is null and the other columns are `NA`.
 
     `prefix_dim` has asn, bgp_prefix, country, as_info. An address meets a prefix on (prefix
     length, masked number): an equality join with one candidate per prefix length, 33 at most.
@@ -136,9 +138,10 @@ def asn_enrich(ips: DataFrame, prefix_dim: DataFrame, ip_col: str = "ip_src") ->
         .groupBy("ip").agg(F.max_by(F.struct(*columns), longest).alias("_found"))
     )
     missing = F.lit("NA")
+
+    def value(column: str) -> Column:
+        return F.when(F.col("_found").isNull(), missing).otherwise(F.col("_found")[column])
+
     return distinct.join(found, "ip", "left").select(
-        F.when(F.col("_found").isNull(), missing).otherwise(F.col("_found")["asn"]).alias("asn"),
-        "ip",
-        *[F.when(F.col("_found").isNull(), missing).otherwise(F.col("_found")[c]).alias(c)
-          for c in columns[1:]],
-    )
+        value("asn").alias("asn"), "ip", value("bgp_prefix").alias("bgp_prefix"),
+        F.col("_found")["country"].alias("country"), value("as_info").alias("as_info"))

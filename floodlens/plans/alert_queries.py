@@ -209,7 +209,7 @@ LOOKUPS = [
           with_views("""
               SELECT CASE WHEN bgp_prefix IS NULL THEN 'NA' ELSE asn END AS asn, ip,
                      coalesce(bgp_prefix, 'NA') AS bgp_prefix,
-                     CASE WHEN bgp_prefix IS NULL THEN 'NA' ELSE country END AS country,
+                     country,
                      CASE WHEN bgp_prefix IS NULL THEN 'NA' ELSE as_info END AS as_info
               FROM (SELECT DISTINCT ip_src AS ip FROM packets) LEFT JOIN prefix_dim
                   ON starts_with(ip, regexp_replace(bgp_prefix, '0/24$', ''))""",

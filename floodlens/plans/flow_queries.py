@@ -44,7 +44,7 @@ RATES = f"""
 # The prefixes looked up for the flow sources.
 _ASN = """(SELECT CASE WHEN bgp_prefix IS NULL THEN 'NA' ELSE asn END AS asn, ip,
         coalesce(bgp_prefix, 'NA') AS bgp_prefix,
-        CASE WHEN bgp_prefix IS NULL THEN 'NA' ELSE country END AS country,
+        country,
         CASE WHEN bgp_prefix IS NULL THEN 'NA' ELSE as_info END AS as_info
     FROM (SELECT DISTINCT ip_src AS ip FROM flows) LEFT JOIN prefix_dim
         ON split_part(bgp_prefix, '.', 2) = split_part(ip, '.', 2)

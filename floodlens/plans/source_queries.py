@@ -215,7 +215,7 @@ def _whois_clean(t: Tables) -> DataFrame:
 
 
 _WHOIS_SQL = with_views("""
-    SELECT asn, '192.0.2.1' AS ip, bgp_prefix, coalesce(country, '') AS country,
+    SELECT asn, '192.0.2.1' AS ip, bgp_prefix, country,
            concat(replace(as_info, ' ', ''), '-Inc.-X') AS as_info FROM prefix_dim""",
                         "prefix_dim")
 

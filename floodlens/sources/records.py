@@ -105,19 +105,16 @@ def asn_dim_scan(spark: SparkSession, path: str) -> DataFrame:
 def whois_clean(lines: DataFrame) -> DataFrame:
     """Pipe-separated registry response lines as the network lookup table.
 
-    Blanks are dropped everywhere, commas of the description become dashes. Response banners and
-    other lines without five fields are left out.
+    Blanks are dropped everywhere, commas of the description become dashes, empty fields are
+    null. Response banners and other lines without five fields are left out.
     """
     parts = F.split(F.regexp_replace("value", " ", ""), r"\|", -1)
+    fields = [F.get("p", F.lit(i)) for i in range(5)]
+    fields[4] = F.translate(fields[4], ",", "-")
     return (
         lines.select(parts.alias("p")).filter(F.size("p") >= 5)
-        .select(
-            F.get("p", F.lit(0)).alias("asn"),
-            F.get("p", F.lit(1)).alias("ip"),
-            F.get("p", F.lit(2)).alias("bgp_prefix"),
-            F.get("p", F.lit(3)).alias("country"),
-            F.translate(F.get("p", F.lit(4)), ",", "-").alias("as_info"),
-        )
+        .select(*[F.nullif(field, F.lit("")).alias(name)
+                  for field, name in zip(fields, schemas.ASN_DIM.names)])
     )
 
 
