@@ -176,10 +176,17 @@ def read_capture(path: str) -> Iterator[pa.RecordBatch]:
             stream = bz2.BZ2File(raw)
 
         def take(size: int) -> bytes:
+            if stream is raw:
+                return bytes(raw.read(size))
+            # Piecewise, so that a torn compressed file still gives what is before the tear.
+            parts, missing = [], size
             try:
-                return bytes(stream.read(size))
+                while missing and (part := stream.read1(missing)):
+                    parts.append(part)
+                    missing -= len(part)
             except EOFError:
-                return b""
+                pass
+            return b"".join(parts)
 
         head = take(FILE_HEADER)
         order = next((o for o in "<>" if len(head) == FILE_HEADER
