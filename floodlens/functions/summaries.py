@@ -24,9 +24,9 @@ def value_counts(df: DataFrame, keys: Sequence[str], values: dict[str, Column])
         F.struct(F.lit(kind).alias("kind"), column.alias("value"))
         for kind, column in values.items()
     ])
-    present = F.filter(entries, lambda e: e["value"].isNotNull())
     return (
-        df.select(*keys, F.inline(present))
+        df.select(*keys, F.inline(entries))
+        .filter(F.col("value").isNotNull())
         .groupBy(*keys, "kind", "value")
         .agg(F.count("*").alias("n"))
     )

@@ -118,7 +118,8 @@ def port_counts(packets: DataFrame, side: str, tcp_gate: str | None = None) -> D
     )
     counted = F.col("ts").isNotNull()
     return (
-        packets.select("ts", F.inline(F.filter(entries, lambda e: e["keep"])))
+        packets.select("ts", F.inline(entries))
+        .filter("keep")
         .groupBy("port")
         .agg(F.count_if((F.col("kind") == "udp") & counted).alias("udp_packets"),
              F.count_if((F.col("kind") == "tcp") & counted).alias("tcp_packets"))

@@ -116,7 +116,7 @@ def asn_enrich(ips: DataFrame, prefix_dim: DataFrame, ip_col: str = "ip_src") ->
     Where none matches, the country is null and the other columns are `NA`.
 
     `prefix_dim` has asn, bgp_prefix, country, as_info. An address meets a prefix on (prefix
-    length, masked number): an equality join with one candidate per prefix length, 33 at most.
+    length, masked number): an equality join with one candidate per length in use, 33 at most.
     """
     base, length = prefix_bounds("bgp_prefix")
     prefixes = (
@@ -126,9 +126,10 @@ def asn_enrich(ips: DataFrame, prefix_dim: DataFrame, ip_col: str = "ip_src") ->
         .withColumn("_network", F.expr("shiftright(_base, 32 - _length)"))
     )
     distinct = ips.select(F.col(ip_col).alias("ip")).distinct()
+    in_use = prefixes.agg(F.collect_set("_length")).scalar()
     candidates = (
         distinct.withColumn("_ip", ipv4_to_long("ip"))
-        .select("ip", "_ip", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("_length"))
+        .select("ip", "_ip", F.explode(in_use).alias("_length"))
         .withColumn("_network", F.expr("shiftright(_ip, 32 - _length)"))
     )
     columns = ["asn", "bgp_prefix", "country", "as_info"]

@@ -26,6 +26,7 @@ SERVICES = {
     "https": "tcp:443",
 }
 DENSE_UP_TO = 2
+PIECE_BYTES = 16 * 1024
 _CHUNK_BYTES = 16 * 1024 * 1024
 
 
@@ -107,6 +108,18 @@ def _counter(n: int, groups: list[str]) -> Callable[[Iterable[pa.RecordBatch]],
     return count
 
 
+def _pieces(df: DataFrame, n: int) -> DataFrame:
+    """Long payloads cut into pieces, so that an Arrow batch has a bounded size.
+
+    A piece reaches n bytes into the next one: its starts are exactly its own bytes.
+    """
+    starts = F.greatest(F.octet_length("payload") - n, F.lit(1))
+    cut = df.select("*", F.explode(F.sequence(
+        F.lit(0), F.floor((starts - 1) / PIECE_BYTES).cast("int"))).alias("_piece"))
+    piece = F.substring("payload", F.col("_piece") * PIECE_BYTES + 1, F.lit(PIECE_BYTES + n))
+    return cut.withColumn("payload", piece).drop("_piece")
+
+
 def _ngram_counts(df: DataFrame, payload_col: str, n: int, groups: dict[str, str]) -> DataFrame:
     if not 1 <= n <= 7:
         raise ValueError("n must be between 1 and 7")
@@ -119,7 +132,8 @@ def _ngram_counts(df: DataFrame, payload_col: str, n: int, groups: dict[str, str
         for i in range(len(names)):
             anywhere = anywhere | F.col(f"member_{i}")
         wanted = wanted.filter(anywhere)
-    partial = wanted.mapInArrow(_counter(n, names), "group string, ngram bigint, count bigint")
+    partial = _pieces(wanted, n).mapInArrow(
+        _counter(n, names), "group string, ngram bigint, count bigint")
     return partial.groupBy("group", "ngram").agg(F.sum("count").alias("count"))
 
 

@@ -13,7 +13,8 @@ from floodlens.session import build_session, ship_package  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[8]", 8,
-        **{"spark.ui.enabled": "false", "spark.driver.memory": "6g"})
+        **{"spark.ui.enabled": "false", "spark.driver.memory": "6g",
+           "spark.sql.maxMetadataStringLength": "2000"})
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
     yield session

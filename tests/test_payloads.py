@@ -14,7 +14,8 @@ SCHEMA = ("payload binary, tcp_sport int, tcp_dport int, udp_sport int, udp_dpor
 
 def _payloads():
     random.seed(5)
-    sizes = [0, 1, 2, 3, 4, 5, 700, 3000] * 4
+    sizes = [0, 1, 2, 3, 4, 5, 700, 3000] * 4 + [
+        ngrams.PIECE_BYTES + d for d in (-1, 0, 1, 2, 3, 4, 5, 6, ngrams.PIECE_BYTES, 40000)]
     ports = [(22, 9, None, None), (9, 80, None, None), (None, None, 53, 9), (22, 443, None, None),
              (None, None, None, None)]
     data = [(bytearray(random.choices(range(256), k=s)), *random.choice(ports)) for s in sizes]
