@@ -93,11 +93,18 @@ def _streamed(t: Tables) -> DataFrame:
     events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
     out = shared_folder(t.spark, "stream-conversations")
     stream = stream_conversations(t.sessions_of(events), f"{DELAY_HOURS} hours", GAP)
-    (
-        stream.writeStream.format("parquet").option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True).start().awaitTermination()
-    )
+    # The state keeps the number of partitions it is started with: one per core.
+    partitions = t.spark.conf.get("spark.sql.shuffle.partitions")
+    t.spark.conf.set("spark.sql.shuffle.partitions", t.spark.sparkContext.defaultParallelism)
+    try:
+        query = (
+            stream.writeStream.format("parquet").option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        t.spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    query.awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 

@@ -1,8 +1,9 @@
 """Capture files as a Spark data source: `spark.read.format("capture").load(path)`.
 
-A file is one partition. It is read in blocks; within a block only the record boundaries are
-walked one by one, all header fields are taken out of the block with numpy. Files ending in
-`.gz` and `.bz2` are decompressed on the fly.
+A file is one partition here; `capture_splits` reads large uncompressed files in parallel. A file
+is read in blocks; within a block only the record boundaries are walked one by one, all header
+fields are taken out of the block with numpy. Files ending in `.gz` and `.bz2` are decompressed on
+the fly.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import gzip
 import posixpath
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,9 +165,33 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in PACKETS.fields])
 
 
+def byte_order(head: bytes, path: str) -> str:
+    """Byte order of a capture from the header of its file."""
+    for order in "<>":
+        if len(head) == FILE_HEADER and struct.unpack_from(order + "I", head)[0] in MAGIC:
+            return order
+    raise ValueError(f"{path} is not a capture file")
+
+
+def is_ethernet(head: bytes, order: str) -> bool:
+    return struct.unpack_from(order + "I", head, 20)[0] == ETHERNET
+
+
+def _batches(take: Callable[[int], bytes], order: str) -> Iterator[pa.RecordBatch]:
+    """Decode what `take` gives, block by block; a torn record ends it."""
+    schema = _arrow_schema()
+    rest = b""
+    while more := take(BLOCK):
+        block = rest + more
+        columns, used = decode(block, order)
+        rest = block[used:]
+        if len(columns["ts"]):
+            yield pa.RecordBatch.from_arrays(
+                [columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
 def read_capture(path: str) -> Iterator[pa.RecordBatch]:
     """The packets of one file; a truncated tail ends it."""
-    schema = _arrow_schema()
     filesystem, inner = _filesystem(path)
     with filesystem.open_input_stream(inner, compression=None) as raw:
         stream = raw
@@ -189,20 +214,20 @@ def read_capture(path: str) -> Iterator[pa.RecordBatch]:
             return b"".join(parts)
 
         head = take(FILE_HEADER)
-        order = next((o for o in "<>" if len(head) == FILE_HEADER
-                      and struct.unpack_from(o + "I", head)[0] in MAGIC), None)
-        if order is None:
-            raise ValueError(f"{path} is not a capture file")
-        if struct.unpack_from(order + "I", head, 20)[0] != ETHERNET:
-            return
-        rest = b""
-        while more := take(BLOCK):
-            block = rest + more
-            columns, used = decode(block, order)
-            rest = block[used:]
-            if len(columns["ts"]):
-                yield pa.RecordBatch.from_arrays(
-                    [columns[f.name].cast(f.type) for f in schema], schema=schema)
+        order = byte_order(head, path)
+        if is_ethernet(head, order):
+            yield from _batches(take, order)
+
+
+def read_range(path: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+    """The packets between two record boundaries of an uncompressed file."""
+    filesystem, inner = _filesystem(path)
+    with filesystem.open_input_file(inner) as file:
+        head = file.read(FILE_HEADER)
+        order = byte_order(head, path)
+        file.seek(start)
+        if is_ethernet(head, order):
+            yield from _batches(lambda size: file.read(min(size, end - file.tell())), order)
 
 
 class CaptureReader(DataSourceReader):
@@ -342,6 +367,6 @@ def register_capture(spark: SparkSession) -> None:
 
 
 def packet_scan_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """Capture files as packets; frames that are not IPv4 are dropped."""
+    """Capture files as packets, one partition per file; frames that are not IPv4 are dropped."""
     register_capture(spark)
     return spark.read.format("capture").load(path)
