@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) names the table folder, BENCH_CPUS (default 8) the
-local cores. Each query runs once to warm up and then BENCH_RUNS times (default 2); the fastest
+local cores. Each query runs once to warm up and then BENCH_RUNS times (default 1); the fastest
 counts. Results go to a sink that reads every row and keeps none.
 """
 
@@ -41,7 +41,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     only = sys.argv[1:] or HEADLINE
     spark = build_session(
         "bench", f"local[{cpus}]", int(cpus),
