@@ -20,11 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned quality rules accept."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = (quality_rules.judge(docs, labels).where("kept")
-            .selectExpr("doc_id as kept_id").distinct())
-    return (docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-            .select(*COLUMNS))
+    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), COLUMNS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -96,17 +96,19 @@ def count_texts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {name: out[name] for name in COUNTS}
 
 
-def with_counts(docs: DataFrame, names: tuple[str, ...] = COUNTS) -> DataFrame:
-    """(doc_id, *names) of every document; a null text counts as empty. Names in `docs` beyond
-    doc_id and text play no part, repeated ids stay repeated."""
+def with_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",),
+                names: tuple[str, ...] = COUNTS) -> DataFrame:
+    """(*keep, *names) of every row of `docs`, a null text counting as empty. Other columns play
+    no part; repeated rows stay repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in row_pieces(batch, "text"):
+            for part, data, offsets in row_pieces(batch, "_text"):
                 counts = count_texts(data, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[pa.array(counts[n]) for n in names]],
-                    names=["doc_id", *names])
+                    [*[part.column(n) for n in keep], *[pa.array(counts[n]) for n in names]],
+                    names=[*keep, *names])
 
-    schema = ", ".join(["doc_id long", *[f"{name} long" for name in names]])
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
+    kinds = [f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in keep]
+    schema = ", ".join([*kinds, *[f"{name} long" for name in names]])
+    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, schema)

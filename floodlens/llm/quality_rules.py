@@ -188,6 +188,14 @@ def fit(counts: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return learn_rules(x, rows["bad"].to_numpy(dtype=bool))
 
 
+def _verdict(counts: DataFrame, rules: DecisionList, min_words: int,
+             max_repeat_percent: int) -> DataFrame:
+    failed = ((F.col("n_words") < min_words)
+              | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent))
+    return (counts.withColumn("base_failed", failed).withColumn("rule", rules.column())
+            .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)))
+
+
 def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
           min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
     """Per row of `docs`: doc_id, counts, base_failed, rule (the first that rejects, or 0), kept.
@@ -195,9 +203,22 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     A null or empty text has no words and fails the base; a null id passes through; repeated rows
     are judged one by one. Other columns of `docs` and `labels` play no part.
     """
-    counts = staged(with_counts(docs), "quality-counts")
-    rules = fit(counts, labels, sample_rows)
-    failed = ((F.col("n_words") < min_words)
-              | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent))
-    return (counts.withColumn("base_failed", failed).withColumn("rule", rules.column())
-            .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)))
+    ids = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    counts = staged(with_counts(ids), "quality-counts")
+    return _verdict(counts, fit(counts, labels, sample_rows), min_words, max_repeat_percent)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...],
+              sample_rows: int = SAMPLE_ROWS, min_words: int = MIN_WORDS,
+              max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
+    """The rows of `docs` that pass, with `columns` (text among them) unchanged.
+
+    The rules are fitted in a pass over the labelled documents; a second pass judges every row in
+    place, so that no text is shuffled.
+    """
+    ids = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    labelled = ids.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(),
+                        "doc_id", "left_semi")
+    rules = fit(staged(with_counts(labelled), "quality-counts"), labels, sample_rows)
+    judged = _verdict(with_counts(docs, columns), rules, min_words, max_repeat_percent)
+    return judged.where("kept").select(*columns)
