@@ -6,29 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floodlens.llm import bpe, quality_rules
-
-TOKENIZERS = "/opt/tokenizers"
+from floodlens.llm import bpe, packing, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the learned decision list on every document."""
     return quality_rules.judge(_table(spark, sf_dir, "documents"),
                                _table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into pieces and packed into sequences of 4096 tokens."""
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"),
+                                       _vocabulary("word_bpe_49k.json")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op2_quality_rules, op10_bpe,
+        op2_quality_rules, op4_packing, op10_bpe,
     )
 }
 
