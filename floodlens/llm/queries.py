@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from floodlens.llm import bpe, packing, quality_rules
+from floodlens.llm import bpe, packing, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        _vocabulary("word_bpe_49k.json")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that every document loses to passages of documents with smaller ids."""
+    kept = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed",
+                       F.coalesce(F.sha2("kept_text", 256), "digest").alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
@@ -38,7 +46,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op2_quality_rules, op4_packing, op10_bpe,
+        op2_quality_rules, op4_packing, op5_substring_dedup, op10_bpe,
     )
 }
 
