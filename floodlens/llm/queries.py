@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodlens.llm import bpe, packing, quality_rules, substring_dedup
+from floodlens.llm import bpe, near_dup, packing, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                _table(spark, sf_dir, "labels"))
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into pieces and packed into sequences of 4096 tokens."""
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"),
@@ -46,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op2_quality_rules, op4_packing, op5_substring_dedup, op10_bpe,
+        op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op10_bpe,
     )
 }
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from floodlens.llm.documents import one_per_id
 from floodlens.llm.words import (
     Words,
     row_pieces,
@@ -234,7 +235,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST,
     Null and empty texts have no words and lose none; rows with a null id take no part; of rows
     with the same id the one with the smallest text counts. Other columns play no part.
     """
-    docs = _one_per_id(docs)
+    docs = one_per_id(docs)
     scanned = staged(_scan(docs, window, *(levels(window, shortest) * 2)[:2]), "substring-scan")
     firsts = scanned.where(F.col("n_words") >= window).groupBy(
         "n_words", "whole_a", "whole_b").agg(F.min("doc_id").alias("original"))
@@ -252,14 +253,3 @@ def dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST,
             F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("copied"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
 
-
-def _one_per_id(docs: DataFrame) -> DataFrame:
-    """doc_id and text, one row per id; texts are only shuffled if some id is repeated."""
-    rows = docs.where("doc_id is not null").selectExpr(
-        "cast(doc_id as long) as doc_id", "coalesce(text, '') as text")
-    repeated = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return rows
-    single = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min("text").alias("text"))
-    return rows.join(repeated, "doc_id", "left_anti").unionByName(single)
