@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodlens.llm import bpe, near_dup, packing, quality_rules, substring_dedup
+from floodlens.llm import boosted_quality, bpe, near_dup, packing, quality_rules, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.coalesce(F.sha2("kept_text", 256), "digest").alias("kept_sha256"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; every fifth id by CRC is held out of the fit."""
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return boosted_quality.score(_table(spark, sf_dir, "documents"),
+                                 _table(spark, sf_dir, "labels"), held_out)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
@@ -51,7 +58,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op10_bpe,
+        op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op9_quality_classifier,
+        op10_bpe,
     )
 }
 
