@@ -1,6 +1,6 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-The trees are fitted on a bounded sample of labelled documents (`sample_rows` with the smallest
+The trees are fitted on a bounded sample of labelled documents (about `sample_rows`, chosen by a
 hash of their id) whose statistics are binned once; every split is found on histograms of
 gradients. A fitted ensemble is a few flat arrays, and a batch of documents walks down all trees
 at once with numpy. Every document is scored.

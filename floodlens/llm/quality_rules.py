@@ -5,7 +5,7 @@ rejected documents, pruned on rows it was not grown on, and kept if it is still
 then the rows it covers are set aside. The result is an ordered Spark conditional expression.
 
 Statistics and verdicts are made for every document. Only the thresholds are fitted on a bounded
-sample: the `sample_rows` labelled documents with the smallest hash of their id.
+sample: about `sample_rows` labelled documents, chosen by a hash of their id.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodlens.llm.doc_stats import COUNTS, with_counts
+from floodlens.llm.sampling import hashed_sample
 from floodlens.session import staged
 
 SAMPLE_ROWS = 40_000
@@ -179,9 +180,7 @@ def fit(counts: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
                 .agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
                 .where("low = high").selectExpr("doc_id", "low = 0 as bad"))
-    rows = (counts.join(verdicts, "doc_id")
-            .orderBy(F.xxhash64("doc_id"), *COUNTS).limit(sample_rows)
-            .select(*COUNTS, "bad").toPandas())
+    rows = hashed_sample(counts.join(verdicts, "doc_id"), "doc_id", [*COUNTS, "bad"], sample_rows)
     if rows.empty:
         return DecisionList()
     x = feature_matrix({name: rows[name].to_numpy() for name in COUNTS})
