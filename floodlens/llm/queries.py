@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodlens.llm import boosted_quality, bpe, near_dup, packing, quality_rules, substring_dedup
+from floodlens.llm import (
+    boosted_quality,
+    bpe,
+    hmm_lm,
+    near_dup,
+    packing,
+    quality_rules,
+    substring_dedup,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +52,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.coalesce(F.sha2("kept_text", 256), "digest").alias("kept_sha256"))
 
 
+def _crc_is(divisor: int, remainder: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % divisor == remainder
+
+
+def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; every seventh id by CRC is held out of the training."""
+    return hmm_lm.score(_table(spark, sf_dir, "documents"), _crc_is(7, 2))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; every fifth id by CRC is held out of the fit."""
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     return boosted_quality.score(_table(spark, sf_dir, "documents"),
-                                 _table(spark, sf_dir, "labels"), held_out)
+                                 _table(spark, sf_dir, "labels"), _crc_is(5, 0))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op9_quality_classifier,
+        op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op7_hmm_lm, op9_quality_classifier,
         op10_bpe,
     )
 }
