@@ -15,6 +15,7 @@ from floodlens.llm import (
     packing,
     quality_rules,
     substring_dedup,
+    topk_search,
 )
 
 
@@ -28,6 +29,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors for every twentieth vector."""
+    return topk_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the learned decision list on every document."""
     return quality_rules.judge(_table(spark, sf_dir, "documents"),
@@ -74,10 +80,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op7_hmm_lm, op9_quality_classifier,
+        op1_topk_search, op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op7_hmm_lm, op9_quality_classifier,
         op10_bpe,
     )
 }
 
 #: DuckDB statements for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": """
+        WITH v AS (
+            SELECT vec_id,
+                [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+            FROM embeddings
+            WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id,
+                CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT)
+                    AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 20""",
+}
