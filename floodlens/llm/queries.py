@@ -11,6 +11,7 @@ from floodlens.llm import (
     boosted_quality,
     bpe,
     hmm_lm,
+    line_dedup,
     near_dup,
     packing,
     quality_rules,
@@ -58,6 +59,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.coalesce(F.sha2("kept_text", 256), "digest").alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that every document loses to runs of three lines or more seen earlier."""
+    docs = _table(spark, sf_dir, "documents")
+    return line_dedup.dedup(docs).select(
+        "doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"),
+        F.md5("kept_text").alias("kept_md5"))
+
+
 def _crc_is(divisor: int, remainder: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % divisor == remainder
 
@@ -80,13 +89,46 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
-        op1_topk_search, op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op7_hmm_lm, op9_quality_classifier,
+        op1_topk_search, op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op6_line_dedup,
+        op7_hmm_lm, op9_quality_classifier,
         op10_bpe,
     )
 }
 
 #: DuckDB statements for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": """
+        WITH raw AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                generate_subscripts(string_split(text, chr(10)), 1) AS n
+            FROM documents),
+        lines AS (
+            SELECT doc_id, n, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS line,
+                row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i
+            FROM raw WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+        windows AS (
+            SELECT doc_id, i, md5(concat(line, chr(10), lead(line) OVER w, chr(10),
+                lead(line, 2) OVER w)) AS k, lead(line, 2) OVER w IS NOT NULL AS whole
+            FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        later AS (
+            SELECT doc_id, i FROM windows WHERE whole
+            QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+        gone AS (
+            SELECT DISTINCT doc_id, i + d AS i
+            FROM later, (VALUES (0), (1), (2)) AS o(d)),
+        counts AS (
+            SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+                string_agg(CAST(g.i AS VARCHAR), ',' ORDER BY g.i) AS removed
+            FROM lines l LEFT JOIN gone g USING (doc_id, i) GROUP BY l.doc_id),
+        kept AS (
+            SELECT r.doc_id, md5(coalesce(string_agg(r.line, chr(10) ORDER BY r.n)
+                FILTER (WHERE g.i IS NULL), '')) AS kept_md5
+            FROM raw r LEFT JOIN lines l USING (doc_id, n) LEFT JOIN gone g ON
+                g.doc_id = l.doc_id AND g.i = l.i
+            WHERE r.doc_id IN (SELECT doc_id FROM gone) GROUP BY r.doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+            coalesce(removed, '') AS removed, kept_md5
+        FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op1_topk_search": """
         WITH v AS (
             SELECT vec_id,
