@@ -15,6 +15,7 @@ from floodlens.llm import (
     near_dup,
     packing,
     quality_rules,
+    quotations,
     substring_dedup,
     topk_search,
 )
@@ -76,6 +77,14 @@ def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(_table(spark, sf_dir, "documents"), _crc_is(7, 2))
 
 
+def op8_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations found again from what the messages of `conversations` quote."""
+    messages = quotations.quoting_messages(_table(spark, sf_dir, "conversations"))
+    return quotations.conversations(messages).select(
+        "msg_id", "sent", "parent_id", "thread_id", "depth", "n_quoted",
+        F.md5("own_text").alias("own_md5"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; every fifth id by CRC is held out of the fit."""
     return boosted_quality.score(_table(spark, sf_dir, "documents"),
@@ -90,13 +99,67 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_topk_search, op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op6_line_dedup,
-        op7_hmm_lm, op9_quality_classifier,
+        op7_hmm_lm, op8_chat_quotations, op9_quality_classifier,
         op10_bpe,
     )
 }
 
 #: DuckDB statements for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op8_chat_quotations": """
+        WITH RECURSIVE turns AS (
+            SELECT DISTINCT conv_id, turn, text, concat_ws('-', conv_id, turn,
+                substr(md5(concat_ws('|', role, text)), 1, 16)) AS msg_id
+            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        firsts AS (SELECT conv_id, turn, arg_min(text, msg_id) AS quoted FROM turns GROUP BY ALL),
+        messages AS (
+            SELECT msg_id, t.conv_id * 1000 + t.turn AS sent, concat(
+                '> > ' || replace(b.quoted, chr(10), chr(10) || '> > ') || chr(10),
+                '> ' || replace(a.quoted, chr(10), chr(10) || '> ') || chr(10),
+                CASE WHEN a.quoted IS NOT NULL THEN chr(10) END, text) AS text
+            FROM turns t
+            LEFT JOIN firsts a ON a.conv_id = t.conv_id AND a.turn = t.turn - 1
+            LEFT JOIN firsts b ON b.conv_id = t.conv_id AND b.turn = t.turn - 2),
+        raw AS (
+            SELECT msg_id, sent, unnest(string_split(text, chr(10))) AS raw,
+                generate_subscripts(string_split(text, chr(10)), 1) AS n FROM messages),
+        lines AS (
+            SELECT msg_id, sent, n, len(regexp_replace(
+                regexp_extract(raw, '^((?:[ \\t]*>)+)', 1), '[^>]', '', 'g')) AS level,
+                regexp_replace(raw, '^((?:[ \\t]*>)+)[ \\t]?', '') AS line FROM raw),
+        contents AS (
+            SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r]+', ' ', 'g'), ' ') AS content
+            FROM lines),
+        begun AS (
+            SELECT *, CASE WHEN lag(level) OVER w = level AND lag(content) OVER w <> ''
+                THEN 0 ELSE 1 END AS begins
+            FROM contents WINDOW w AS (PARTITION BY msg_id ORDER BY n)),
+        numbered AS (
+            SELECT *, sum(begins) OVER (PARTITION BY msg_id ORDER BY n) AS passage FROM begun),
+        passages AS (
+            SELECT msg_id, sent, passage, level, md5(string_agg(content, chr(10) ORDER BY n)) AS key
+            FROM numbered WHERE content <> '' GROUP BY ALL),
+        written AS (
+            SELECT key, min((sent, msg_id)) AS writer FROM passages WHERE level = 0 GROUP BY key),
+        found AS (
+            SELECT p.msg_id, w.writer[2] AS parent_id FROM passages p JOIN written w USING (key)
+            WHERE p.level > 0 AND w.writer < (p.sent, p.msg_id)
+            QUALIFY row_number() OVER (PARTITION BY p.msg_id ORDER BY level, passage) = 1),
+        linked AS (
+            SELECT m.msg_id, sent, parent_id FROM messages m LEFT JOIN found USING (msg_id)),
+        threads AS (
+            SELECT msg_id, msg_id AS thread_id, 0 AS depth FROM linked WHERE parent_id IS NULL
+            UNION ALL
+            SELECT l.msg_id, t.thread_id, t.depth + 1
+            FROM linked l JOIN threads t ON l.parent_id = t.msg_id),
+        texts AS (
+            SELECT msg_id, count(*) FILTER (WHERE level > 0) AS n_quoted, md5(regexp_replace(
+                coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE level = 0), ''),
+                '^\\s+|\\s+$', '', 'g')) AS own_md5
+            FROM lines GROUP BY msg_id)
+        SELECT msg_id, sent, parent_id, thread_id, depth, n_quoted, own_md5
+        FROM linked JOIN threads USING (msg_id) JOIN texts USING (msg_id)""",
     "op6_line_dedup": """
         WITH raw AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
