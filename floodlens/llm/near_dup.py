@@ -5,10 +5,12 @@ with a common prefix of `SHALLOW` values are neighbours; a region of the order t
 than `GROUP` of them is split by longer prefixes, so dense regions are compared at a greater
 depth. Inside a region short sketches tell which pairs may be alike.
 
-Documents with equal sets are one class from the start. Candidates are confirmed in two rounds.
-The first takes for each region the spanning forest of its most alike pairs, which is enough to
-connect a group of copies without listing its pairs. The second takes all pairs of a region that
-the confirmed links have not connected yet. So no pair that the forest finds is lost.
+Documents with equal sets are one class from the start. Of each region the spanning forest of the
+most alike pairs is taken, which is enough to connect a group of copies without listing its pairs.
+They are confirmed in rounds: first those of a few trees, as other trees mostly connect the same
+groups again; then those of the other trees whose documents are not connected yet; and last all
+pairs of a region, spanning or not, between documents that are still not connected. So no pair that
+the forest finds is lost.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ SHINGLE = 4
 PERCENT = 80
 TREES = 16
 SHALLOW, DEEP = 3, 6
-SKETCH = 64
+SKETCH, MARGIN = 64, 0.2            # at 80 percent a sketch is off by more than the margin
+LONG_SKETCH, LONG_MARGIN = 256, 0.1  # (four standard deviations) less than once in 10^4
 GROUP = 256
-MARGIN = 0.2  # a sketch of 64 bytes is off by more than this once in 10^4 at 80 percent
+FIRST_TREES = 3
 
 
 def _factors(count: int) -> np.ndarray:
@@ -62,11 +65,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int
     return hashes[index[back]], row[index[back]], keys[back]
 
 
-def sign(docs: DataFrame, shingle: int = SHINGLE, trees: int = TREES, deep: int = DEEP
-         ) -> DataFrame:
+def sign(docs: DataFrame, shingle: int = SHINGLE, trees: int = TREES, deep: int = DEEP,
+         sketch_size: int = SKETCH) -> DataFrame:
     """Per row of (doc_id, text): n_shingles, a 128-bit hash of the set (set_a, set_b), the
-    signature (trees x deep values of 4 bytes) and its sketch."""
-    factors = _factors(trees * deep)
+    signature (trees x deep MinHash values of 4 bytes) and a sketch (a byte of each of
+    `sketch_size` values)."""
+    factors = _factors(max(trees * deep, sketch_size))
     names = ["doc_id", "n_shingles", "set_a", "set_b", "signature", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +87,8 @@ def sign(docs: DataFrame, shingle: int = SHINGLE, trees: int = TREES, deep: int
                         sums[i, held] = np.add.reduceat(mix(hashes + np.uint64(salt)), begins)
                     for j, factor in enumerate(factors):
                         values[held, j] = np.minimum.reduceat(hashes * factor, begins) >> np.uint64(32)
-                sketch = (values[:, :SKETCH] & 0xFF).astype(np.uint8)
+                sketch = (values[:, :sketch_size] & 0xFF).astype(np.uint8)
+                values = values[:, :trees * deep]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sizes), pa.array(signed(sums[0])),
                      pa.array(signed(sums[1])),
@@ -140,28 +145,31 @@ def _regions(shared: np.ndarray, shallow: int, deep: int, group: int
             todo.extend((int(edges[i]), int(edges[i + 1]), depth + 1) for i in larger)
 
 
-def candidates(entries: DataFrame, connected: bool, percent: int = PERCENT, trees: int = TREES,
+def candidates(entries: DataFrame, percent: int = PERCENT, trees: int = TREES,
                shallow: int = SHALLOW, deep: int = DEEP, group: int = GROUP,
                margin: float = MARGIN) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that may be alike, of rows (doc_id, n_shingles, signature,
-    sketch). With `connected`, rows also have a component, and all pairs of a region in different
-    components are given; else the spanning pairs of every region."""
+    """Distinct pairs (a, b), a < b, that may be alike, and the first tree that gives them, of rows
+    (doc_id, n_shingles, signature, sketch): the spanning pairs of every region, or, if rows have
+    a component, all pairs of a region that are in different components."""
+    connected = "component" in entries.columns
     least = percent / 100 - margin
 
-    def pairs_of(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
+    def pairs_of(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, int, int]]:
         values, tree, ids = rows["values"], rows["tree"], rows["doc_id"]
         same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
         shared = np.cumprod(same, axis=1).sum(axis=1)
         for low, high in _regions(shared, shallow, deep, group):
+            component = rows["component"][low:high] if connected else None
+            if connected and (component == component[0]).all():
+                continue
             alike = _alike(rows["sketch"][low:high], rows["n_shingles"][low:high], least, percent)
-            if not connected:
-                found = _spanning_pairs(alike)
-            else:
-                component = rows["component"][low:high]
+            if connected:
                 found = np.argwhere(np.triu((alike > 0) & (component[:, None] != component)))
+            else:
+                found = _spanning_pairs(alike)
             for i, j in found:
                 a, b = int(ids[low + i]), int(ids[low + j])
-                yield (a, b) if a < b else (b, a)
+                yield (min(a, b), max(a, b), int(tree[low]))
 
     def unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         out = {"tree": batch.column("tree").to_numpy(),
@@ -173,10 +181,10 @@ def candidates(entries: DataFrame, connected: bool, percent: int = PERCENT, tree
             out["component"] = batch.column("component").to_numpy()
         return out
 
-    def given(pairs: Iterator[tuple[int, int]]) -> pa.RecordBatch:
-        found = np.array(sorted(set(pairs)), dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])],
-                                          names=["a", "b"])
+    def given(pairs: Iterator[tuple[int, int, int]]) -> pa.RecordBatch:
+        found = np.array(sorted(set(pairs)), dtype=np.int64).reshape(-1, 3)
+        return pa.RecordBatch.from_arrays([pa.array(column) for column in found.T],
+                                          names=["a", "b", "tree"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: dict[str, np.ndarray] | None = None
@@ -211,7 +219,8 @@ def candidates(entries: DataFrame, connected: bool, percent: int = PERCENT, tree
                               F.posexplode(keys).alias("tree", "key"))
                .repartition("tree", F.substring("key", 1, shallow * 4))
                .sortWithinPartitions("tree", "key", "n_shingles", "doc_id"))
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return (ordered.mapInArrow(run, "a long, b long, tree long")
+            .groupBy("a", "b").agg(F.min("tree").alias("tree")))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
@@ -241,6 +250,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
             .mapInArrow(run, "a long, b long, linked boolean"))
 
 
+def _placed(rows: DataFrame, links: DataFrame, key: str, name: str) -> DataFrame:
+    """`rows` with the component (of `links`: id, component) of `key` as `name`; by a merge join,
+    as components grow with the data."""
+    joined = links.select(F.col("id").alias(key), F.col("component").alias("_of"))
+    return rows.join(joined.hint("merge"), key, "left").withColumn(
+        name, F.coalesce("_of", key)).drop("_of")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per distinct doc_id: doc_id, n_shingles, component_id (the smallest id that links reach),
     kept (doc_id = component_id).
@@ -262,18 +279,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     entries = signed_docs.select("doc_id", "n_shingles", "signature", "sketch").join(
         own, "doc_id", "left_semi")
 
-    pairs = staged(candidates(entries, connected=False, percent=percent), "near-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = staged(docs.join(involved, "doc_id", "left_semi"), "near-texts")
-    checked = staged(confirm(pairs, texts, shingle, percent), "near-links")
-    joined = components(checked.where("linked"))
-    placed = entries.join(involved, "doc_id", "left_semi").join(
-        joined, F.col("doc_id") == F.col("id"), "left").withColumn(
-        "component", F.coalesce("component", "doc_id"))
-    more = candidates(placed, connected=True, percent=percent).join(pairs, ["a", "b"], "left_anti")
-    later = staged(confirm(more, texts, shingle, percent), "near-links")
-    links = checked.unionByName(later).where("linked").select("a", "b")
-    final = components(links)
+    pairs = staged(candidates(entries, percent), "near-pairs")
+    involved = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(),
+                      "near-involved")
+    texts = staged(docs.join(involved.hint("merge"), "doc_id", "left_semi"), "near-texts")
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        return staged(confirm(some.select("a", "b"), texts, shingle, percent), "near-links")
+
+    checked = confirmed(pairs.where(F.col("tree") < FIRST_TREES))
+    links = components(checked.where("linked"))
+    apart = _placed(_placed(pairs.where(F.col("tree") >= FIRST_TREES), links, "a", "of_a"),
+                    links, "b", "of_b").where("of_a <> of_b")
+    checked = checked.unionByName(confirmed(apart))
+    links = components(checked.where("linked"))
+    # What no spanning pair involves has no pair at all. What is left is alike, but mostly less than
+    # asked for: longer sketches tell more.
+    left = _placed(sign(texts, shingle, sketch_size=LONG_SKETCH), links, "doc_id", "component")
+    rest = candidates(left, percent, margin=LONG_MARGIN).join(checked.hint("merge"), ["a", "b"], "left_anti")
+    final = components(checked.unionByName(confirmed(rest)).where("linked"))
     return classes.join(final, F.col("first_id") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "first_id").alias("component_id")
     ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
