@@ -219,5 +219,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...],
     labelled = ids.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(),
                         "doc_id", "left_semi")
     rules = fit(staged(with_counts(labelled), "quality-counts"), labels, sample_rows)
-    judged = _verdict(with_counts(docs, columns), rules, min_words, max_repeat_percent)
-    return judged.where("kept").select(*columns)
+    whole = docs.select(F.struct(*columns).alias("_row"), "text")  # names may clash with counts
+    judged = _verdict(with_counts(whole, ("_row",)), rules, min_words, max_repeat_percent)
+    return judged.where("kept").select("_row.*")
