@@ -14,12 +14,13 @@ from floodlens.functions.rates import time_bin
 
 CONNECTION = ["a_ip", "a_port", "b_ip", "b_port"]
 ENDPOINTS = ["src", "sport", "dst", "dport"]
-MAX_PACKETS_PER_ROW = 1_000_000
+HEADER = ["ts", *ENDPOINTS]
 
 
 def connection_packets(packets: DataFrame) -> DataFrame:
     """TCP packets by direction-independent connection, with what decides conversations.
 
+    Packets without ports (later fragments, short captures) belong to no connection.
     `starter` is smallest for the packet that names the endpoints: an opening packet before
     others, then the direction from the smaller endpoint before the other.
     """
@@ -32,7 +33,9 @@ def connection_packets(packets: DataFrame) -> DataFrame:
 
     syn = flag("syn") & ~flag("ack")
     starter = F.when(syn, 0).otherwise(2) + F.when(one <= two, 0).otherwise(1)
-    return packets.filter((F.col("ip_proto") == 6) & F.col("ts").isNotNull()).select(
+    held = ((F.col("ip_proto") == 6) & F.col("ts").isNotNull()
+            & F.col("tcp_sport").isNotNull() & F.col("tcp_dport").isNotNull())
+    return packets.filter(held).select(
         a["ip"].alias("a_ip"), a["port"].alias("a_port"),
         b["ip"].alias("b_ip"), b["port"].alias("b_port"),
         "ts", starter.alias("starter"), syn.cast("int").alias("syn"),
@@ -48,13 +51,8 @@ def per_second(rows: DataFrame) -> DataFrame:
         F.max("syn").alias("syn"), F.max("fin").alias("fin"), F.max("rst").alias("rst"))
 
 
-def conversation_build(packets: DataFrame, gap_s: int = 60,
-                       max_packets_per_row: int = MAX_PACKETS_PER_ROW) -> DataFrame:
-    """Conversations: start, endpoints, end state (close, reset or timeout), packet times.
-
-    `intervals` are offsets from the first packet. A conversation with more packets than fit a
-    row goes on in rows with `part` 1, 2, ...
-    """
+def _numbered(packets: DataFrame, gap_s: int) -> DataFrame:
+    """Packets per (connection, second) with the `number` of their conversation."""
     connection = Window.partitionBy(*CONNECTION).orderBy("ts")
     seconds = per_second(connection_packets(packets))
     silent = F.coalesce(F.col("ts") - F.lag("ts").over(connection) > gap_s, F.lit(True))
@@ -70,52 +68,54 @@ def conversation_build(packets: DataFrame, gap_s: int = 60,
         F.last(mark, ignorenulls=True).over(before_in_stretch) == "end")
     seconds = seconds.withColumn(
         "begins", ((F.col("silent") > 0) | F.coalesce(reopened, F.lit(False))).cast("int"))
-    seconds = seconds.withColumn("number", F.sum("begins").over(connection))
+    return seconds.withColumn("number", F.sum("begins").over(connection))
+
+
+def _named(starter: str) -> list[Column]:
+    """Endpoints, from the side that sent the packet `starter` tells of."""
+    from_a = F.col(starter) % 2 == 0
+    pairs = {"src": ("a_ip", "b_ip"), "sport": ("a_port", "b_port"),
+             "dst": ("b_ip", "a_ip"), "dport": ("b_port", "a_port")}
+    return [F.when(from_a, F.col(one)).otherwise(F.col(two)).alias(name)
+            for name, (one, two) in pairs.items()]
+
 
+def conversation_build(packets: DataFrame, gap_s: int = 60) -> DataFrame:
+    """One row per conversation: start (`ts`), endpoints, end state (close, reset or timeout),
+    last second and number of packets."""
+    held = _numbered(packets, gap_s).groupBy(*CONNECTION, "number").agg(
+        F.min("ts").alias("ts"), F.max("ts").alias("last_ts"), F.sum("n").alias("packets"),
+        F.min_by("starter", "ts").alias("starter"),
+        F.max("rst").alias("rst"), F.max("fin").alias("fin"))
+    state = F.when(F.col("rst") > 0, "reset").when(F.col("fin") > 0, "close").otherwise("timeout")
+    return held.select("ts", *_named("starter"), state.alias("end_state"), "last_ts", "packets")
+
+
+def conversation_times(packets: DataFrame, gap_s: int = 60) -> DataFrame:
+    """Packet times of the conversations: their start and endpoints, each second with packets, and
+    how many it has."""
     ordered = Window.partitionBy(*CONNECTION, "number").orderBy("ts")
-    whole = Window.partitionBy(*CONNECTION, "number")
-    size = F.lit(max_packets_per_row).cast("long")
-    seconds = (
-        seconds
-        .withColumn("start", F.min("ts").over(whole))
-        .withColumn("first_starter", F.first("starter").over(ordered))
-        .withColumn("any_rst", F.max("rst").over(whole))
-        .withColumn("any_fin", F.max("fin").over(whole))
-        .withColumn("before", F.sum("n").over(ordered) - F.col("n"))
-        .withColumn("piece", F.explode(F.sequence(
-            F.lit(0).cast("long"), F.expr(f"(n - 1) DIV {max_packets_per_row}"))))
-        .withColumn("count", F.least(size, F.col("n") - F.col("piece") * size))
-        .withColumn("part", F.expr(f"(before + piece * {max_packets_per_row}) "
-                                   f"DIV {max_packets_per_row}").cast("int"))
-    )
-    rows = seconds.groupBy(*CONNECTION, "number", "part").agg(
-        F.first("start").alias("start"),
-        F.first("first_starter").alias("starter"),
-        F.first("any_rst").alias("rst"),
-        F.first("any_fin").alias("fin"),
-        F.sort_array(F.collect_list(F.struct("ts", F.col("count").cast("int").alias("count"))))
-        .alias("times"),
-    )
-    stamps = F.flatten(F.transform("times", lambda t: F.array_repeat(t["ts"], t["count"])))
-    offsets = F.transform("timestamps", lambda t: (t - F.col("start")).cast("double"))
-    from_a = F.col("starter") % 2 == 0
     return (
-        rows.withColumn("timestamps", stamps).select(
-            F.col("start").alias("ts"),
-            F.when(from_a, F.col("a_ip")).otherwise(F.col("b_ip")).alias("src"),
-            F.when(from_a, F.col("a_port")).otherwise(F.col("b_port")).alias("sport"),
-            F.when(from_a, F.col("b_ip")).otherwise(F.col("a_ip")).alias("dst"),
-            F.when(from_a, F.col("b_port")).otherwise(F.col("a_port")).alias("dport"),
-            F.when(F.col("rst") > 0, "reset").when(F.col("fin") > 0, "close")
-            .otherwise("timeout").alias("end_state"),
-            "timestamps",
-            F.when(F.col("part") == 0, F.slice(offsets, 2, F.size("timestamps")))
-            .otherwise(offsets).alias("intervals"),
-            "part",
-        )
+        _numbered(packets, gap_s)
+        .withColumn("start", F.first("ts").over(ordered))
+        .withColumn("first_starter", F.first("starter").over(ordered))
+        .select(F.col("start").alias("ts"), *_named("first_starter"),
+                F.col("ts").alias("second"), F.col("n").alias("packets"))
     )
 
 
+def conversation_lists(times: DataFrame) -> DataFrame:
+    """`conversation_times` as one row per conversation: its packet times, and their offsets from
+    the first packet. Only for conversations whose packet times fit a row."""
+    held = times.groupBy(*HEADER).agg(F.sort_array(F.collect_list(
+        F.struct("second", F.col("packets").cast("int").alias("packets")))).alias("seconds"))
+    stamps = F.flatten(F.transform(
+        "seconds", lambda s: F.array_repeat(s["second"], s["packets"])))
+    offsets = F.transform("timestamps", lambda t: (t - F.col("ts")).cast("double"))
+    return held.withColumn("timestamps", stamps).select(
+        *HEADER, "timestamps", F.slice(offsets, 2, F.size("timestamps")).alias("intervals"))
+
+
 def conversation_volume(conversations: DataFrame, packets: DataFrame,
                         time: int = 60) -> DataFrame:
     """Bytes per conversation endpoints, over the packets of the conversation's time bin.
@@ -138,10 +138,20 @@ def conversation_volume(conversations: DataFrame, packets: DataFrame,
 
 
 def latency_histogram(conversations: DataFrame) -> DataFrame:
-    """Packets per offset from the first packet of their conversation, in whole ms."""
+    """Packets per offset (`intervals`) from the first packet of their conversation, in whole ms."""
     offset = F.explode("intervals").alias("interval")
     return (
         conversations.select(offset)
-        .groupBy((F.col("interval") * 1000).cast("int").alias("interval_ms"))
+        .groupBy(F.floor(F.col("interval") * 1000).cast("long").alias("interval_ms"))
         .agg(F.count("*").alias("count"))
     )
+
+
+def latency_histogram_of_times(times: DataFrame) -> DataFrame:
+    """The same from `conversation_times`, without a list per conversation."""
+    offset = F.col("second") - F.col("ts")
+    later = F.col("packets") - F.when(offset == 0, 1).otherwise(0)  # without the first packet
+    return (
+        times.groupBy((offset * 1000).alias("interval_ms")).agg(F.sum(later).alias("count"))
+        .where(F.col("count") > 0)
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from floodlens.operators import conversations
 from floodlens.plans.registry import Query
 from floodlens.plans.tables import Tables, sql_bin, with_views
-from floodlens.session import shared_folder
+from floodlens.session import STATE_STORE, shared_folder
 from floodlens.streaming.conversations import stream_conversations
 
 GAP = 6 * 3600
@@ -16,47 +16,43 @@ DELAY_HOURS = 24
 DAY = 86400
 
 _CONNECTION = "a_ip, a_port, b_ip, b_port"
-_BUILD = f"""
-    SELECT start AS ts, last_ts, src, sport, dst, dport, end_state, timestamps, intervals, part
-    FROM (
-        SELECT *,
-            CASE WHEN starter % 2 = 0 THEN a_ip ELSE b_ip END AS src,
-            CASE WHEN starter % 2 = 0 THEN a_port ELSE b_port END AS sport,
-            CASE WHEN starter % 2 = 0 THEN b_ip ELSE a_ip END AS dst,
-            CASE WHEN starter % 2 = 0 THEN b_port ELSE a_port END AS dport
+_NUMBERED = f"""
+    numbered AS (
+        SELECT *, min(ts) OVER whole AS start, arg_min(starter, ts) OVER whole AS first_starter
         FROM (
-            SELECT {_CONNECTION}, number, min(ts) AS start, max(ts) AS last_ts,
-                arg_min(starter, ts) AS starter, 0 AS part,
-                CASE WHEN max(rst) > 0 THEN 'reset' WHEN max(fin) > 0 THEN 'close'
-                     ELSE 'timeout' END AS end_state,
-                string_agg(rtrim(repeat(CAST(ts AS VARCHAR) || ',', n), ','), ',' ORDER BY ts)
-                    AS timestamps,
-                regexp_replace(string_agg(rtrim(repeat(CAST(ts - first_ts AS VARCHAR) || ',', n),
-                    ','), ',' ORDER BY ts), '^0,?', '') AS intervals
+            SELECT *, sum(CASE WHEN silent > 0 OR (syn > 0 AND last_mark = 'end')
+                    THEN 1 ELSE 0 END) OVER (PARTITION BY {_CONNECTION} ORDER BY ts) AS number
             FROM (
-                SELECT *, min(ts) OVER (PARTITION BY {_CONNECTION}, number) AS first_ts
+                SELECT *, last_value(mark IGNORE NULLS) OVER (
+                        PARTITION BY {_CONNECTION}, stretch ORDER BY ts
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_mark
                 FROM (
-                    SELECT *, sum(CASE WHEN silent > 0 OR (syn > 0 AND last_mark = 'end')
-                            THEN 1 ELSE 0 END) OVER (PARTITION BY {_CONNECTION} ORDER BY ts)
-                            AS number
+                    SELECT *, sum(silent) OVER (PARTITION BY {_CONNECTION} ORDER BY ts)
+                            AS stretch,
+                        CASE WHEN fin + rst > 0 THEN 'end' WHEN syn > 0 THEN 'open' END AS mark
                     FROM (
-                        SELECT *, last_value(mark IGNORE NULLS) OVER (
-                                PARTITION BY {_CONNECTION}, stretch ORDER BY ts
-                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_mark
-                        FROM (
-                            SELECT *, sum(silent) OVER (PARTITION BY {_CONNECTION} ORDER BY ts)
-                                    AS stretch,
-                                CASE WHEN fin + rst > 0 THEN 'end' WHEN syn > 0 THEN 'open' END
-                                    AS mark
-                            FROM (
-                                SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (
-                                        PARTITION BY {_CONNECTION} ORDER BY ts) > {GAP}, true)
-                                        THEN 1 ELSE 0 END AS silent
-                                FROM per_second)))))
-            GROUP BY {_CONNECTION}, number))"""
+                        SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (
+                                PARTITION BY {_CONNECTION} ORDER BY ts) > {GAP}, true)
+                                THEN 1 ELSE 0 END AS silent
+                        FROM per_second))))
+        WINDOW whole AS (PARTITION BY {_CONNECTION}, number)),
+    times AS (
+        SELECT start AS ts,
+            CASE WHEN first_starter % 2 = 0 THEN a_ip ELSE b_ip END AS src,
+            CASE WHEN first_starter % 2 = 0 THEN a_port ELSE b_port END AS sport,
+            CASE WHEN first_starter % 2 = 0 THEN b_ip ELSE a_ip END AS dst,
+            CASE WHEN first_starter % 2 = 0 THEN b_port ELSE a_port END AS dport,
+            ts AS second, n AS packets, fin, rst
+        FROM numbered),
+    built AS (
+        SELECT ts, src, sport, dst, dport,
+            CASE WHEN max(rst) > 0 THEN 'reset' WHEN max(fin) > 0 THEN 'close'
+                 ELSE 'timeout' END AS end_state,
+            max(second) AS last_ts, CAST(sum(packets) AS BIGINT) AS packets
+        FROM times GROUP BY ts, src, sport, dst, dport)"""
 _PER_SECOND = f"""
     per_second AS (
-        SELECT {_CONNECTION}, ts, CAST(count(*) AS INTEGER) AS n, min(starter) AS starter,
+        SELECT {_CONNECTION}, ts, count(*) AS n, min(starter) AS starter,
             max(syn) AS syn, max(fin) AS fin, max(rst) AS rst
         FROM (
             SELECT ts, CAST(fin AS INTEGER) AS fin, CAST(rst AS INTEGER) AS rst,
@@ -66,14 +62,15 @@ _PER_SECOND = f"""
                 CASE WHEN onward THEN tcp_sport ELSE tcp_dport END AS a_port,
                 CASE WHEN onward THEN ip_dst ELSE ip_src END AS b_ip,
                 CASE WHEN onward THEN tcp_dport ELSE tcp_sport END AS b_port
-            FROM (SELECT *, (ip_src, tcp_sport) <= (ip_dst, tcp_dport) AS onward FROM sessions))
+            FROM (SELECT *, (ip_src, tcp_sport) <= (ip_dst, tcp_dport) AS onward FROM sessions
+                  WHERE tcp_sport IS NOT NULL AND tcp_dport IS NOT NULL))
         GROUP BY {_CONNECTION}, ts)"""
 
 
 def _sql(body: str) -> str:
     """A statement over the conversations of the session packets (`built`)."""
     views = with_views("", "sessions").strip()
-    return f"{views},{_PER_SECOND},\nbuilt AS ({_BUILD})\n{body.strip()}"
+    return f"{views},{_PER_SECOND},{_NUMBERED}\n{body.strip()}"
 
 
 def _as_text(df: DataFrame) -> DataFrame:
@@ -88,34 +85,54 @@ def _built(t: Tables) -> DataFrame:
     return conversations.conversation_build(t.sessions, GAP)
 
 
+def _times(t: Tables) -> DataFrame:
+    return conversations.conversation_times(t.sessions, GAP)
+
+
 def _streamed(t: Tables) -> DataFrame:
     """Run the stream over the event files until all are read, and read its output back."""
-    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
+    spark = t.spark.newSession()  # settings of the stream stay with it
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # The state keeps the number of partitions it is started with: one per core.
+    spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    events = spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
     out = shared_folder(t.spark, "stream-conversations")
     stream = stream_conversations(t.sessions_of(events), f"{DELAY_HOURS} hours", GAP)
-    # The state keeps the number of partitions it is started with: one per core.
-    partitions = t.spark.conf.get("spark.sql.shuffle.partitions")
-    t.spark.conf.set("spark.sql.shuffle.partitions", t.spark.sparkContext.defaultParallelism)
-    try:
-        query = (
-            stream.writeStream.format("parquet").option("path", f"{out}/rows")
-            .option("checkpointLocation", f"{out}/checkpoint")
-            .trigger(availableNow=True).start()
-        )
-    finally:
-        t.spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    query = (
+        stream.writeStream.format("parquet").option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
     query.awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
-_COLUMNS = "ts, src, sport, dst, dport, end_state, timestamps, intervals, part"
+_HEADER = "ts, src, sport, dst, dport"
+_WATERMARK = f"(SELECT max(ts) - {DELAY_HOURS * 3600} FROM sessions)"
+_LISTS = f"""
+    SELECT {_HEADER},
+        string_agg(rtrim(repeat(CAST(second AS VARCHAR) || ',', CAST(packets AS INTEGER)), ','),
+            ',' ORDER BY second) AS timestamps,
+        regexp_replace(string_agg(rtrim(repeat(CAST(second - ts AS VARCHAR) || ',',
+            CAST(packets AS INTEGER)), ','), ',' ORDER BY second), '^0,?', '') AS intervals
+    FROM times GROUP BY {_HEADER}"""
+_LATENCY = f"""
+    SELECT CAST(i AS BIGINT) * 1000 AS interval_ms, count(*) AS count
+    FROM (SELECT unnest(string_split(intervals, ',')) AS i FROM ({_LISTS}))
+    WHERE i <> '' GROUP BY 1"""
 
 QUERIES = [
-    Query("conversation_build", lambda t: _as_text(_built(t)),
-          _sql(f"SELECT {_COLUMNS} FROM built")),
-    Query("stream_conversations", lambda t: _as_text(_streamed(t)),
-          _sql(f"""SELECT {_COLUMNS} FROM built WHERE last_ts + {GAP} <
-                   (SELECT max(ts) - {DELAY_HOURS * 3600} FROM sessions)""")),
+    Query("conversation_build", _built,
+          _sql(f"SELECT {_HEADER}, end_state, last_ts, packets FROM built")),
+    Query("conversation_times", _times, _sql(f"SELECT {_HEADER}, second, packets FROM times")),
+    Query("conversation_lists",
+          lambda t: _as_text(conversations.conversation_lists(_times(t))), _sql(_LISTS)),
+    Query("stream_conversations", _streamed,
+          _sql(f"""SELECT {_HEADER}, second, packets, NULL::VARCHAR AS end_state,
+                       NULL::BIGINT AS last_ts FROM times WHERE second < {_WATERMARK}
+                   UNION ALL
+                   SELECT {_HEADER}, NULL, packets, end_state, last_ts FROM built
+                   WHERE last_ts + {GAP} < {_WATERMARK}""")),
     Query("conversation_volume",
           lambda t: conversations.conversation_volume(_built(t), t.sessions, DAY),
           _sql(f"""
@@ -123,9 +140,8 @@ QUERIES = [
               FROM built b JOIN sessions p ON {sql_bin('b.ts', DAY)} = {sql_bin('p.ts', DAY)}
                   AND src = ip_src AND sport = tcp_sport AND dst = ip_dst AND dport = tcp_dport
               GROUP BY src, sport, dst, dport""")),
-    Query("latency_histogram", lambda t: conversations.latency_histogram(_built(t)),
-          _sql("""
-              SELECT CAST(i AS INTEGER) * 1000 AS interval_ms, count(*) AS count
-              FROM (SELECT unnest(string_split(intervals, ',')) AS i FROM built)
-              WHERE i <> '' GROUP BY 1""")),
+    Query("latency_histogram",
+          lambda t: conversations.latency_histogram_of_times(_times(t)), _sql(_LATENCY)),
+    Query("latency_histogram_lists", lambda t: conversations.latency_histogram(
+        conversations.conversation_lists(_times(t))), _sql(_LATENCY)),
 ]

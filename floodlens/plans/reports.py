@@ -12,9 +12,9 @@ from floodlens.sources.sinks import csv_report_sink
 def _write(folder: str, bounded: dict[str, DataFrame], others: dict[str, DataFrame]) -> None:
     """Results of bounded size as one file each, the others as Spark partitions them."""
     for name, result in bounded.items():
-        csv_report_sink(result, f"{folder}/{name}")
+        csv_report_sink(result, f"{folder}/{name}", single_file=True)
     for name, result in others.items():
-        csv_report_sink(result, f"{folder}/{name}", single_file=False)
+        csv_report_sink(result, f"{folder}/{name}")
 
 
 def packet_report(packets: DataFrame, ip_proto_dim: DataFrame, port_dim: DataFrame,

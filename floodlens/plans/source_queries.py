@@ -267,7 +267,8 @@ _SPLIT_CONNECTION_SQL = with_views("""
                     CAST(tcp_dport AS VARCHAR))
         ELSE concat(ip_dst, '.', CAST(tcp_dport AS VARCHAR), '-', ip_src, '.',
                     CAST(tcp_sport AS VARCHAR)) END AS connection,
-        ts, ip_src, ip_dst, ip_total_length FROM sessions""", "sessions")
+        ts, ip_src, ip_dst, ip_total_length FROM sessions
+        WHERE tcp_sport IS NOT NULL AND tcp_dport IS NOT NULL""", "sessions")
 
 
 def _capture_scan(t: Tables) -> DataFrame:

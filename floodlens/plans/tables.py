@@ -94,16 +94,18 @@ class Tables:
 
     @staticmethod
     def sessions_of(events: DataFrame) -> DataFrame:
-        """TCP packets of few connections, both directions, with opening and ending flags."""
+        """TCP packets of few connections, both directions, with opening and ending flags; some
+        are later fragments without ports."""
         one = "concat('10.9.', cast(user_id % 5 as string), '.', cast(user_id % 20 as string))"
         port = "cast(1024 + user_id % 3 as int)"
         back = "event_id % 3 = 1"
+        whole = "event_id % 97 <> 5"
         return events.selectExpr(
             f"{epoch('ts')} as ts", "6 as ip_proto",
             f"case when {back} then '192.0.2.9' else {one} end as ip_src",
             f"case when {back} then {one} else '192.0.2.9' end as ip_dst",
-            f"case when {back} then 80 else {port} end as tcp_sport",
-            f"case when {back} then {port} else 80 end as tcp_dport",
+            f"case when {whole} then case when {back} then 80 else {port} end end as tcp_sport",
+            f"case when {whole} then case when {back} then {port} else 80 end end as tcp_dport",
             "if(event_id % 6 = 0, 1, 0) as tcp_syn", "if(event_id % 4 = 3, 1, 0) as tcp_ack",
             "if(event_id % 10 = 5, 1, 0) as tcp_fin", "if(event_id % 50 = 7, 1, 0) as tcp_rst",
             "cast(20 + event_id % 1000 as int) as ip_total_length",
@@ -308,8 +310,10 @@ VIEWS = {
     "sessions": f"""SELECT {sql_epoch('ts')} AS ts,
         CASE WHEN event_id % 3 = 1 THEN '192.0.2.9' ELSE {_SESSION_IP} END AS ip_src,
         CASE WHEN event_id % 3 = 1 THEN {_SESSION_IP} ELSE '192.0.2.9' END AS ip_dst,
-        CASE WHEN event_id % 3 = 1 THEN 80 ELSE {_SESSION_PORT} END AS tcp_sport,
-        CASE WHEN event_id % 3 = 1 THEN {_SESSION_PORT} ELSE 80 END AS tcp_dport,
+        CASE WHEN event_id % 97 <> 5 THEN
+            CASE WHEN event_id % 3 = 1 THEN 80 ELSE {_SESSION_PORT} END END AS tcp_sport,
+        CASE WHEN event_id % 97 <> 5 THEN
+            CASE WHEN event_id % 3 = 1 THEN {_SESSION_PORT} ELSE 80 END END AS tcp_dport,
         event_id % 6 = 0 AND event_id % 4 <> 3 AS syn, event_id % 10 = 5 AS fin,
         event_id % 50 = 7 AS rst, CAST(20 + event_id % 1000 AS INTEGER) AS ip_total_length
         FROM events""",

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def csv_report_sink(df: DataFrame, folder: str, single_file: bool = True) -> None:
-    """A result as CSV with header. One file is for report-sized results only."""
-    out = df.coalesce(1) if single_file else df
+def csv_report_sink(df: DataFrame, folder: str, single_file: bool = False) -> None:
+    """A result as CSV with header, in as many files as tasks. `single_file` is for report-sized
+    results; the rows are shuffled, so that the work before them stays spread."""
+    out = df.repartition(1) if single_file else df
     out.write.option("header", True).csv(folder)
 
 
@@ -39,8 +40,10 @@ def connection_name(src: str = "ip_src", sport: str = "tcp_sport", dst: str = "i
 
 
 def with_connection(packets: DataFrame) -> DataFrame:
-    """TCP packets with the name of their connection."""
-    return packets.filter(F.col("ip_proto") == 6).withColumn("connection", connection_name())
+    """TCP packets with ports, and the name of their connection."""
+    held = ((F.col("ip_proto") == 6) & F.col("tcp_sport").isNotNull()
+            & F.col("tcp_dport").isNotNull())
+    return packets.filter(held).withColumn("connection", connection_name())
 
 
 def connection_split(packets: DataFrame, folder: str, groups: int = 4096) -> None:

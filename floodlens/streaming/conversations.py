@@ -11,19 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from floodlens.operators.conversations import (
-    CONNECTION,
-    MAX_PACKETS_PER_ROW,
-    connection_packets,
-)
+from floodlens.operators.conversations import CONNECTION, connection_packets
 from floodlens.session import ship_package
 
 _SECOND = "n bigint, starter int, syn int, fin int, rst int"
+_OPEN = "start bigint, last bigint, from_a int, packets bigint, fin int, rst int, ended int"
 _OUTPUT = (
-    "ts bigint, src string, sport int, dst string, dport int, end_state string, "
-    "timestamps array<bigint>, intervals array<double>, part int"
+    "ts bigint, src string, sport int, dst string, dport int, second bigint, packets bigint, "
+    "end_state string, last_ts bigint"
 )
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def combine_seconds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,100 +31,93 @@ def combine_seconds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class ConversationTracker(StatefulProcessor):
-    """Keeps the seconds of a connection and emits its conversations once they are over.
+    """Keeps the seconds of a connection that the watermark has not passed, and what is known of its
+    open conversation.
 
-    A conversation is over when the watermark has passed its last packet by more than the gap;
-    nothing that still may arrive can then belong to it, in whatever order packets come.
+    A second is complete once the watermark has passed it; it is then given out and added to the
+    open conversation. That one is over when the watermark has passed its last packet by more
+    than the gap, or when a later second begins another.
     """
 
-    def __init__(self, gap_s: int, max_packets_per_row: int) -> None:
+    def __init__(self, gap_s: int) -> None:
         self.gap_s = gap_s
-        self.max_packets = max_packets_per_row
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seconds = handle.getMapState("seconds", "ts bigint", _SECOND)
+        self.waiting = handle.getMapState("seconds", "ts bigint", _SECOND)
+        self.open = handle.getValueState("open", _OPEN)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
             merged = batch.groupby("ts").agg(
                 {"n": "sum", "starter": "min", "syn": "max", "fin": "max", "rst": "max"})
             for ts, *new in merged.itertuples():
-                old = self.seconds.getValue((int(ts),))
+                ts = int(ts)
+                old = self.waiting.getValue((ts,))
                 n, starter, syn, fin, rst = map(int, new)
                 if old is not None:
                     n, starter = n + old[0], min(starter, old[1])
                     syn, fin, rst = max(syn, old[2]), max(fin, old[3]), max(rst, old[4])
-                self.seconds.updateValue((int(ts),), (n, starter, syn, fin, rst))
-        for conversation in self._held():
-            self.handle.registerTimer(self._over_at(conversation) * 1000 + 1)
+                self.waiting.updateValue((ts,), (n, starter, syn, fin, rst))
+                first = ts if first is None else min(first, ts)
+        if first is not None:
+            self.handle.registerTimer(first * 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark_s = timerValues.getCurrentWatermarkInMs() / 1000
-        rows = []
-        for conversation in self._held():
-            if self._over_at(conversation) < watermark_s:
-                rows.extend(self._rows(key, conversation))
-                for second in conversation:
-                    self.seconds.removeKey((second[0],))
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = sorted((k[0], *v) for k, v in self.waiting.iterator())
+        passed = [second for second in held if second[0] * 1000 < watermark]
+        now = tuple(self.open.get()) if self.open.exists() else None
+        rows: list[dict] = []
+        for ts, n, starter, syn, fin, rst in passed:
+            self.waiting.removeKey((ts,))
+            silent = now is None or ts - now[1] > self.gap_s
+            if now is not None and (silent or (syn and now[6])):
+                rows.append(self._header(key, now))
+                now = None
+            if now is None:
+                now = (ts, ts, int(starter % 2 == 0), 0, 0, 0, 0)
+            ended = 1 if fin or rst else 0 if syn or silent else now[6]
+            now = (now[0], ts, now[2], now[3] + n, max(now[4], fin), max(now[5], rst), ended)
+            rows.append({**self._named(key, now), "second": ts, "packets": n})
+        if now is not None and (now[1] + self.gap_s) * 1000 < watermark:
+            rows.append(self._header(key, now))
+            now = None
+        if now is None:
+            self.open.clear()
+        else:
+            self.open.update(now)
+            self.handle.registerTimer((now[1] + self.gap_s) * 1000 + 1)
+        if len(held) > len(passed):
+            self.handle.registerTimer(held[len(passed)][0] * 1000 + 1)
         yield pd.DataFrame(rows)
 
-    def _over_at(self, conversation: list[tuple]) -> int:
-        return conversation[-1][0] + self.gap_s
-
-    def _held(self) -> list[list[tuple]]:
-        """The held seconds, cut at silences and where an ended connection is opened anew."""
-        found: list[list[tuple]] = []
-        ended = False
-        for second in sorted((k[0], *v) for k, v in self.seconds.iterator()):
-            ts, _, _, syn, fin, rst = second
-            silent = not found or ts - found[-1][-1][0] > self.gap_s
-            if silent or (syn and ended):
-                found.append([])
-            if fin or rst:
-                ended = True
-            elif syn or silent:
-                ended = False
-            found[-1].append(second)
-        return found
-
     def close(self) -> None:
         pass
 
-    def _rows(self, key, seconds: list[tuple]) -> Iterator[dict]:
-        start = seconds[0][0]
-        a, b = (key[0], key[1]), (key[2], key[3])
-        src, dst = (a, b) if seconds[0][2] % 2 == 0 else (b, a)
-        state = ("reset" if any(s[5] for s in seconds)
-                 else "close" if any(s[4] for s in seconds) else "timeout")
-        parts: dict[int, list[int]] = {}
-        before = 0
-        for ts, n, *_ in seconds:
-            for done in range(0, n, self.max_packets):
-                part = (before + done) // self.max_packets
-                parts.setdefault(part, []).extend([ts] * min(self.max_packets, n - done))
-            before += n
-        for part, stamps in parts.items():
-            offsets = [float(ts - start) for ts in stamps]
-            yield {
-                "ts": start, "src": src[0], "sport": src[1], "dst": dst[0], "dport": dst[1],
-                "end_state": state, "timestamps": stamps,
-                "intervals": offsets[1:] if part == 0 else offsets, "part": part,
-            }
+    def _named(self, key, now: tuple) -> dict:
+        one, two = (key[0], key[1]), (key[2], key[3])
+        src, dst = (one, two) if now[2] else (two, one)
+        return {"ts": now[0], "src": src[0], "sport": src[1], "dst": dst[0], "dport": dst[1],
+                "second": None, "packets": now[3], "end_state": None, "last_ts": None}
+
+    def _header(self, key, now: tuple) -> dict:
+        state = "reset" if now[5] else "close" if now[4] else "timeout"
+        return {**self._named(key, now), "end_state": state, "last_ts": now[1]}
 
 
 def stream_conversations(packet_stream: DataFrame, watermark: str = "10 minutes",
-                         gap_s: int = 60,
-                         max_packets_per_row: int = MAX_PACKETS_PER_ROW) -> DataFrame:
-    """Conversations of a packet stream, each as soon as it is over.
+                         gap_s: int = 60) -> DataFrame:
+    """Conversations of a packet stream, as far as the watermark has come.
 
-    Packets later than the watermark are dropped. The rows equal those of `conversation_build`
-    over the same packets, less the conversations that are still open.
+    Rows with a `second` equal those of `conversation_times` over the same packets, for seconds the
+    watermark has passed. Rows without one equal those of `conversation_build`, for conversations
+    that are over. Packets later than the watermark are dropped. The session must keep state in
+    RocksDB, as `build_session` sets it.
     """
-    spark = packet_stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    ship_package(spark)
+    ship_package(packet_stream.sparkSession)
     # The driver-side planning worker does not see shipped packages: send the code itself.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     schema = (
@@ -141,6 +130,6 @@ def stream_conversations(packet_stream: DataFrame, watermark: str = "10 minutes"
         .withWatermark("event_time", watermark)
         .groupBy(*CONNECTION)
         .transformWithStateInPandas(
-            statefulProcessor=ConversationTracker(gap_s, max_packets_per_row),
+            statefulProcessor=ConversationTracker(gap_s),
             outputStructType=_OUTPUT, outputMode="Append", timeMode="EventTime")
     )

@@ -1,6 +1,7 @@
 """Conversations against a packet-by-packet tracker, in batch and as a stream."""
 
 import random
+from collections import Counter
 
 from support import packets, rows, tcp
 
@@ -58,10 +59,19 @@ def _track(traffic, gap):
         named = min(first, key=lambda p: (p[3] != "S", p[1] > p[2]))
         flags = {p[3] for p in held}
         stamps = [p[0] for p in held]
-        out.append((held[0][0], *named[1], *named[2],
-                    "reset" if "R" in flags else "close" if "F" in flags else "timeout",
-                    stamps, [float(t - stamps[0]) for t in stamps[1:]], 0))
-    return sorted(out, key=str)
+        header = (held[0][0], *named[1], *named[2])
+        out.append((header, "reset" if "R" in flags else "close" if "F" in flags else "timeout",
+                    stamps))
+    return out
+
+
+def _headers(tracked):
+    return sorted(((*h, state, stamps[-1], len(stamps)) for h, state, stamps in tracked), key=str)
+
+
+def _seconds(tracked):
+    return sorted(((*h, ts, n) for h, _, stamps in tracked for ts, n in Counter(stamps).items()),
+                  key=str)
 
 
 def _rows(df):
@@ -71,31 +81,38 @@ def _rows(df):
 def test_batch_equals_tracker(spark):
     for seed in (1, 2, 3):
         traffic = _traffic(seed)
-        got = _rows(conversations.conversation_build(_frame(spark, traffic), GAP))
-        assert got == _track(traffic, GAP)
+        want = _track(traffic, GAP)
+        frame = _frame(spark, traffic)
+        assert _rows(conversations.conversation_build(frame, GAP)) == _headers(want)
+        times = conversations.conversation_times(frame, GAP)
+        assert _rows(times) == _seconds(want)
+        assert _rows(conversations.conversation_lists(times)) == sorted(
+            ((*h, stamps, [float(t - stamps[0]) for t in stamps[1:]]) for h, _, stamps in want),
+            key=str)
 
 
-def test_long_conversations_go_on_in_parts(spark):
-    traffic = [(100 + i // 10, ("a", 1), ("b", 2), "") for i in range(95)]
-    got = _rows(conversations.conversation_build(_frame(spark, traffic), GAP, 4))
-    assert max(len(r[6]) for r in got) <= 7 and {r[8] for r in got} == set(range(24))
-    parts = sorted(got, key=lambda r: r[8])
-    assert [t for r in parts for t in r[6]] == [p[0] for p in traffic]
-    assert sum(len(r[7]) for r in got) == 94
+def test_many_packets_in_a_second_stay_one_conversation(spark):
+    traffic = [(100, ("a", 1), ("b", 2), "")] * 500 + [(101, ("a", 1), ("b", 2), "")]
+    frame = _frame(spark, traffic)
+    built = conversations.conversation_build(frame, GAP)
+    assert _rows(built) == [(100, "a", 1, "b", 2, "timeout", 101, 501)]
+    assert rows(conversations.conversation_volume(built, frame)) == [(50100,)]
 
 
 def test_other_packets_are_left_out(spark):
-    frame = packets(spark, [{"ts": 1, "ip_proto": 17}, {"ts": None, "ip_proto": 6}])
+    frame = packets(spark, [{"ts": 1, "ip_proto": 17}, {"ts": None, "ip_proto": 6},
+                            {"ts": 1, "ip_proto": 6, "ip_src": "a", "ip_dst": "b"}])
     assert conversations.conversation_build(frame).count() == 0
+    assert conversations.conversation_times(frame).count() == 0
 
 
-def _stream(spark, tmp_path, frames, watermark, gap, **more):
+def _stream(spark, tmp_path, frames, watermark, gap):
     source = str(tmp_path / "in")
     for frame in frames:
         frame.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(frames[0].schema).option(
         "maxFilesPerTrigger", 1).parquet(source)
-    tracked = stream_conversations(stream, watermark, gap, **more)
+    tracked = stream_conversations(stream, watermark, gap)
     query = (
         tracked.writeStream.format("parquet").option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "check"))
@@ -114,16 +131,22 @@ def test_stream_equals_batch(spark, tmp_path):
     frames = [_frame(spark, part) for part in (
         shuffled[:third], shuffled[third:2 * third], shuffled[2 * third:], closing)]
     got = _stream(spark, tmp_path, frames, "60 seconds", GAP)
-    assert _rows(got) == _track(traffic, GAP)
+    want = _track(traffic, GAP)
+    over = got.where("second is null").select(*conversations.HEADER, "end_state", "last_ts",
+                                              "packets")
+    assert _rows(over) == _headers(want)
+    times = got.where("second is not null").select(*conversations.HEADER, "second", "packets")
+    assert _rows(times) == _seconds(want)
 
 
-def test_stream_parts(spark, tmp_path):
-    traffic = [(100 + i // 10, ("a", 1), ("b", 2), "") for i in range(95)]
-    closing = [(5000, ("c", 1), ("d", 2), "")]
-    frames = [_frame(spark, traffic), _frame(spark, closing)]
-    got = _stream(spark, tmp_path, frames, "1 second", GAP, max_packets_per_row=4)
-    want = conversations.conversation_build(frames[0], GAP, 4)
-    assert _rows(got) == _rows(want)
+def test_open_conversation_gives_its_passed_seconds(spark, tmp_path):
+    traffic = [(100 + 10 * i, ("a", 1), ("b", 2), "") for i in range(30)]
+    frames = [_frame(spark, traffic[:10]), _frame(spark, traffic[10:20]),
+              _frame(spark, traffic[20:])]
+    got = _stream(spark, tmp_path, frames, "50 seconds", GAP)
+    assert got.where("second is null").count() == 0
+    passed = [t for t, *_ in traffic if t < traffic[-1][0] - 50]
+    assert sorted(r["second"] for r in got.collect()) == passed
 
 
 def test_volume_counts_shared_bins_twice(spark):
@@ -136,6 +159,12 @@ def test_volume_counts_shared_bins_twice(spark):
 
 
 def test_latency(spark):
-    frame = spark.createDataFrame([([0.0015, 2.0],), ([0.0019],), ([],)],
+    days = 40 * 86400.0
+    frame = spark.createDataFrame([([0.0015, 2.0],), ([0.0019, days],), ([],)],
                                   "intervals array<double>")
-    assert rows(conversations.latency_histogram(frame)) == [(1, 2), (2000, 1)]
+    assert rows(conversations.latency_histogram(frame)) == [
+        (1, 2), (2000, 1), (40 * 86400 * 1000, 1)]
+    traffic = [(100 + 10 ** 6 * i, ("a", 1), ("b", 2), "") for i in (0, 0, 1, 5)]
+    times = conversations.conversation_times(_frame(spark, traffic), 10 ** 7)
+    assert rows(conversations.latency_histogram_of_times(times)) == [
+        (0, 1), (10 ** 9, 1), (5 * 10 ** 9, 1)]

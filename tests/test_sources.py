@@ -316,7 +316,9 @@ def test_capture_overwrite(spark, tmp_path):
 
 def test_csv_and_tab_sinks(spark, tmp_path):
     frame = spark.createDataFrame([("US", 21), ("NONE", 7)], "country string, sips long")
-    sinks.csv_report_sink(frame, str(tmp_path / "csv"))
+    sinks.csv_report_sink(frame.repartition(2), str(tmp_path / "many"))
+    assert len(list((tmp_path / "many").glob("part-*"))) == 2
+    sinks.csv_report_sink(frame, str(tmp_path / "csv"), single_file=True)
     (part,) = (tmp_path / "csv").glob("part-*")
     assert part.read_text().splitlines()[0] == "country,sips"
     sinks.delimited_sink(frame, str(tmp_path / "tab"))
