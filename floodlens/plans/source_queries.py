@@ -1,7 +1,8 @@
 """Queries that read text, JSON or capture inputs, and the sinks.
 
-The driver tables hold no such inputs, so each query first lets Spark derive the lines (or files)
-from the relations and then reads them back; the check compares with the relations themselves.
+The driver tables hold no such inputs, so each query first lets Spark write files of such lines,
+derived from the relations, to the shared folder, and then scans that folder; the check compares
+with the relations themselves.
 """
 
 from __future__ import annotations
@@ -34,19 +35,22 @@ def _line(*columns: Column, sep: str) -> Column:
     return F.concat_ws(sep, *[F.coalesce(c.cast("string"), F.lit("NONE")) for c in columns])
 
 
-def _lines(df: DataFrame, value: Column) -> DataFrame:
-    return df.select(value.alias("value"))
+def _files(df: DataFrame, value: Column, name: str) -> str:
+    """A folder of text files with `value` of each row, at least two of them."""
+    folder = shared_folder(df.sparkSession, name)
+    df.select(value.alias("value")).repartition(2).write.text(folder)
+    return folder
 
 
 def _packet_scan(t: Tables) -> DataFrame:
     columns = [F.concat(F.col("ts").cast("string"), F.lit(".25")),
                *[F.col(c) for c in schemas.PACKETS.names[1:]]]
-    return records.parse_packets(_lines(t.packets, _line(*columns, sep=" ")))
+    return records.packet_scan(t.spark, _files(t.packets, _line(*columns, sep=" "), "packets"))
 
 
 def _flow_scan(t: Tables) -> DataFrame:
     columns = [F.col(c) for c in schemas.FLOWS.names]
-    return records.parse_flows(_lines(t.flows, _line(*columns, sep=" ")))
+    return records.flow_scan(t.spark, _files(t.flows, _line(*columns, sep=" "), "flows"))
 
 
 _OUTSIDE = "l_linenumber % 4 <> 0"
@@ -74,7 +78,7 @@ def _flow_prepare(t: Tables) -> DataFrame:
     return records.flow_prepare(export, "192.0.2.0/23")
 
 
-def _alert_scan(t: Tables) -> DataFrame:
+def _alert_scan(t: Tables, compat: bool = False) -> DataFrame:
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ts") / DAY).cast("int"))
     second = F.col("ts") % DAY
     clock = F.format_string("%02d:%02d:%02d", F.floor(second / 3600),
@@ -87,8 +91,8 @@ def _alert_scan(t: Tables) -> DataFrame:
         F.col("sport").cast("string"), F.lit(" -> "), F.col("dst"), F.lit(":"),
         F.col("dport").cast("string"))
     # A line of another shape after every alert.
-    both = t.alerts.select(F.explode(F.array(value, F.lit("--- snipped ---"))).alias("value"))
-    return alert_source.parse_alerts(both)
+    both = t.alerts.select(F.explode(F.array(value, F.lit("--- snipped ---"))).alias("line"))
+    return alert_source.alert_scan(t.spark, _files(both, F.col("line"), "alerts"), compat)
 
 
 def _fingerprint_scan(t: Tables) -> DataFrame:
@@ -100,9 +104,13 @@ def _fingerprint_scan(t: Tables) -> DataFrame:
         return F.concat(title, F.lit(f" (syn) ]-\n|\n| {side}   = "), F.col("src"),
                         F.lit("\n| os       = "), system, F.lit("\n| dist     = 12\n|\n"))
 
-    blocks = t.fingerprint_events.select("event_id", F.explode(F.array(
+    blocks = t.fingerprint_events.select("*", F.explode(F.array(
         block("client", F.col("os")), block("server", F.lit("srv")))).alias("value"))
-    return fingerprints.parse_fingerprints(blocks, F.col("event_id")).select(
+    # The observations of a connection are in one log, in order.
+    folder = shared_folder(t.spark, "fingerprints")
+    (blocks.repartition(2, "src", "sport", "dst", "dport").sortWithinPartitions("event_id")
+     .select(F.concat("value", F.lit(fingerprints.BLOCK_END + "\n"))).write.text(folder))
+    return fingerprints.fingerprint_scan(t.spark, folder).select(
         "ts", "src", "sport", "dst", "dport", "os", "app", "dist")
 
 
@@ -120,7 +128,7 @@ def _conversation_scan(t: Tables) -> DataFrame:
         (F.col("ts") + 0.5).alias("ts"), "src", "sport", "dst", "dport",
         F.lit("close").alias("end_state"),
         F.array(*[F.col("ts") + x for x in (0.5, 1.75, 4.0)]).alias("timestamps")))
-    rows = conversations.parse_conversations(_lines(t.http, value))
+    rows = conversations.conversation_scan(t.spark, _files(t.http, value, "conversations"))
 
     def text(column: str) -> Column:
         return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
@@ -129,17 +137,18 @@ def _conversation_scan(t: Tables) -> DataFrame:
         "intervals", text("intervals"))
 
 
-def _header_lines(t: Tables) -> DataFrame:
-    """Two header lines per HTTP row."""
+def _header_files(t: Tables) -> str:
+    """Two header lines per HTTP row, in files."""
     key = [F.concat(F.col("ts").cast("string"), F.lit(".75")), F.col("src"), F.col("sport"),
            F.col("dst"), F.col("dport"), F.lit("GET /index HTTP/1.1"), F.lit("s")]
-    return t.http.select(F.explode(F.array(
+    return _files(t.http.select(F.explode(F.array(
         F.concat_ws("\t", *key, F.lit("host"), F.lit("example.org")),
-        F.concat_ws("\t", *key, F.lit("user-agent"), F.col("field")))).alias("value"))
+        F.concat_ws("\t", *key, F.lit("user-agent"), F.col("field")))).alias("line")),
+        F.col("line"), "headers")
 
 
 def _all_fields(t: Tables) -> DataFrame:
-    rows = http.parse_http_all_fields(_header_lines(t))
+    rows = http.http_all_fields_scan(t.spark, _header_files(t))
     return rows.withColumn("fields", F.array_join("fields", "|"))
 
 
@@ -173,18 +182,19 @@ _SPLIT_SQL = """
     FROM pages"""
 
 
-def _dns_lines(t: Tables) -> DataFrame:
+def _dns_messages(t: Tables) -> DataFrame:
     response = F.col("mode") == "response"
     question = F.array(F.struct(F.col("name").alias("qname"), F.lit(1).alias("qtype"),
                                 F.lit(1).alias("qclass")))
     answer = F.array(F.struct(
         F.col("name").alias("qname"), F.lit(1).alias("qtype"), F.lit(1).alias("qclass"),
         F.col("ttl").alias("qttl"), F.struct(F.col("addr").alias("IPAddress")).alias("qrdata")))
-    return _lines(t.dns, F.to_json(F.struct(
+    value = F.to_json(F.struct(
         (F.col("ts") + 0.25).alias("ts"), "id", "mode",
         F.lit("192.0.2.53").alias("srcIP"), F.lit("192.0.2.1").alias("dstIP"),
         question.alias("questions"), F.when(response, answer).otherwise(F.slice(answer, 1, 0))
-        .alias("answers"))))
+        .alias("answers")))
+    return dns.read_messages(t.spark, _files(t.dns, value, "dns"))
 
 
 def _file_hashes(t: Tables) -> DataFrame:
@@ -210,8 +220,9 @@ def _whois_clean(t: Tables) -> DataFrame:
     value = F.concat_ws(" | ", F.rpad("asn", 7, " "), F.lit("192.0.2.1 "),
                         F.col("bgp_prefix"), F.coalesce("country", F.lit("")),
                         F.concat("as_info", F.lit(", Inc. - X")))
-    return records.whois_clean(t.prefix_dim.select(F.explode(F.array(
-        value, F.lit("Bulk mode; one record per line"))).alias("value")))
+    lines = t.prefix_dim.select(F.explode(F.array(
+        value, F.lit("Bulk mode; one record per line"))).alias("line"))
+    return records.whois_scan(t.spark, _files(lines, F.col("line"), "whois"))
 
 
 _WHOIS_SQL = with_views("""
@@ -227,6 +238,13 @@ def _csv_report(t: Tables) -> DataFrame:
     return t.spark.read.schema(result.schema).option("header", True).csv(folder)
 
 
+def _tab_report(t: Tables) -> DataFrame:
+    result = attack.country_stats(t.packets, t.asn_dim)
+    folder = shared_folder(t.spark, "report-tab")
+    sinks.delimited_sink(result, folder)
+    return t.spark.read.schema(result.schema).option("sep", "\t").csv(folder)
+
+
 def _json_objects(t: Tables) -> DataFrame:
     rows = alerts.alert_bin_signature(t.alerts, DAY).withColumn("note", F.when(
         F.col("priority") == 1, "high"))
@@ -298,22 +316,24 @@ QUERIES = [
         FROM lineitem WHERE {_OUTSIDE} AND l_linenumber % 3 > 0""".strip()),
     Query("packet_scan_pcap", _capture_scan, _CAPTURE_SQL),
     Query("alert_scan", _alert_scan, with_views("SELECT * FROM alerts", "alerts")),
+    Query("alert_scan_compat", lambda t: _alert_scan(t, compat=True), with_views(
+        "SELECT * REPLACE (ts + 674 AS ts) FROM alerts", "alerts")),
     Query("fingerprint_scan", _fingerprint_scan, _FINGERPRINT_SQL),
     Query("conversation_scan", _conversation_scan, with_views("""
         SELECT ts, src, sport, dst, dport, 'close' AS end_state,
                concat(CAST(ts AS VARCHAR), ',', CAST(ts + 1 AS VARCHAR), ',',
                       CAST(ts + 4 AS VARCHAR)) AS timestamps, '1.25,3.5' AS intervals
         FROM http""", "http")),
-    Query("http_field_scan", lambda t: http.parse_http_field(_header_lines(t), "user-agent"),
+    Query("http_field_scan", lambda t: http.http_field_scan(t.spark, _header_files(t), "user-agent"),
           with_views("SELECT * FROM http", "http")),
     Query("http_all_fields_scan", _all_fields, with_views("""
         SELECT ts, src, sport, dst, dport, 'GET /index HTTP/1.1' AS request,
                unnest(['host|example.org', concat('user-agent|', field)]) AS fields
         FROM http""", "http")),
     Query("http_message_split", _message_split, _SPLIT_SQL.strip()),
-    Query("dns_rows", lambda t: dns.dns_rows(dns.parse_messages(_dns_lines(t))),
+    Query("dns_rows", lambda t: dns.dns_rows(_dns_messages(t)),
           with_views("SELECT * FROM dns", "dns")),
-    Query("dns_all_rows", lambda t: dns.dns_all_rows(dns.parse_messages(_dns_lines(t))),
+    Query("dns_all_rows", lambda t: dns.dns_all_rows(_dns_messages(t)),
           with_views("""
               SELECT ts, id, CASE mode WHEN 'query' THEN 'question' ELSE mode END AS mode, name,
                      CAST(NULL AS VARCHAR) AS addr, 0::BIGINT AS ttl, '192.0.2.53' AS src_ip,
@@ -321,12 +341,21 @@ QUERIES = [
               UNION ALL
               SELECT ts, id, mode, name, addr, ttl, '192.0.2.53' AS src_ip, '192.0.2.1' AS dst_ip,
                      1 AS class, 1 AS type FROM dns WHERE mode = 'response'""", "dns")),
+    Query("dns_packet_rows", lambda t: dns.dns_packet_rows(_dns_messages(t)), with_views("""
+        SELECT ts, id, CASE mode WHEN 'query' THEN 'question' ELSE mode END AS mode, name,
+               CAST(NULL AS VARCHAR) AS addr, 0::BIGINT AS ttl FROM dns
+        UNION ALL
+        SELECT ts, id, mode, name, addr, ttl FROM dns WHERE mode = 'response'""", "dns")),
     Query("http_file_hashes", _file_hashes, _HASH_SQL.strip()),
     Query("whois_clean", _whois_clean, _WHOIS_SQL),
     Query("csv_report_sink", _csv_report, with_views("""
         SELECT coalesce(country, 'NONE') AS country, count(*) AS sips
         FROM (SELECT DISTINCT ip_src FROM f2) LEFT JOIN asn_dim ON ip_src = ip
         GROUP BY country""", "f2", "asn_dim")),
+    Query("delimited_sink", _tab_report, with_views("""
+        SELECT coalesce(country, 'NONE') AS country, count(*) AS sips
+        FROM (SELECT DISTINCT ip_src FROM f2) LEFT JOIN asn_dim ON ip_src = ip
+        GROUP BY country""", "f2", "asn_dim")),
     Query("json_sink", _json_objects, _JSON_SQL),
     Query("external_store_sink", _external_store, with_views(f"""
         SELECT {sql_bin('ts', HOUR)} AS bin, CAST(sum(ip_total_length) AS BIGINT) AS bytes

@@ -150,7 +150,7 @@ class Tables:
     @cached_property
     def fingerprint_events(self) -> DataFrame:
         return self._endpoint_rows(
-            "event_id % 2 = 0", "concat('os-', cast(user_id % 5 as string)) as os", "event_id")
+            "true", "concat('os-', cast(user_id % 5 as string)) as os", "event_id")
 
     @cached_property
     def fingerprints(self) -> DataFrame:
@@ -336,7 +336,7 @@ VIEWS = {
         CASE WHEN event_id % 2 = 0 THEN 'TCP' ELSE 'UDP' END AS proto
         FROM events WHERE event_type = 'error'""",
     "fingerprints": f"""SELECT {_ENDPOINTS}, event_id,
-        concat('os-', CAST(user_id % 5 AS VARCHAR)) AS os FROM events WHERE event_id % 2 = 0""",
+        concat('os-', CAST(user_id % 5 AS VARCHAR)) AS os FROM events""",
     "http": f"""SELECT {_ENDPOINTS}, concat('agent-', CAST(user_id % 8 AS VARCHAR)) AS field
         FROM events WHERE event_type IN ('error', 'view')""",
     "dns": f"""SELECT {sql_epoch('ts')} AS ts, event_id % 65536 AS id,

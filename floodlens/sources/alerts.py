@@ -2,33 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: the shape of an alert line. Groups: 1 time, 2 generator, 3 rule, 4 message,
-# 5 priority, 6 protocol, 7-8 source and port, 9-10 destination and port.
-ALERT_LINE = (
-    r"^.*?(\S+)  \S+ \[(\d+):(\d+):\d+\] (.*?) \[\*\*\].*?\[Priority: (\d)\] \{(\w+)\} "
-    r"([^: ]+):*([^ ]*) -> ([^: ]+):*([^ ]*).*$"
-)
-_MARK = "\u0001"
+# The marks of an alert line, which reads
+#   time  [**] [generator:rule:revision] message [**] ... [Priority: n] {protocol} end -> end
+_PRIORITY = "[Priority: "
+_ARROW = " -> "
+
+
+def _before(text: Column, mark: str) -> Column:
+    return F.substring_index(text, mark, 1)
+
+
+def _behind(text: Column, mark: str) -> Column:
+    """What follows the first `mark`; null without it."""
+    at = F.locate(mark, text)
+    return F.when(at > 0, F.substring(text, at + len(mark), F.length(text)))
+
+
+def _end(text: Column, protocol: Column) -> tuple[Column, Column]:
+    """Address and port of one end. A dotted address has its port behind a colon; one of colons
+    has it behind the last colon, if the protocol knows ports."""
+    text = F.trim(text)
+    last = F.substring_index(text, ":", -1)
+    colons = F.contains(text, F.lit(":"))
+    has_port = colons & (F.contains(text, F.lit(".")) | F.upper(protocol).isin("TCP", "UDP"))
+    address = F.when(has_port, F.substring(
+        text, F.lit(1), F.length(text) - F.length(last) - 1)).otherwise(text)
+    return address, F.coalesce(F.when(has_port, last).try_cast("int"), F.lit(0))
 
 
 def parse_alerts(lines: DataFrame, compat: bool = False) -> DataFrame:
     """Alert lines (column `value`) as alerts; lines of another shape are skipped.
 
-    The line is matched once and taken apart at a separator, instead of once per field.
-    `compat=True` adds the fraction of the time as milliseconds, whatever its number of digits.
+    A line is cut at its marks: the time and the rule before the message, the priority, the
+    protocol and the two ends behind it. `compat=True` adds the fraction of the time as
+    milliseconds, whatever its number of digits.
     """
-    template = _MARK.join(f"${i}" for i in range(1, 11))
-    parts = F.split(F.regexp_replace("value", ALERT_LINE, template), _MARK, -1)
-    rows = lines.select(parts.alias("p")).filter(F.size("p") == 10)
-
-    def part(i: int):
-        return F.get("p", F.lit(i))
+    three = lines.select(F.split("value", r" +\[\*\*\] +", 3).alias("p")).where(F.size("p") == 3)
+    head, rule, tail = (F.trim(F.get("p", F.lit(i))) for i in range(3))
+    braces = F.substring_index(tail, "{", -1)
+    protocol, ends = _before(braces, "}"), _behind(braces, "}")
+    ids = F.split(_before(F.substring(rule, F.lit(2), F.length(rule)), "]"), ":")
+    src, sport = _end(_before(ends, _ARROW), protocol)
+    dst, dport = _end(_before(F.trim(_behind(ends, _ARROW)), " "), protocol)
+    rows = three.where(
+        rule.startswith("[") & (F.size(ids) == 3) & F.contains(tail, F.lit("{"))
+        & F.contains(ends, F.lit(_ARROW))
+    ).select(
+        F.substring_index(head, " ", -1).alias("time"),
+        F.concat_ws("_", F.get(ids, F.lit(0)), F.get(ids, F.lit(1))).alias("sig"),
+        _before(_behind(tail, _PRIORITY), "]").try_cast("int").alias("priority"),
+        F.trim(_behind(rule, "]")).alias("message"), protocol.alias("proto"),
+        src.alias("src"), sport.alias("sport"), dst.alias("dst"), dport.alias("dport"))
 
     # MM/dd/yy-HH:mm:ss.ffffff, read without a session time zone.
-    stamp = F.split(part(0), r"[/:.\-]", -1)
+    stamp = F.split("time", r"[/:.\-]", -1)
     number = [F.get(stamp, F.lit(i)).try_cast("int") for i in range(6)]
     day = F.unix_date(F.concat_ws(
         "-", (number[2] + 2000).cast("string"), F.get(stamp, F.lit(0)), F.get(stamp, F.lit(1))
@@ -38,16 +68,8 @@ def parse_alerts(lines: DataFrame, compat: bool = False) -> DataFrame:
         fraction = F.coalesce(F.get(stamp, F.lit(6)).try_cast("long"), F.lit(0))
         seconds = seconds + F.floor(fraction / 1000)
     return rows.select(
-        seconds.alias("ts"),
-        F.concat_ws("_", part(1), part(2)).alias("sig"),
-        part(4).try_cast("int").alias("priority"),
-        part(3).alias("message"),
-        part(5).alias("proto"),
-        part(6).alias("src"),
-        F.coalesce(part(7).try_cast("int"), F.lit(0)).alias("sport"),
-        part(8).alias("dst"),
-        F.coalesce(part(9).try_cast("int"), F.lit(0)).alias("dport"),
-    ).filter(F.col("ts").isNotNull())
+        seconds.alias("ts"), "sig", "priority", "message", "proto", "src", "sport", "dst", "dport",
+    ).filter(F.col("ts").isNotNull() & F.col("priority").isNotNull())
 
 
 def alert_scan(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from floodlens.schemas import FINGERPRINT_ATTRIBUTES
 
 BLOCK_END = "`----"
-# The title line and the attribute lines of a block.
-_TITLE = r" ([^/\s]+)/([0-9]+) -> ([^/\s]+)/([0-9]+)"
-_ATTRIBUTE = r"(?m)^\| (.*?) = (.*)$"
+# The marks of a block. Its title reads `.-[ address/port -> address/port (kind) ]-`,
+# and each attribute `| name = value` on a line of its own.
+_TITLE, _ARROW, _ATTRIBUTE, _IS = ".-[ ", " -> ", "| ", " = "
+
+
+def _entry(line: Column) -> Column:
+    """Name and value of an attribute line, around its first ` = `."""
+    at = F.locate(_IS, line)
+    return F.struct(
+        F.trim(F.substring(line, F.lit(len(_ATTRIBUTE) + 1), at - len(_ATTRIBUTE) - 1)).alias("k"),
+        F.trim(F.substring(line, at + len(_IS), F.length(line))).alias("v"))
 
 
 def parse_fingerprints(blocks: DataFrame, position: Column, source: Column | None = None
@@ -22,17 +30,22 @@ def parse_fingerprints(blocks: DataFrame, position: Column, source: Column | Non
     row has the endpoints swapped; a side without any attribute gives no row. The log carries no
     time, so `ts` is 0.
     """
-    names = F.regexp_extract_all("value", F.lit(_ATTRIBUTE), F.lit(1))
-    texts = F.regexp_extract_all("value", F.lit(_ATTRIBUTE), F.lit(2))
-    entries = F.arrays_zip(names.alias("k"), texts.alias("v"))
+    lines = F.split("value", "\n")
+    title = F.get(F.filter(lines, lambda x: F.startswith(x, F.lit(_TITLE))
+                           & F.contains(x, F.lit(_ARROW))), F.lit(0))
+    ends = F.split(F.substring_index(F.substring(
+        title, F.lit(len(_TITLE) + 1), F.length(title)), " (", 1), _ARROW, 2)
+    one, two = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
+    entries = F.transform(
+        F.filter(lines, lambda x: F.startswith(x, F.lit(_ATTRIBUTE)) & F.contains(x, F.lit(_IS))),
+        _entry)
     read = blocks.select(
         (source if source is not None else F.lit("")).alias("source"),
         position.alias("position"),
-        *[F.regexp_extract("value", _TITLE, i + 1).alias(name)
-          for i, name in enumerate(["a", "a_port", "b", "b_port"])],
-        F.transform(entries, lambda e: F.struct(F.trim(e["k"]).alias("k"),
-                                                F.trim(e["v"]).alias("v"))).alias("entries"),
-    ).filter(F.col("a") != "")
+        F.substring_index(one, "/", 1).alias("a"), F.substring_index(one, "/", -1).alias("a_port"),
+        F.substring_index(two, "/", 1).alias("b"), F.substring_index(two, "/", -1).alias("b_port"),
+        entries.alias("entries"),
+    ).filter(F.col("a").isNotNull())
 
     def last_value(attribute: str) -> Column:
         matches = F.filter("entries", lambda e: e["k"] == attribute)
