@@ -13,33 +13,70 @@ from floodlens.functions.geodesy import great_circle_km
 UNKNOWN_COUNTRY = "--"
 
 
+_WIDE = 8  # networks of at most 8 bits: there are 511 of them
+
+
+def _nearest(addresses: DataFrame, ip_col: str, networks: DataFrame) -> DataFrame:
+    """`ip_col` and `_found` of the network with the smallest `_order` that holds each address.
+
+    `addresses` has distinct `ip_col` and their number `_ip`; `networks` has one row per
+    (`_length`, `_network`). They meet by equality, one candidate per length in use. Networks of
+    up to 8 bits hold large parts of all addresses, so these few go to every task instead.
+    """
+    keys = ["_length", "_network"]
+    in_use = networks.agg(F.collect_set("_length")).scalar()
+    keyed = addresses.select(ip_col, "_ip", F.explode(in_use).alias("_length")).withColumn(
+        "_network", F.expr("shiftright(_ip, 32 - _length)"))
+    wide = F.col("_length") <= _WIDE
+    met = keyed.where(wide).join(F.broadcast(networks.where(wide)), keys).unionByName(
+        keyed.where(~wide).join(networks.where(~wide), keys))
+    return met.groupBy(ip_col).agg(F.min_by("_found", "_order").alias("_found"))
+
+
+def _range_networks(ranges: DataFrame) -> DataFrame:
+    """Ranges as the largest networks inside them: `_length`, `_network`.
+
+    Of the aligned blocks of 2^k addresses inside a range, only the first one with an odd and the
+    last one with an even number are not part of a larger block inside; so a range of whatever
+    size has at most two for each k.
+    """
+    def ends(k: Column) -> Column:
+        first = F.ceil((F.col("range_start") / F.pow(F.lit(2), k))).cast("long")
+        last = (F.floor((F.col("range_end") + 1) / F.pow(F.lit(2), k)) - 1).cast("long")
+        length = (F.lit(32) - k).cast("int").alias("_length")
+        return F.array(
+            F.when((first <= last) & (first % 2 == 1),
+                   F.struct(length, first.alias("_network"))),
+            F.when((first <= last) & (last % 2 == 0)
+                   & ((first < last) | (first % 2 == 0)),
+                   F.struct(length, last.alias("_network"))))
+
+    blocks = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(32)), ends)),
+                      lambda x: x.isNotNull())
+    return ranges.select("*", F.inline(blocks))
+
+
 def range_lookup(addresses: DataFrame, ip_col: str, ranges: DataFrame,
                  attributes: Sequence[str]) -> DataFrame:
     """Attributes of each distinct address from a table of address ranges.
 
     `ranges` has `range_start` and `range_end` (inclusive numbers). Addresses are made distinct
-    first, which also takes the weight off a hot one. Both sides meet on the upper 16 bits, so
-    the join is an equality of bounded groups: at most 65,536 addresses each. Where ranges
-    overlap, the narrowest wins. Result: `ip_col` and the attributes, matched addresses only.
+    first, which also takes the weight off a hot one. Ranges become networks, one row each, and
+    meet the addresses by equality. Where ranges overlap, the narrowest wins. Result: `ip_col` and
+    the attributes, matched addresses only.
     """
     numbers = (
         addresses.select(ip_col).distinct()
         .select(ip_col, ipv4_to_long(ip_col).alias("_ip"))
         .filter(F.col("_ip").isNotNull())
-        .withColumn("_block", F.shiftright("_ip", 16))
-    )
-    blocks = ranges.select(
-        "range_start", "range_end", *attributes,
-        F.explode(F.sequence(F.shiftright("range_start", 16), F.shiftright("range_end", 16)))
-        .alias("_block"))
-    matched = numbers.join(blocks, "_block").filter(
-        (F.col("range_start") <= F.col("_ip")) & (F.col("_ip") <= F.col("range_end")))
-    narrowest = F.struct(F.col("range_end") - F.col("range_start"), *attributes)
-    return (
-        matched.groupBy(ip_col)
-        .agg(F.min_by(F.struct(*attributes), narrowest).alias("_found"))
-        .select(ip_col, *[F.col("_found")[a].alias(a) for a in attributes])
     )
+    order = F.struct(F.col("range_end") - F.col("range_start"), *attributes)
+    networks = _range_networks(
+        ranges.where("range_start <= range_end").select("range_start", "range_end", *attributes)
+    ).groupBy("_length", "_network").agg(
+        F.min(order).alias("_order"), F.min_by(F.struct(*attributes), order).alias("_found"))
+    return _nearest(numbers, ip_col, networks).select(
+        ip_col, *[F.col("_found")[a].alias(a) for a in attributes])
 
 
 def with_location(df: DataFrame, ip_col: str, geo_dim: DataFrame,
@@ -115,29 +152,20 @@ def asn_enrich(ips: DataFrame, prefix_dim: DataFrame, ip_col: str = "ip_src") ->
 
     Where none matches, the country is null and the other columns are `NA`.
 
-    `prefix_dim` has asn, bgp_prefix, country, as_info. An address meets a prefix on (prefix
-    length, masked number): an equality join with one candidate per length in use, 33 at most.
+    `prefix_dim` has asn, bgp_prefix, country, as_info. Of rows with the same prefix the largest
+    by these columns counts.
     """
     base, length = prefix_bounds("bgp_prefix")
-    prefixes = (
-        prefix_dim.select("asn", "bgp_prefix", "country", "as_info",
-                          base.alias("_base"), length.alias("_length"))
+    columns = ["asn", "bgp_prefix", "country", "as_info"]
+    networks = (
+        prefix_dim.select(*columns, base.alias("_base"), length.alias("_length"))
         .filter(F.col("_base").isNotNull())
-        .withColumn("_network", F.expr("shiftright(_base, 32 - _length)"))
+        .groupBy("_length", F.expr("shiftright(_base, 32 - _length)").alias("_network"))
+        .agg(F.max(F.struct(*columns)).alias("_found"))
+        .withColumn("_order", -F.col("_length"))
     )
     distinct = ips.select(F.col(ip_col).alias("ip")).distinct()
-    in_use = prefixes.agg(F.collect_set("_length")).scalar()
-    candidates = (
-        distinct.withColumn("_ip", ipv4_to_long("ip"))
-        .select("ip", "_ip", F.explode(in_use).alias("_length"))
-        .withColumn("_network", F.expr("shiftright(_ip, 32 - _length)"))
-    )
-    columns = ["asn", "bgp_prefix", "country", "as_info"]
-    longest = F.struct(F.col("_length"), *columns)
-    found = (
-        candidates.join(prefixes, ["_length", "_network"])
-        .groupBy("ip").agg(F.max_by(F.struct(*columns), longest).alias("_found"))
-    )
+    found = _nearest(distinct.withColumn("_ip", ipv4_to_long("ip")), "ip", networks)
     missing = F.lit("NA")
 
     def value(column: str) -> Column:

@@ -25,7 +25,7 @@ SERVICES = {
     "http": "tcp:80",
     "https": "tcp:443",
 }
-DENSE_UP_TO = 2
+_TABLE_UP_TO = 2  # counted in one table per group instead of by distinct values
 PIECE_BYTES = 16 * 1024
 _CHUNK_BYTES = 16 * 1024 * 1024
 
@@ -76,7 +76,7 @@ def _codes(data: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, n
 def _counter(n: int, groups: list[str]) -> Callable[[Iterable[pa.RecordBatch]],
                                                     Iterator[pa.RecordBatch]]:
     """Arrow function: (payload, one boolean per group) to (group, ngram, count) partial counts."""
-    dense = n <= DENSE_UP_TO
+    dense = n <= _TABLE_UP_TO
 
     def rows(group: str, grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -145,13 +145,14 @@ def _with_zeros(counts: DataFrame, n: int, groups: list[str]) -> DataFrame:
         "group", "ngram", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
 
 
-def payload_ngrams(df: DataFrame, payload_col: str, filter: str = "", n: int = 1) -> DataFrame:
-    """Occurrences of each byte n-gram, most significant byte first.
+def payload_ngrams(df: DataFrame, payload_col: str, filter: str = "", n: int = 1,
+                   zeros: bool = False) -> DataFrame:
+    """Occurrences of each byte n-gram (n from 1 to 7, as a number), most significant byte first.
 
-    The result has all 256^n n-grams for n up to 2 and those that occur beyond.
+    With `zeros`, all 256^n n-grams are rows, also those that do not occur.
     """
     counts = _ngram_counts(df, payload_col, n, {filter: filter})
-    if n <= DENSE_UP_TO:
+    if zeros:
         counts = _with_zeros(counts, n, [filter])
     return counts.select(F.col("group").alias("filter"), "ngram", "count")
 
@@ -163,13 +164,21 @@ def ngrams_by_service(df: DataFrame, payload_col: str) -> DataFrame:
 
 
 def ngram_cube(ngrams: DataFrame, side: int = 8) -> DataFrame:
-    """3-gram counts folded into cells of `side` byte values; x is the last byte, z the first."""
+    """3-gram counts folded into cells of `side` byte values; x is the last byte, z the first.
+    All cells are rows, also empty ones."""
     def axis(shift: int) -> Column:
         byte = F.shiftright("ngram", shift).bitwiseAND(F.lit(255))
         return F.floor(byte / side).cast("int")
 
-    return ngrams.groupBy(axis(0).alias("x"), axis(8).alias("y"), axis(16).alias("z")).agg(
+    folded = ngrams.groupBy(axis(0).alias("x"), axis(8).alias("y"), axis(16).alias("z")).agg(
         F.sum("count").alias("count"))
+    cells = -(-256 // side)
+    grid = ngrams.sparkSession.range(cells ** 3).select(
+        (F.col("id") % cells).cast("int").alias("x"),
+        F.floor(F.col("id") / cells % cells).cast("int").alias("y"),
+        F.floor(F.col("id") / cells ** 2).cast("int").alias("z"))
+    return grid.join(folded, ["x", "y", "z"], "left").withColumn(
+        "count", F.coalesce("count", F.lit(0).cast("long")))
 
 
 # Fixed value: what a word is.

@@ -295,15 +295,32 @@ _SERVICE_ROWS = " UNION ALL ".join(
     + (f" AND (coalesce({p}_sport, 0) = {port} OR coalesce({p}_dport, 0) = {port})" if p else "")
     for name, (p, _, port) in ((n, f.partition(":")) for n, f in ngrams.SERVICES.items()))
 
+_TWO_BYTES = f"""
+    SELECT a * 256 + b AS g, count(*) AS c
+    FROM (SELECT byte AS a, lead(byte) OVER (PARTITION BY doc_id ORDER BY pos) AS b, pos, size
+          FROM payload_bytes WHERE {_DNS_FILTER})
+    WHERE pos + 1 < size GROUP BY 1"""
+_THREE_BYTES = """
+    SELECT a, b, c
+    FROM (SELECT byte AS a, lead(byte, 1) OVER w AS b, lead(byte, 2) OVER w AS c, pos, size
+          FROM payload_bytes WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+    WHERE pos + 2 < size"""
+
 PAYLOADS = [
-    Query("payload_ngrams", lambda t: ngrams.payload_ngrams(t.payloads, "text", "udp:53", 2),
+    Query("payload_ngrams",
+          lambda t: ngrams.payload_ngrams(t.payloads, "text", "udp:53", 2, zeros=True),
           with_views(f"""
               SELECT 'udp:53' AS filter, ngram, coalesce(c, 0) AS count
-              FROM (SELECT unnest(range(65536)) AS ngram) LEFT JOIN (
-                  SELECT a * 256 + b AS g, count(*) AS c
-                  FROM (SELECT byte AS a, lead(byte) OVER (PARTITION BY doc_id ORDER BY pos) AS b,
-                               pos, size FROM payload_bytes WHERE {_DNS_FILTER})
-                  WHERE pos + 1 < size GROUP BY 1) ON ngram = g""", "payload_bytes")),
+              FROM (SELECT unnest(range(65536)) AS ngram) LEFT JOIN ({_TWO_BYTES}) ON ngram = g""",
+                     "payload_bytes")),
+    Query("payload_ngrams_found",
+          lambda t: ngrams.payload_ngrams(t.payloads, "text", "udp:53", 2),
+          with_views(f"SELECT 'udp:53' AS filter, g AS ngram, c AS count FROM ({_TWO_BYTES})",
+                     "payload_bytes")),
+    Query("payload_trigrams", lambda t: ngrams.payload_ngrams(t.payloads, "text", "", 3),
+          with_views(f"""
+              SELECT '' AS filter, a * 65536 + b * 256 + c AS ngram, count(*) AS count
+              FROM ({_THREE_BYTES}) GROUP BY 2""", "payload_bytes")),
     Query("ngrams_by_service", lambda t: ngrams.ngrams_by_service(t.payloads, "text"),
           with_views(f"""
               SELECT service, ngram, coalesce(c, 0) AS count
@@ -313,12 +330,14 @@ PAYLOADS = [
                          GROUP BY 1, 2) ON service = s AND ngram = g""", "payload_bytes")),
     Query("ngram_cube",
           lambda t: ngrams.ngram_cube(ngrams.payload_ngrams(t.payloads, "text", "", 3)),
-          with_views("""
-              SELECT CAST(c // 8 AS INTEGER) AS x, CAST(b // 8 AS INTEGER) AS y,
-                     CAST(a // 8 AS INTEGER) AS z, count(*) AS count
-              FROM (SELECT byte AS a, lead(byte, 1) OVER w AS b, lead(byte, 2) OVER w AS c, pos,
-                           size FROM payload_bytes WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-              WHERE pos + 2 < size GROUP BY 1, 2, 3""", "payload_bytes")),
+          with_views(f"""
+              SELECT x, y, z, coalesce(n, 0) AS count
+              FROM (SELECT CAST(i % 32 AS INTEGER) AS x, CAST(i // 32 % 32 AS INTEGER) AS y,
+                           CAST(i // 1024 AS INTEGER) AS z
+                    FROM (SELECT unnest(range(32768)) AS i))
+              LEFT JOIN (SELECT c // 8 AS x, b // 8 AS y, a // 8 AS z, count(*) AS n
+                         FROM ({_THREE_BYTES}) GROUP BY 1, 2, 3) USING (x, y, z)""",
+                     "payload_bytes")),
     Query("word_count", lambda t: ngrams.word_count(t.table("documents"), "text"),
           """SELECT word, count(*) AS n
              FROM (SELECT lower(unnest(regexp_extract_all(text, '[a-zA-Z][a-zA-Z0-9]*'))) AS word

@@ -34,11 +34,12 @@ def _brute(data, n):
 def test_counts(spark, n):
     data = _payloads()
     frame = spark.createDataFrame(data, SCHEMA).repartition(3)
-    got = {r.ngram: r["count"] for r in ngrams.payload_ngrams(frame, "payload", n=n).collect()}
+    want = dict(_brute([d[0] for d in data], n))
+    found = ngrams.payload_ngrams(frame, "payload", n=n)
+    assert {r.ngram: r["count"] for r in found.collect()} == want
     if n <= 2:
-        assert len(got) == 256 ** n
-    want = _brute([d[0] for d in data], n)
-    assert {k: v for k, v in got.items() if v} == dict(want)
+        every = ngrams.payload_ngrams(frame, "payload", n=n, zeros=True).collect()
+        assert {r.ngram: r["count"] for r in every} == {k: want.get(k, 0) for k in range(256 ** n)}
 
 
 def test_last_ngram_is_left_out(spark):
@@ -74,14 +75,18 @@ def test_services(spark):
 
 def test_filter_without_matches(spark):
     frame = spark.createDataFrame(_payloads(), SCHEMA)
-    got = ngrams.payload_ngrams(frame, "payload", "tcp:12345")
+    assert ngrams.payload_ngrams(frame, "payload", "tcp:12345").count() == 0
+    got = ngrams.payload_ngrams(frame, "payload", "tcp:12345", zeros=True)
     assert got.count() == 256 and got.filter("count > 0").count() == 0
 
 
 def test_cube(spark):
     frame = spark.createDataFrame([("", 0x0102FF, 3), ("", 0x0706F8, 4), ("", 0x080000, 1)],
                                   "filter string, ngram long, count long")
-    assert rows(ngrams.ngram_cube(frame)) == [(0, 0, 1, 1), (31, 0, 0, 7)]
+    cells = ngrams.ngram_cube(frame)
+    assert cells.count() == 32 ** 3
+    assert rows(cells.where("count > 0")) == [(0, 0, 1, 1), (31, 0, 0, 7)]
+    assert ngrams.ngram_cube(frame, 100).count() == 27
 
 
 def test_words(spark):

@@ -80,6 +80,21 @@ def test_shared_folder_follows_the_session(spark):
     assert one != two and (root is None or one.startswith(root))
 
 
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster, "x")
+    Cluster.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        shared_folder(Cluster, "x")
+
+
 def _read(spark, folder, name):
     return spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/{name}")
 
@@ -131,6 +146,7 @@ def test_hot_source_gives_the_same_statistics(spark, tables):
     assert one == two
 
 
-def test_range_lookup_joins_on_blocks(tables):
+def test_range_lookup_joins_on_networks(tables):
     text = plan(geo.geo_country(tables.alerts, "src", tables.geo_dim))
-    assert "_block" in text
+    joins = [line for line in text.splitlines() if "_network" in line and "Join" in line]
+    assert joins and all("_length" in line and "range_start" not in line for line in joins)
