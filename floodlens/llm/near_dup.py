@@ -5,12 +5,11 @@ with a common prefix of `SHALLOW` values are neighbours; a region of the order t
 than `GROUP` of them is split by longer prefixes, so dense regions are compared at a greater
 depth. Inside a region short sketches tell which pairs may be alike.
 
-Documents with equal sets are one class from the start. Of each region the spanning forest of the
-most alike pairs is taken, which is enough to connect a group of copies without listing its pairs.
-They are confirmed in rounds: first those of a few trees, as other trees mostly connect the same
-groups again; then those of the other trees whose documents are not connected yet; and last all
-pairs of a region, spanning or not, between documents that are still not connected. So no pair that
-the forest finds is lost.
+Documents with equal sets are one class from the start. Candidates are confirmed in two rounds.
+The first takes of each region the spanning forest of its most alike pairs, which is enough to
+connect a group of copies without listing its pairs. The second takes all pairs of a region between
+documents that the confirmed links have not connected, by longer sketches. So no pair that the
+forest finds is lost.
 """
 
 from __future__ import annotations
@@ -32,9 +31,8 @@ PERCENT = 80
 TREES = 16
 SHALLOW, DEEP = 3, 6
 SKETCH, MARGIN = 64, 0.2            # at 80 percent a sketch is off by more than the margin
-LONG_SKETCH, LONG_MARGIN = 256, 0.1  # (four standard deviations) less than once in 10^4
+LONG_SKETCH, LONG_MARGIN = 512, 0.07  # (four standard deviations) less than once in 10^4
 GROUP = 256
-FIRST_TREES = 3
 
 
 def _factors(count: int) -> np.ndarray:
@@ -148,13 +146,13 @@ def _regions(shared: np.ndarray, shallow: int, deep: int, group: int
 def candidates(entries: DataFrame, percent: int = PERCENT, trees: int = TREES,
                shallow: int = SHALLOW, deep: int = DEEP, group: int = GROUP,
                margin: float = MARGIN) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that may be alike, and the first tree that gives them, of rows
-    (doc_id, n_shingles, signature, sketch): the spanning pairs of every region, or, if rows have
-    a component, all pairs of a region that are in different components."""
+    """Distinct pairs (a, b), a < b, that may be alike, of rows (doc_id, n_shingles, signature,
+    sketch): the spanning pairs of every region, or, if rows have a component, all pairs of a
+    region that are in different components."""
     connected = "component" in entries.columns
     least = percent / 100 - margin
 
-    def pairs_of(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    def pairs_of(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
         values, tree, ids = rows["values"], rows["tree"], rows["doc_id"]
         same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
         shared = np.cumprod(same, axis=1).sum(axis=1)
@@ -169,7 +167,7 @@ def candidates(entries: DataFrame, percent: int = PERCENT, trees: int = TREES,
                 found = _spanning_pairs(alike)
             for i, j in found:
                 a, b = int(ids[low + i]), int(ids[low + j])
-                yield (min(a, b), max(a, b), int(tree[low]))
+                yield min(a, b), max(a, b)
 
     def unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         out = {"tree": batch.column("tree").to_numpy(),
@@ -181,10 +179,10 @@ def candidates(entries: DataFrame, percent: int = PERCENT, trees: int = TREES,
             out["component"] = batch.column("component").to_numpy()
         return out
 
-    def given(pairs: Iterator[tuple[int, int, int]]) -> pa.RecordBatch:
-        found = np.array(sorted(set(pairs)), dtype=np.int64).reshape(-1, 3)
+    def given(pairs: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+        found = np.array(sorted(set(pairs)), dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(column) for column in found.T],
-                                          names=["a", "b", "tree"])
+                                          names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: dict[str, np.ndarray] | None = None
@@ -219,8 +217,7 @@ def candidates(entries: DataFrame, percent: int = PERCENT, trees: int = TREES,
                               F.posexplode(keys).alias("tree", "key"))
                .repartition("tree", F.substring("key", 1, shallow * 4))
                .sortWithinPartitions("tree", "key", "n_shingles", "doc_id"))
-    return (ordered.mapInArrow(run, "a long, b long, tree long")
-            .groupBy("a", "b").agg(F.min("tree").alias("tree")))
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
@@ -285,18 +282,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     texts = staged(docs.join(involved.hint("merge"), "doc_id", "left_semi"), "near-texts")
 
     def confirmed(some: DataFrame) -> DataFrame:
-        return staged(confirm(some.select("a", "b"), texts, shingle, percent), "near-links")
+        return staged(confirm(some, texts, shingle, percent), "near-links")
 
-    checked = confirmed(pairs.where(F.col("tree") < FIRST_TREES))
-    links = components(checked.where("linked"))
-    apart = _placed(_placed(pairs.where(F.col("tree") >= FIRST_TREES), links, "a", "of_a"),
-                    links, "b", "of_b").where("of_a <> of_b")
-    checked = checked.unionByName(confirmed(apart))
+    checked = confirmed(pairs)
     links = components(checked.where("linked"))
     # What no spanning pair involves has no pair at all. What is left is alike, but mostly less than
     # asked for: longer sketches tell more.
     left = _placed(sign(texts, shingle, sketch_size=LONG_SKETCH), links, "doc_id", "component")
-    rest = candidates(left, percent, margin=LONG_MARGIN).join(checked.hint("merge"), ["a", "b"], "left_anti")
+    rest = candidates(left, percent, margin=LONG_MARGIN).join(
+        checked.hint("merge"), ["a", "b"], "left_anti")
     final = components(checked.unionByName(confirmed(rest)).where("linked"))
     return classes.join(final, F.col("first_id") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "first_id").alias("component_id")
