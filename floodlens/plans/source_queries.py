@@ -20,6 +20,7 @@ from floodlens.sources import (
 )
 from floodlens.sources import (
     capture,
+    capture_splits,
     conversations,
     dns,
     fingerprints,
@@ -289,12 +290,18 @@ _SPLIT_CONNECTION_SQL = with_views("""
         WHERE tcp_sport IS NOT NULL AND tcp_dport IS NOT NULL""", "sessions")
 
 
-def _capture_scan(t: Tables) -> DataFrame:
-    """Packets written as capture files by the executors and read back."""
+def _captures(t: Tables) -> str:
+    """Packets written as capture files by the executors."""
     capture.register_capture(t.spark)
     folder = shared_folder(t.spark, "captures")
     t.packets.write.format("capture").mode("append").save(folder)
-    return capture.packet_scan_pcap(t.spark, folder)
+    return folder
+
+
+def _capture_split_scan(t: Tables) -> DataFrame:
+    """The files read in ranges of 64 KB."""
+    files = ",".join(capture.list_files(_captures(t)))
+    return capture_splits.packet_scan_large(t.spark, files, 64 * 1024)
 
 
 _CAPTURE_SQL = with_views("""
@@ -314,7 +321,9 @@ QUERIES = [
                CAST(l_quantity AS BIGINT) AS pkts, CAST(floor(l_extendedprice) AS BIGINT) AS byts,
                concat('.A..S', l_linestatus) AS tcp_flg, 0 AS stos
         FROM lineitem WHERE {_OUTSIDE} AND l_linenumber % 3 > 0""".strip()),
-    Query("packet_scan_pcap", _capture_scan, _CAPTURE_SQL),
+    Query("packet_scan_pcap", lambda t: capture.packet_scan_pcap(t.spark, _captures(t)),
+          _CAPTURE_SQL),
+    Query("packet_scan_pcap_split", _capture_split_scan, _CAPTURE_SQL),
     Query("alert_scan", _alert_scan, with_views("SELECT * FROM alerts", "alerts")),
     Query("alert_scan_compat", lambda t: _alert_scan(t, compat=True), with_views(
         "SELECT * REPLACE (ts + 674 AS ts) FROM alerts", "alerts")),

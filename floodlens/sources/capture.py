@@ -33,14 +33,17 @@ from pyspark.sql.types import StructType
 from floodlens.schemas import PACKETS
 from floodlens.session import ship_package
 
-# Magic numbers (microseconds, nanoseconds), link type and protocol numbers.
+# Magic numbers (microseconds, nanoseconds), link types, frame and protocol numbers.
 MAGIC = (0xA1B2C3D4, 0xA1B23C4D)
-ETHERNET = 1
+ETHERNET, COOKED, COOKED_2 = 1, 113, 276
+RAW = (12, 14, 101, 228)
 IPV4 = 0x0800
+TAGS = (0x8100, 0x88A8, 0x9100)
+MOST_CAPTURED = 262_144  # no tool captures more of a frame, whatever the file header says
 TCP, UDP = 6, 17
 FLAG_BITS = {"ns": 256, "cwr": 128, "ece": 64, "urg": 32, "ack": 16,
              "psh": 8, "rst": 4, "syn": 2, "fin": 1}
-FILE_HEADER, RECORD_HEADER, FRAME_HEADER = 24, 16, 14
+FILE_HEADER, RECORD_HEADER, FRAME_HEADER = 24, 16, 14  # the last one for Ethernet
 BLOCK = 32 * 1024 * 1024
 
 
@@ -52,7 +55,7 @@ def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
-def _list_files(path: str) -> list[str]:
+def list_files(path: str) -> list[str]:
     """Capture files at a path, comma-separated paths, a folder or a local pattern."""
     files = []
     for part in path.split(","):
@@ -79,18 +82,22 @@ class CaptureFile(InputPartition):
     path: str
 
 
-def _boundaries(block: bytes, order: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Offsets and captured lengths of the whole records of a block, and where they end."""
+def _boundaries(block: bytes, order: str, limit: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """Offsets and captured lengths of the whole records of a block, where they end, and whether a
+    record of more than `limit` bytes follows, which no capture holds."""
     length_of = struct.Struct(order + "I").unpack_from
-    offsets, lengths, at = [], [], 0
+    offsets, lengths, at, broken = [], [], 0, False
     while at + RECORD_HEADER <= len(block):
         (length,) = length_of(block, at + 8)
+        if length > limit:
+            broken = True
+            break
         if at + RECORD_HEADER + length > len(block):
             break
         offsets.append(at)
         lengths.append(length)
         at += RECORD_HEADER + length
-    return np.array(offsets, np.int64), np.array(lengths, np.int64), at
+    return np.array(offsets, np.int64), np.array(lengths, np.int64), at, broken
 
 
 def _dotted(numbers: np.ndarray) -> pa.Array:
@@ -100,12 +107,31 @@ def _dotted(numbers: np.ndarray) -> pa.Array:
         pa.array(place.astype(np.int32)), pa.array(text, pa.string())).cast(pa.string())
 
 
-def decode(block: bytes, order: str) -> tuple[dict[str, pa.Array], int]:
-    """Packet columns of the IPv4 frames in a block, and the number of bytes used."""
-    record, captured, used = _boundaries(block, order)
+Number = Callable[[np.ndarray, int], np.ndarray]
+
+
+def _network_layer(link: int, frame: np.ndarray, end: np.ndarray, number: Number
+                   ) -> tuple[np.ndarray, np.ndarray]:
+    """Where the packet in each frame starts, and the number of its protocol."""
+    if link in RAW:
+        return frame, np.full(len(frame), IPV4)
+    if link == COOKED:
+        return frame + 16, number(frame + 14, 2)
+    if link == COOKED_2:
+        return frame + 20, number(frame, 2)
+    start, kind = frame + 14, number(frame + 12, 2)
+    while (tagged := np.isin(kind, TAGS) & (start + 4 <= end)).any():
+        kind = np.where(tagged, number(start + 2, 2), kind)
+        start = np.where(tagged, start + 4, start)
+    return start, kind
+
+
+def decode(block: bytes, order: str, link: int = ETHERNET, limit: int = MOST_CAPTURED
+           ) -> tuple[dict[str, pa.Array], int, bool]:
+    """Packet columns of the IPv4 frames in a block, the number of bytes used, and whether a
+    broken record follows."""
+    record, captured, used, broken = _boundaries(block, order, limit)
     data = np.frombuffer(block, np.uint8)
-    tall = captured >= FRAME_HEADER + 20
-    record, captured = record[tall], captured[tall]
 
     def number(at: np.ndarray, size: int) -> np.ndarray:
         value = np.zeros(len(at), np.int64)
@@ -115,10 +141,10 @@ def decode(block: bytes, order: str) -> tuple[dict[str, pa.Array], int]:
         return value
 
     frame = record + RECORD_HEADER
-    is_ip = (number(frame + 12, 2) == IPV4) & (number(frame + FRAME_HEADER, 1) >> 4 == 4)
-    record, captured, frame = record[is_ip], captured[is_ip], frame[is_ip]
     end = frame + captured
-    ip = frame + FRAME_HEADER
+    ip, kind = _network_layer(link, frame, end, number)
+    is_ip = (kind == IPV4) & (ip + 20 <= end) & (number(ip, 1) >> 4 == 4)
+    record, end, ip = record[is_ip], end[is_ip], ip[is_ip]
     header_length = number(ip, 1) & 15
     total = number(ip + 2, 2)
     fragment = number(ip + 6, 2)
@@ -157,7 +183,7 @@ def decode(block: bytes, order: str) -> tuple[dict[str, pa.Array], int]:
     columns.update({name: pa.array(v, mask=~is_udp) for name, v in udp.items()})
     columns["udp_checksum"] = pa.array(
         number(transport + 6, 2), mask=~is_udp).cast(pa.string())
-    return columns, used
+    return columns, used, broken
 
 
 def _arrow_schema() -> pa.Schema:
@@ -173,25 +199,40 @@ def byte_order(head: bytes, path: str) -> str:
     raise ValueError(f"{path} is not a capture file")
 
 
-def is_ethernet(head: bytes, order: str) -> bool:
-    return struct.unpack_from(order + "I", head, 20)[0] == ETHERNET
+def link_type(head: bytes, order: str, path: str) -> int:
+    """Link type of a capture; raises for those that are not decoded."""
+    link = struct.unpack_from(order + "I", head, 20)[0] & 0xFFFF
+    if link not in (ETHERNET, COOKED, COOKED_2, *RAW):
+        raise ValueError(f"{path}: link type {link} is not supported")
+    return link
 
 
-def _batches(take: Callable[[int], bytes], order: str) -> Iterator[pa.RecordBatch]:
-    """Decode what `take` gives, block by block; a torn record ends it."""
+def _batches(take: Callable[[int], bytes], head: bytes, order: str, path: str,
+             strict: bool) -> Iterator[pa.RecordBatch]:
+    """Decode what `take` gives, block by block. A record cut off by the end of the file ends it; a
+    broken one raises if `strict`, else it ends the file too."""
     schema = _arrow_schema()
+    link = link_type(head, order, path)
+    limit = max(MOST_CAPTURED, struct.unpack_from(order + "I", head, 16)[0])
+    if limit > 64 * MOST_CAPTURED:  # some writers leave the field unset or all ones
+        limit = MOST_CAPTURED
     rest = b""
     while more := take(BLOCK):
         block = rest + more
-        columns, used = decode(block, order)
+        columns, used, broken = decode(block, order, link, limit)
         rest = block[used:]
         if len(columns["ts"]):
             yield pa.RecordBatch.from_arrays(
                 [columns[f.name].cast(f.type) for f in schema], schema=schema)
+        if broken and strict:
+            raise ValueError(f"{path}: a record claims more bytes than a frame can have; "
+                             "read with badRecords=stop to keep what is before it")
+        if broken:
+            return
 
 
-def read_capture(path: str) -> Iterator[pa.RecordBatch]:
-    """The packets of one file; a truncated tail ends it."""
+def read_capture(path: str, strict: bool = True) -> Iterator[pa.RecordBatch]:
+    """The packets of one file; a truncated tail ends it, a broken record raises if `strict`."""
     filesystem, inner = _filesystem(path)
     with filesystem.open_input_stream(inner, compression=None) as raw:
         stream = raw
@@ -214,31 +255,29 @@ def read_capture(path: str) -> Iterator[pa.RecordBatch]:
             return b"".join(parts)
 
         head = take(FILE_HEADER)
-        order = byte_order(head, path)
-        if is_ethernet(head, order):
-            yield from _batches(take, order)
+        yield from _batches(take, head, byte_order(head, path), path, strict)
 
 
-def read_range(path: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+def read_range(path: str, start: int, end: int, strict: bool = True) -> Iterator[pa.RecordBatch]:
     """The packets between two record boundaries of an uncompressed file."""
     filesystem, inner = _filesystem(path)
     with filesystem.open_input_file(inner) as file:
         head = file.read(FILE_HEADER)
-        order = byte_order(head, path)
         file.seek(start)
-        if is_ethernet(head, order):
-            yield from _batches(lambda size: file.read(min(size, end - file.tell())), order)
+        yield from _batches(lambda size: file.read(min(size, end - file.tell())), head,
+                            byte_order(head, path), path, strict)
 
 
 class CaptureReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, strict: bool) -> None:
         self.path = path
+        self.strict = strict
 
     def partitions(self) -> list[CaptureFile]:
-        return [CaptureFile(f) for f in _list_files(self.path)]
+        return [CaptureFile(f) for f in list_files(self.path)]
 
     def read(self, partition: CaptureFile) -> Iterator[pa.RecordBatch]:
-        return read_capture(partition.path)
+        return read_capture(partition.path, self.strict)
 
 
 def encode(batch: pa.RecordBatch) -> bytes:
@@ -344,7 +383,8 @@ class CaptureWriter(DataSourceArrowWriter):
 
 
 class CaptureSource(DataSource):
-    """Packets from and to capture files; option `path`."""
+    """Packets from and to capture files; options `path` and `badRecords`: `raise` (default) or
+    `stop`, which keeps what a file holds before a record that no capture can hold."""
 
     @classmethod
     def name(cls) -> str:
@@ -354,7 +394,10 @@ class CaptureSource(DataSource):
         return PACKETS
 
     def reader(self, schema: StructType) -> CaptureReader:
-        return CaptureReader(self.options["path"])
+        choice = self.options.get("badRecords", "raise")
+        if choice not in ("raise", "stop"):
+            raise ValueError("badRecords is raise or stop")
+        return CaptureReader(self.options["path"], choice == "raise")
 
     def writer(self, schema: StructType, overwrite: bool) -> CaptureWriter:
         return CaptureWriter(self.options["path"], overwrite)
@@ -366,7 +409,12 @@ def register_capture(spark: SparkSession) -> None:
     spark.dataSource.register(CaptureSource)
 
 
-def packet_scan_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """Capture files as packets, one partition per file; frames that are not IPv4 are dropped."""
+def packet_scan_pcap(spark: SparkSession, path: str, bad_records: str = "raise") -> DataFrame:
+    """Capture files as packets, one partition per file; frames that are not IPv4 are dropped.
+
+    Frames of Ethernet (tagged or not), raw IP and the cooked form are read; other link types
+    raise. `bad_records` says what happens at a record that claims more bytes than a frame can
+    have: `raise`, or `stop` reading that file there.
+    """
     register_capture(spark)
-    return spark.read.format("capture").load(path)
+    return spark.read.format("capture").option("badRecords", bad_records).load(path)

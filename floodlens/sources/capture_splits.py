@@ -9,7 +9,7 @@ before it ended. A wrong guess is walked again from the right place.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -74,10 +74,12 @@ def _guesses(file, order: str, low: int, size: int) -> Iterator[int]:
             yield low + first
 
 
-def _walk(file, order: str, start: int, high: int, size: int, strict: bool = False) -> int | None:
+def _walk(file, order: str, start: int, high: int, size: int, strict: bool = False,
+          stop: bool = True) -> int | None:
     """The first record boundary at or after `high`.
 
-    A torn record ends the file; with `strict` an implausible one gives None instead.
+    A record that the end of the file cuts off ends it, and so does a broken one, which raises
+    unless `stop`. With `strict` an implausible one gives None instead.
     """
     record = struct.Struct(order + "IIII").unpack_from
     first_second = _first_second(file, order) if strict else 0
@@ -92,6 +94,9 @@ def _walk(file, order: str, start: int, high: int, size: int, strict: bool = Fal
                            or not 0 < captured <= min(length, MAX_CAPTURED)):
                 return None
             if at + used + RECORD_HEADER + captured > size:
+                if not (strict or stop) and captured > MAX_CAPTURED:
+                    raise ValueError("a record claims more bytes than a frame can have; "
+                                     "read with bad_records='stop' to keep what is before it")
                 return None if strict else size
             used += RECORD_HEADER + captured
         if used == 0:
@@ -109,29 +114,36 @@ def _find(file, order: str, low: int, high: int, size: int) -> tuple[int | None,
     return None, None
 
 
-def _walk_ranges(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _range_walker(stop: bool) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Start (guessed where none is given) and end of each range."""
-    for rows in batches:
-        found = []
-        for row in rows.itertuples(index=False):
-            filesystem, inner = _filesystem(row.path)
-            with filesystem.open_input_file(inner) as file:
-                order = byte_order(file.read(FILE_HEADER), row.path)
-                if row.number > 0 and pd.isna(row.start):
-                    start, end = _find(file, order, row.low, row.high, row.size)
-                else:
-                    start = FILE_HEADER if row.number == 0 else int(row.start)
-                    end = _walk(file, order, start, row.high, row.size)
-            found.append((row.path, row.number, row.low, row.high, row.size, start, end))
-        frame = pd.DataFrame(found, columns=[
-            "path", "number", "low", "high", "size", "start", "end"])
-        yield frame.astype({"start": "Int64", "end": "Int64"})
-
-
-def _read_ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield from read_range(row["path"], row["start"], row["end"])
+
+    def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for row in rows.itertuples(index=False):
+                filesystem, inner = _filesystem(row.path)
+                with filesystem.open_input_file(inner) as file:
+                    order = byte_order(file.read(FILE_HEADER), row.path)
+                    if row.number > 0 and pd.isna(row.start):
+                        start, end = _find(file, order, row.low, row.high, row.size)
+                    else:
+                        start = FILE_HEADER if row.number == 0 else int(row.start)
+                        end = _walk(file, order, start, row.high, row.size, stop=stop)
+                found.append((row.path, row.number, row.low, row.high, row.size, start, end))
+            frame = pd.DataFrame(found, columns=[
+                "path", "number", "low", "high", "size", "start", "end"])
+            yield frame.astype({"start": "Int64", "end": "Int64"})
+
+    return walk
+
+
+def _range_reader(strict: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from read_range(row["path"], row["start"], row["end"], strict)
+
+    return read
 
 
 def _one_task_each(ranges: DataFrame) -> DataFrame:
@@ -141,7 +153,7 @@ def _one_task_each(ranges: DataFrame) -> DataFrame:
 
 
 def boundaries(spark: SparkSession, files: list[tuple[str, int]],
-               split_bytes: int = SPLIT_BYTES) -> DataFrame:
+               split_bytes: int = SPLIT_BYTES, stop: bool = True) -> DataFrame:
     """Ranges of the files with exact record boundaries (`start`, `end`).
 
     Guesses that turn out wrong are corrected in rounds; a round corrects at least the first wrong
@@ -156,7 +168,8 @@ def boundaries(spark: SparkSession, files: list[tuple[str, int]],
                 F.least((F.col("number") + 1) * step, F.col("size")).alias("high"), "size",
                 F.lit(None).cast("long").alias("start"))
     )
-    walked = staged(_one_task_each(ranges).mapInPandas(_walk_ranges, _WALKED), "capture-ranges")
+    walked = staged(_one_task_each(ranges).mapInPandas(_range_walker(stop), _WALKED),
+                    "capture-ranges")
     before = F.lag("end").over(Window.partitionBy("path").orderBy("number"))
     # A range that begins beyond its own bytes owns no record.
     due = F.when(F.col("number") == 0, F.lit(FILE_HEADER).cast("long")).otherwise(before)
@@ -168,19 +181,23 @@ def boundaries(spark: SparkSession, files: list[tuple[str, int]],
             return walked
         fixed = _one_task_each(wrong.select(
             "path", "number", "low", "high", "size", F.col("due").alias("start"))
-        ).mapInPandas(_walk_ranges, _WALKED)
+        ).mapInPandas(_range_walker(stop), _WALKED)
         kept = walked.join(wrong.select("path", "number"), ["path", "number"], "left_anti")
         walked = staged(kept.select(*walked.columns).unionByName(fixed), "capture-ranges")
 
 
-def packet_scan_large(spark: SparkSession, path: str,
-                      split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Packets of one uncompressed capture file, or several separated by commas."""
+def packet_scan_large(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
+                      bad_records: str = "raise") -> DataFrame:
+    """Packets of one uncompressed capture file, or several separated by commas. A broken record
+    raises, or ends its file with `bad_records="stop"`, as in `packet_scan_pcap`."""
+    if bad_records not in ("raise", "stop"):
+        raise ValueError("bad_records is raise or stop")
+    stop = bad_records == "stop"
     ship_package(spark)
     files = []
     for part in path.split(","):
         filesystem, inner = _filesystem(part)
         files.append((part, filesystem.get_file_info(inner).size))
-    ranges = boundaries(spark, files, split_bytes).filter(F.col("start") < F.col("end"))
+    ranges = boundaries(spark, files, split_bytes, stop).filter(F.col("start") < F.col("end"))
     return _one_task_each(ranges).select("path", "start", "end").mapInArrow(
-        _read_ranges, PACKETS)
+        _range_reader(not stop), PACKETS)

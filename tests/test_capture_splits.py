@@ -35,12 +35,15 @@ def test_ranges_equal_one_read(spark, tmp_path, order):
     assert rows(got) == rows(whole)
 
 
-def test_torn_record_in_the_middle_ends_the_file(spark, tmp_path):
+def test_broken_record_in_the_middle_raises_or_ends_the_file(spark, tmp_path):
     path = tmp_path / "torn.pcap"
     one = _capture(FRAMES * 20)
     path.write_bytes(one + struct.pack("<IIII", 1, 1, 2_000_000_000, 5) + one[24:])
-    got = capture_splits.packet_scan_large(spark, str(path), 600)
-    assert rows(got) == rows(capture.packet_scan_pcap(spark, str(path)))
+    got = capture_splits.packet_scan_large(spark, str(path), 600, bad_records="stop")
+    whole = capture.packet_scan_pcap(spark, str(path), bad_records="stop")
+    assert rows(got) == rows(whole) and whole.count() == 20 * 5
+    with pytest.raises(Exception, match="more bytes than a frame"):
+        capture_splits.packet_scan_large(spark, str(path), 600).collect()
 
 
 def test_several_files_and_an_empty_one(spark, tmp_path):

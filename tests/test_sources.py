@@ -305,6 +305,36 @@ def test_capture_blocks_join_records(monkeypatch, tmp_path):
     assert whole[0] == {k: [v for p in parts for v in p[k]] for k in whole[0]}
 
 
+def _relinked(link):
+    """FRAMES under another link type; the two frames without a network header are left out."""
+    head = {1: lambda f: f[:12] + b"\x81\0\0\x05" + f[12:],
+            2: lambda f: f[:12] + b"\x88\xa8\0\x07\x81\0\0\x05" + f[12:],
+            101: lambda f: f[14:], 113: lambda f: b"\0" * 14 + f[12:],
+            276: lambda f: f[12:14] + b"\0" * 18 + f[14:]}[link]
+    return [head(f) if len(f) > 14 else f for f in FRAMES]
+
+
+@pytest.mark.parametrize("link", [1, 2, 101, 113, 276])
+def test_tagged_frames_and_other_links(spark, tmp_path, link):
+    (tmp_path / "a.pcap").write_bytes(_capture(_relinked(link), link=1 if link == 2 else link))
+    assert _summary(capture.packet_scan_pcap(spark, str(tmp_path / "a.pcap"))) == EXPECTED
+
+
+def test_unknown_link_type(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(_capture(FRAMES, link=105))
+    with pytest.raises(Exception, match="link type 105"):
+        capture.packet_scan_pcap(spark, str(tmp_path / "a.pcap")).collect()
+
+
+def test_broken_record(spark, tmp_path):
+    bad = struct.pack("<IIII", 1, 1, 0x7FFFFFF0, 60) + b"\0" * 10_000
+    (tmp_path / "a.pcap").write_bytes(_capture(FRAMES, tail=bad))
+    with pytest.raises(Exception, match="more bytes than a frame"):
+        capture.packet_scan_pcap(spark, str(tmp_path / "a.pcap")).collect()
+    kept = capture.packet_scan_pcap(spark, str(tmp_path / "a.pcap"), bad_records="stop")
+    assert _summary(kept) == EXPECTED
+
+
 def test_no_capture(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(b"not a capture file at all")
     with pytest.raises(Exception, match="is not a capture file"):
