@@ -11,6 +11,8 @@ lookup, so its replies are not multiplied; conversations stay rows in reply orde
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,20 +72,28 @@ def own_texts(lines: DataFrame) -> DataFrame:
 
 
 def threads(replies: DataFrame) -> DataFrame:
-    """(msg_id, parent_id, thread_id, depth) of (msg_id, parent_id): the message without parent
-    that replies lead up to, and the number of steps. Each round doubles the steps looked up."""
-    steps = replies.select("msg_id", "parent_id", F.coalesce("parent_id", "msg_id").alias("top"),
-                           F.col("parent_id").isNotNull().cast("int").alias("depth"))
+    """(msg_id, parent_id, thread_id, depth) of (msg_id, parent_id) without cycles: the message
+    without parent that replies lead up to, and the number of steps. Each round doubles the steps
+    looked up, for the replies that are not there yet."""
+    left = staged(replies.where("parent_id is not null").select(
+        "msg_id", F.col("parent_id").alias("top"), F.lit(1).alias("depth")), "threads")
+    there: list[DataFrame] = []
     while True:
-        steps = staged(steps, "threads")
-        further = steps.where("parent_id is not null").select(
+        further = reduce(DataFrame.unionByName, [*there, left]).select(
             F.col("msg_id").alias("top"), F.col("top").alias("next"),
             F.col("depth").alias("more"))
-        joined = steps.join(further, "top", "left")
-        if joined.where("more is not null").isEmpty():
-            return steps.withColumnRenamed("top", "thread_id")
-        steps = joined.select("msg_id", "parent_id", F.coalesce("next", "top").alias("top"),
-                              (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        looked = staged(left.join(further, "top", "left").select(
+            "msg_id", F.coalesce("next", "top").alias("top"),
+            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.col("more").isNotNull().alias("moved")), "threads")
+        there.append(looked.where("not moved").drop("moved"))
+        left = looked.where("moved").drop("moved")
+        if left.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, there)
+    return replies.join(found, "msg_id", "left").select(
+        "msg_id", "parent_id", F.coalesce("top", "msg_id").alias("thread_id"),
+        F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
