@@ -40,9 +40,11 @@ def exact_median(df: DataFrame, key: str, value: str, name: str,
     blocks holding the middle ranks are found on those sums, and only their values are ranked.
     For 32-bit values no window sees more than 65,536 rows of a key.
     """
+    # Both uses of the counts below carry the same conditions, so that they share one exchange.
+    number = F.col(value).cast("long")
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(key, F.col(value).cast("long").alias("_value"))
+        df.filter(F.col(value).isNotNull() & F.shiftright(number, block_bits).isNotNull())
+        .groupBy(key, number.alias("_value"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_block", F.shiftright("_value", block_bits))
     )
