@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodlens.functions.rates import megabits, time_bin
-from floodlens.functions.summaries import rank_first, value_counts
+from floodlens.functions.summaries import exact_median, rank_first, value_counts
+from floodlens.session import staged
 
 # Output name of each summed TCP flag.
 FLAG_COLUMNS = {
@@ -161,28 +162,46 @@ def attack_timeseries(packets: DataFrame, binsize: int = 1, single_precision: bo
     return traffic_timeseries(_attack(packets, filtered), binsize, single_precision)
 
 
-def series_stats(series: DataFrame) -> DataFrame:
-    """One row of overall statistics of a time series.
+def series_stats(series: DataFrame, medians: dict[str, Column] | None = None) -> DataFrame:
+    """One row of overall statistics of a time series (timestamp, mbits_per_bin, pkts_per_bin).
 
-    The series has one row per bin, so that its size is bound by the covered time span.
+    `medians` gives the two medians where they are known already; else they are taken of all bins
+    at once, which suits a series that fits one task.
     """
+    columns = ["mbits_per_bin", "pkts_per_bin"]
+    medians = medians or {c: F.median(c) for c in columns}
     return series.agg(
         F.min("timestamp").alias("first_ts"),
         F.max("timestamp").alias("last_ts"),
         (F.max("timestamp") - F.min("timestamp")).alias("duration"),
         F.avg("mbits_per_bin").alias("avg_mbits"),
-        F.median("mbits_per_bin").alias("median_mbits"),
+        medians["mbits_per_bin"].alias("median_mbits"),
         F.stddev_pop("mbits_per_bin").alias("std_dev_mbits"),
         F.avg("pkts_per_bin").alias("avg_pkts"),
-        F.median("pkts_per_bin").alias("median_pkts"),
+        medians["pkts_per_bin"].alias("median_pkts"),
         F.stddev_pop("pkts_per_bin").alias("std_dev_pkts"),
     )
 
 
 def attack_overall_stats(packets: DataFrame, binsize: int = 1,
                          filtered: bool = False) -> DataFrame:
-    """Begin, end, duration and rate statistics of the attack traffic."""
-    return series_stats(attack_timeseries(packets, binsize, filtered=filtered))
+    """Begin, end, duration and rate statistics of the attack traffic.
+
+    The bins are staged once. Their medians come from the bytes and packets per bin, which are
+    whole numbers, so that no task holds the values of all bins.
+    """
+    bins = staged(
+        _attack(packets, filtered).groupBy(time_bin("ts", binsize).alias("timestamp")).agg(
+            F.sum("ip_total_length").alias("bytes"), F.count("ts").alias("pkts_per_bin")),
+        "attack-bins").withColumn("_all", F.lit(0))
+
+    def median(column: str) -> Column:
+        return exact_median(bins, "_all", column, "median").select("median").scalar()
+
+    series = bins.select("timestamp", megabits(F.col("bytes")).alias("mbits_per_bin"),
+                         "pkts_per_bin")
+    return series_stats(series, {"mbits_per_bin": megabits(median("bytes")),
+                                 "pkts_per_bin": median("pkts_per_bin")})
 
 
 def _ports_and_median(attack: DataFrame, compat: bool) -> DataFrame:
