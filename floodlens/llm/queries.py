@@ -160,6 +160,50 @@ ORACLE_SQL: dict[str, str] = {
             FROM lines GROUP BY msg_id)
         SELECT msg_id, sent, parent_id, thread_id, depth, n_quoted, own_md5
         FROM linked JOIN threads USING (msg_id) JOIN texts USING (msg_id)""",
+    "op3_near_dup": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1)))
+                AS i FROM words)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+            WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION SELECT r.doc_id, b.b FROM reached r JOIN ways b ON b.a = r.other)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id,
+            min(other) = doc_id AS kept
+        FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n""",
+    "op5_substring_dedup": """
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        windows AS (
+            SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)),
+        firsts AS (SELECT k, min(doc_id) AS first_id FROM windows GROUP BY k),
+        gone AS (
+            SELECT DISTINCT doc_id, i + d AS i
+            FROM windows JOIN firsts USING (k), (SELECT unnest(range(50)) AS d)
+            WHERE doc_id > first_id),
+        places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+        kept AS (
+            SELECT doc_id, count(g.i) AS n_removed,
+                string_agg(word, ' ' ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS text
+            FROM places p LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+            sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM words LEFT JOIN kept USING (doc_id)""",
     "op6_line_dedup": """
         WITH raw AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
