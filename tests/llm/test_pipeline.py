@@ -2,7 +2,7 @@
 
 import brute
 import pytest
-from conftest import frame
+from frames import frame
 
 import corpus_pipeline
 from floodlens.llm import quality_rules

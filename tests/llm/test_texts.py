@@ -7,7 +7,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from conftest import frame  # noqa: F401  (the one beside this file)
+from frames import frame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
