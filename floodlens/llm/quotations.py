@@ -64,10 +64,10 @@ def parents(found: DataFrame) -> DataFrame:
 
 
 def own_texts(lines: DataFrame) -> DataFrame:
-    """(msg_id, own_text): the lines without quote marks, without blank lines at the ends."""
-    own = F.transform(F.array_sort(F.collect_list(F.when(
-        F.col("level") == 0, F.struct("n", "line")))), lambda x: x["line"])
-    return lines.groupBy("msg_id").agg(
+    """(msg_id, own_text) of messages that have any: the lines without quote marks, without blank
+    lines at the ends."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
+    return lines.where("level = 0").groupBy("msg_id").agg(
         F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "").alias("own_text"))
 
 
@@ -116,8 +116,9 @@ def conversations(messages: DataFrame) -> DataFrame:
         parents(passages(lines)), "msg_id", "left"), "quoted-links")
     return (linked.select("msg_id", "sent", "n_quoted")
             .join(threads(linked.select("msg_id", "parent_id")), "msg_id")
-            .join(own_texts(lines), "msg_id")
-            .select("msg_id", "sent", "parent_id", "thread_id", "depth", "n_quoted", "own_text"))
+            .join(own_texts(lines), "msg_id", "left")
+            .select("msg_id", "sent", "parent_id", "thread_id", "depth", "n_quoted",
+                    F.coalesce("own_text", F.lit("")).alias("own_text")))
 
 
 def quoting_messages(turns: DataFrame) -> DataFrame:
