@@ -10,6 +10,10 @@ The first takes of each region the spanning forest of its most alike pairs, whic
 connect a group of copies without listing its pairs. The second takes all pairs of a region between
 documents that the confirmed links have not connected, by longer sketches. So no pair that the
 forest finds is lost.
+
+Where more than `GROUP` documents agree in all `DEEP` values, the order says no more about them.
+If the first round has not connected such a region, its members are compared by an exact set join:
+shingles in order of their frequency, pairs by the shingles in front (`dense_pairs`).
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodlens.llm.components import components
@@ -127,7 +131,8 @@ def _spanning_pairs(alike: np.ndarray) -> list[tuple[int, int]]:
 def _regions(shared: np.ndarray, shallow: int, deep: int, group: int
              ) -> Iterator[tuple[int, int]]:
     """Row ranges to compare; shared[i] tells how many values rows i and i + 1 have in common from
-    the first. A range too large at every depth is given as overlapping parts."""
+    the first. A range too large at every depth is given as overlapping parts, which is enough to
+    connect copies; the set join compares the rest."""
     todo = [(0, len(shared) + 1, shallow - 1)]
     while todo:
         low, high, depth = todo.pop()
@@ -143,12 +148,51 @@ def _regions(shared: np.ndarray, shallow: int, deep: int, group: int
             todo.extend((int(edges[i]), int(edges[i + 1]), depth + 1) for i in larger)
 
 
+def _keys(trees: int, deep: int) -> Column:
+    """The sort key of every tree, out of `signature`."""
+    width = deep * 4
+    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
+                       lambda t: F.col("signature").substr(t * width + 1, F.lit(width)))
+
+
+class _DenseRuns:
+    """Ids of rows that agree in tree and all values with more than `group` - 1 others, in batches
+    of a sorted order."""
+
+    def __init__(self, group: int) -> None:
+        self.group = group
+        self.key: tuple | None = None
+        self.ids: list[np.ndarray] = []  # of the run that the next batch may go on with
+
+    def add(self, rows: dict[str, np.ndarray]) -> list[np.ndarray]:
+        """Ids of the dense runs that are known to end in these rows."""
+        values, tree, ids = rows["values"], rows["tree"], rows["doc_id"]
+        differs = (values[1:] != values[:-1]).any(axis=1) | (tree[1:] != tree[:-1])
+        edges = np.concatenate([[0], np.flatnonzero(differs) + 1, [len(ids)]])
+        out = []
+        if self.key != (int(tree[0]), values[0].tobytes()):
+            out += self.end()
+        self.ids.append(ids[:edges[1]])
+        if len(edges) > 2:
+            out += self.end()
+            for i in np.flatnonzero(np.diff(edges[1:-1]) > self.group) + 1:
+                out.append(ids[edges[i]:edges[i + 1]])
+            self.ids = [ids[edges[-2]:]]
+        self.key = (int(tree[-1]), values[-1].tobytes())
+        return out
+
+    def end(self) -> list[np.ndarray]:
+        held, self.ids = self.ids, []
+        return held if sum(map(len, held)) > self.group else []
+
+
 def candidates(entries: DataFrame, percent: int = PERCENT, trees: int = TREES,
                shallow: int = SHALLOW, deep: int = DEEP, group: int = GROUP,
                margin: float = MARGIN) -> DataFrame:
     """Distinct pairs (a, b), a < b, that may be alike, of rows (doc_id, n_shingles, signature,
     sketch): the spanning pairs of every region, or, if rows have a component, all pairs of a
-    region that are in different components."""
+    region that are in different components and not both `dense`. Without components the members
+    of regions too large at every depth come too, as pairs (a, a)."""
     connected = "component" in entries.columns
     least = percent / 100 - margin
 
@@ -158,11 +202,13 @@ def candidates(entries: DataFrame, percent: int = PERCENT, trees: int = TREES,
         shared = np.cumprod(same, axis=1).sum(axis=1)
         for low, high in _regions(shared, shallow, deep, group):
             component = rows["component"][low:high] if connected else None
-            if connected and (component == component[0]).all():
+            dense = rows["dense"][low:high] if connected else None
+            if connected and ((component == component[0]).all() or dense.all()):
                 continue
             alike = _alike(rows["sketch"][low:high], rows["n_shingles"][low:high], least, percent)
             if connected:
-                found = np.argwhere(np.triu((alike > 0) & (component[:, None] != component)))
+                found = np.argwhere(np.triu((alike > 0) & (component[:, None] != component)
+                                            & ~(dense[:, None] & dense)))
             else:
                 found = _spanning_pairs(alike)
             for i, j in found:
@@ -177,6 +223,7 @@ def candidates(entries: DataFrame, percent: int = PERCENT, trees: int = TREES,
                "sketch": text_bytes(batch.column("sketch"))[0].reshape(batch.num_rows, -1)}
         if connected:
             out["component"] = batch.column("component").to_numpy()
+            out["dense"] = batch.column("dense").to_numpy(zero_copy_only=False)
         return out
 
     def given(pairs: Iterator[tuple[int, int]]) -> pa.RecordBatch:
@@ -185,17 +232,24 @@ def candidates(entries: DataFrame, percent: int = PERCENT, trees: int = TREES,
                                           names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members(runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for ids in runs:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids)], names=["a", "b"])
+
         carried: dict[str, np.ndarray] | None = None
+        runs = _DenseRuns(group)
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = unpacked(batch)
+            if not connected:
+                yield from members(runs.add(rows))
             if carried is not None:
                 rows = {n: np.concatenate([carried[n], rows[n]]) for n in rows}
             # What shares a prefix with the last row may go on in the next batch; of a very large
             # region only the end is carried, cut where a longer prefix ends.
             values, tree = rows["values"], rows["tree"]
-            cut = 0
+            cut, upto = 0, 0
             for depth in range(shallow, deep + 1):
                 differs = ((values[:-1, :depth] != values[-1, :depth]).any(axis=1)
                            | (tree[:-1] != tree[-1]))
@@ -203,23 +257,83 @@ def candidates(entries: DataFrame, percent: int = PERCENT, trees: int = TREES,
                 if len(tree) - cut <= 16 * group:
                     break
             else:
-                cut = max(cut, len(tree) - group // 2)
-            yield given(pairs_of({n: x[:max(cut, 1)] for n, x in rows.items()}))
+                cut, upto = max(cut, len(tree) - group // 2), len(tree)
+            yield given(pairs_of({n: x[:max(cut, upto, 1)] for n, x in rows.items()}))
             carried = {n: x[cut:] for n, x in rows.items()}
         if carried is not None:
             yield given(pairs_of(carried))
+        yield from members(runs.end())
 
-    width = deep * 4
-    extra = ["component"] if connected else []
-    keys = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                       lambda t: F.col("signature").substr(t * width + 1, F.lit(width)))
+    extra = ["component", "dense"] if connected else []
     ordered = (entries.select("doc_id", "n_shingles", "sketch", *extra,
-                              F.posexplode(keys).alias("tree", "key"))
+                              F.posexplode(_keys(trees, deep)).alias("tree", "key"))
                .repartition("tree", F.substring("key", 1, shallow * 4))
                .sortWithinPartitions("tree", "key", "n_shingles", "doc_id"))
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def dense_members(entries: DataFrame, trees: int = TREES, deep: int = DEEP, group: int = GROUP
+                  ) -> DataFrame:
+    """doc_id of those rows (doc_id, signature, component) that are in a region too large at every
+    depth and not yet connected."""
+    placed = entries.select("doc_id", "component",
+                            F.posexplode(_keys(trees, deep)).alias("tree", "key"))
+    open_ = placed.groupBy("tree", "key").agg(
+        F.count("doc_id").alias("n"), F.min("component").alias("low"),
+        F.max("component").alias("high")).where((F.col("n") > group) & F.expr("low <> high"))
+    return placed.join(open_, ["tree", "key"], "left_semi").select("doc_id").distinct()
+
+
+def dense_pairs(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows (doc_id, text, component) in different components:
+    all that are alike enough, and few others.
+
+    With the shingles of all sets in one order, the first shingle that two sets of m and n have in
+    common, at places i and j from 1, leaves at most 1 + min(m - i, n - j) in common. So alike sets
+    meet at a place near the front of both, nearer in the smaller one. Rare shingles come first, and
+    those of one set only are never looked up. Of the most common component of a shingle, no two
+    sets meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in row_pieces(batch, "text"):
+                hashes, row, _ = shingle_sets(data, offsets, shingle)
+                sizes = np.bincount(row, minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.column(n).to_numpy()[row]) for n in ("doc_id", "component")]
+                    + [pa.array(sizes[row]), pa.array(signed(hashes))],
+                    names=["doc_id", "component", "n", "shingle"])
+
+    held = texts.select("doc_id", "component", "text").mapInArrow(
+        run, "doc_id long, component long, n long, shingle long")
+    common = held.groupBy("shingle").agg(F.count("n").alias("sets")).where("sets > 1")
+    from_behind = Window.partitionBy("doc_id").orderBy(F.desc("sets"), F.desc("shingle"))
+    front = staged(
+        held.join(common, "shingle")
+        .withColumn("place", F.col("n") + 1 - F.row_number().over(from_behind))
+        .where(f"100 * (n - place + 1) >= {percent} * n")
+        .select("shingle", "doc_id", "component", "n", "place"), "near-fronts")
+    main = (front.groupBy("shingle", "component").agg(F.count("n").alias("sets"))
+            .groupBy("shingle").agg(F.max_by("component", F.struct("sets", "component"))
+                                    .alias("main"), F.count("sets").alias("components"))
+            .where("components > 1").select("shingle", "main"))
+    front = staged(front.join(main, "shingle").selectExpr(
+        "shingle", "doc_id", "component", "n", "place", "component = main as of_main"),
+        "near-fronts")
+    least = front.where(f"{100 + percent} * (n - place + 1) >= {2 * percent} * n")
+
+    def met(small: DataFrame, large: DataFrame) -> DataFrame:
+        return small.alias("s").join(large.alias("l"), F.expr(
+            "s.shingle = l.shingle and s.component <> l.component and (s.n < l.n or "
+            f"s.n = l.n and s.doc_id < l.doc_id) and {100 + percent} * (1 + "
+            f"least(s.n - s.place, l.n - l.place)) >= {percent} * (s.n + l.n)")).selectExpr(
+            "least(s.doc_id, l.doc_id) as a", "greatest(s.doc_id, l.doc_id) as b")
+
+    return met(least.where("not of_main"), front).unionByName(
+        met(least.where("of_main"), front.where("not of_main"))).distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
             ) -> DataFrame:
     """`pairs` with `linked`: whether the full sets of both texts are alike enough."""
@@ -276,8 +390,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     entries = signed_docs.select("doc_id", "n_shingles", "signature", "sketch").join(
         own, "doc_id", "left_semi")
 
-    pairs = staged(candidates(entries, percent), "near-pairs")
-    involved = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(),
+    found = staged(candidates(entries, percent), "near-pairs")
+    pairs, in_dense = found.where("a <> b"), found.where("a = b").selectExpr("a as doc_id")
+    involved = staged(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(),
                       "near-involved")
     texts = staged(docs.join(involved.hint("merge"), "doc_id", "left_semi"), "near-texts")
 
@@ -289,8 +404,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # What no spanning pair involves has no pair at all. What is left is alike, but mostly less than
     # asked for: longer sketches tell more.
     left = _placed(sign(texts, shingle, sketch_size=LONG_SKETCH), links, "doc_id", "component")
-    rest = candidates(left, percent, margin=LONG_MARGIN).join(
-        checked.hint("merge"), ["a", "b"], "left_anti")
+    if in_dense.isEmpty():
+        rest = candidates(left.withColumn("dense", F.lit(False)), percent, margin=LONG_MARGIN)
+    else:
+        members = staged(dense_members(_placed(entries.join(
+            in_dense.hint("merge"), "doc_id", "left_semi"), links, "doc_id", "component")),
+            "near-dense")
+        left = left.join(members.withColumn("dense", F.lit(True)).hint("merge"), "doc_id", "left")
+        rest = candidates(left.withColumn("dense", F.coalesce("dense", F.lit(False))), percent,
+                          margin=LONG_MARGIN)
+        if not members.isEmpty():
+            rest = rest.unionByName(dense_pairs(_placed(texts.join(
+                members.hint("merge"), "doc_id", "left_semi"), links, "doc_id", "component"),
+                shingle, percent))
+    rest = rest.join(checked.hint("merge"), ["a", "b"], "left_anti")
     final = components(checked.unionByName(confirmed(rest)).where("linked"))
     return classes.join(final, F.col("first_id") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "first_id").alias("component_id")

@@ -151,6 +151,48 @@ def test_near_duplicates_in_a_large_group(spark):
     assert {i: r["component_id"] for i, r in found.items()} == brute.near_components(dict(rows))
 
 
+def test_near_duplicates_in_a_template_group(spark):
+    """Pages that share a template and are alike at 79 percent; far apart in every order of them,
+    pairs that are just over 80."""
+    template, pages = " ".join(f"t{i}" for i in range(103)), 10_000
+    own = [[f"p{i}w{k}" for k in range(13)] for i in range(pages)]
+    twins = {i: i + 6000 for i in range(0, 4000, 50)}
+    for a, b in twins.items():
+        own[b][:1] = own[a][:1]
+    rows = [(i, f"{template} {' '.join(words)}") for i, words in enumerate(own)]
+    assert 0.79 < 100 / 126 < 0.8 < 101 / 125
+    found = by_id(near_dup.near_duplicates(frame(spark, rows).repartition(8)))
+    want = {i: i for i in range(pages)} | {b: a for a, b in twins.items()}
+    assert {i: r["component_id"] for i, r in found.items()} == want
+
+
+def test_set_join_finds_all_alike_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(300):
+        text = [f"t{k}" for k in range(int(rng.integers(30, 40)))]
+        for _ in range(int(rng.integers(0, 4))):
+            text[int(rng.integers(0, len(text)))] = f"e{int(rng.integers(0, 5))}"
+        rows.append((i, " ".join(text)))
+    texts = frame(spark, rows).selectExpr("doc_id", "text", "doc_id % 9 as component")
+    found = {(r["a"], r["b"]) for r in near_dup.dense_pairs(texts).collect()}
+    sets = {i: brute.shingles(t) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and a % 9 != b % 9
+            and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want and want <= found and all(a < b and a % 9 != b % 9 for a, b in found)
+
+
+def test_dense_runs_across_batches():
+    values = np.repeat([0, 1, 2, 3, 4], [3, 9, 2, 5, 4])[:, None]
+    rows = {"values": values, "tree": np.zeros(len(values), int), "doc_id": np.arange(len(values))}
+    for size in (1, 2, 5, 7, 40):
+        runs, out = near_dup._DenseRuns(4), []
+        for at in range(0, len(values), size):
+            out += runs.add({n: x[at:at + size] for n, x in rows.items()})
+        out += runs.end()
+        assert np.concatenate(out).tolist() == [*range(3, 12), *range(14, 19)]
+
+
 @pytest.mark.parametrize("window,shortest", [(50, 20), (50, 6), (16, 4), (7, 7)])
 def test_substrings(spark, odd, odd_rows, window, shortest):
     texts = dict(odd_rows)
