@@ -27,7 +27,7 @@ SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
 LEAF = 128
 SCALE = 64
-LARGEST = 1 << 27  # components beyond it count as this, so that sums fit 64 bits
+LARGEST_SUM = 1 << 62  # what an inner product may come to, so that it fits 64 bits
 
 
 @dataclass
@@ -106,10 +106,14 @@ class Tree:
 def quantized(rows: DataFrame, vector: str, scale: int = SCALE) -> DataFrame:
     """(vec_id, vector, dim) with components floor(scale * x), x as double. Rows with a null id,
     null or empty vectors, and vectors with null or non-finite components are left out; of rows
-    with the same id the one with the smallest vector counts."""
+    with the same id the one with the smallest vector counts. Components so large that
+    inner products might not fit 64 bits raise."""
+    largest = F.sqrt(F.lit(float(LARGEST_SUM)) / F.size(vector)) - 1
+    scaled = lambda x: x.cast("double") * scale
     whole = F.transform(
-        F.col(vector), lambda x: F.floor(F.greatest(F.lit(-LARGEST), F.least(
-            F.lit(LARGEST), x.cast("double") * scale))).cast("long"))
+        F.col(vector), lambda x: F.when(F.abs(scaled(x)) <= largest, F.floor(scaled(x)))
+        .otherwise(F.raise_error(F.lit("vector components too large for 64-bit scores")))
+        .cast("long"))
     finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x)
                       & (F.abs(x.cast("double")) < float("inf")))
     out = (rows.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull()

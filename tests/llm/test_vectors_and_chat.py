@@ -41,6 +41,16 @@ def test_topk(spark, shard_rows, query_block):
     assert sorted(map(tuple, found.collect())) == brute_topk(rows, lambda i: i % 20 == 0, 20)
 
 
+def test_large_components_keep_their_values_or_raise(spark):
+    rows = [(i, [float(2 ** 22 + i), -1.5]) for i in range(0, 100, 10)]
+    schema = "vec_id long, embedding array<float>"
+    search = lambda rows: topk_search.search(
+        spark.createDataFrame(rows, schema), F.col("vec_id") % 20 == 0, 20).collect()
+    assert sorted(map(tuple, search(rows))) == brute_topk(rows, lambda i: i % 20 == 0, 20)
+    with pytest.raises(Exception, match="too large for 64-bit scores"):
+        search([*rows, (101, [1e30, 0.0])])
+
+
 def test_topk_of_few_and_of_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0]), (20, [2.0]), (40, [-1.0])], schema)
