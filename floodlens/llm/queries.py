@@ -17,6 +17,7 @@ from floodlens.llm import (
     quality_rules,
     quotations,
     substring_dedup,
+    token_alignment,
     topk_search,
 )
 
@@ -96,11 +97,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies that cover the same bytes, for every document."""
+    return token_alignment.align(_table(spark, sf_dir, "documents"),
+                                 _vocabulary("byte_bpe_50k.json"),
+                                 _vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_topk_search, op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op6_line_dedup,
         op7_hmm_lm, op8_chat_quotations, op9_quality_classifier,
-        op10_bpe,
+        op10_bpe, op13_token_alignment,
     )
 }
 

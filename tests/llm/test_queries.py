@@ -21,6 +21,9 @@ COLUMNS = {
                   "train_tokens bigint, base_score double, score double",
     "op9_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op13_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, "
+                            "n_links bigint, n_best bigint, count_sum bigint, "
+                            "groups_sha256 string",
 }
 
 
@@ -32,7 +35,7 @@ def con():
 def test_all_are_registered():
     found = contract.queries()
     assert set(corpus.QUERIES) | {"pipeline"} <= set(found)
-    assert {name.split("_")[0] for name in corpus.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in corpus.QUERIES} == {f"op{n}" for n in [*range(1, 11), 13]}
     assert set(corpus.ORACLE_SQL) <= set(corpus.QUERIES)
 
 
