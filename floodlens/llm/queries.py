@@ -16,6 +16,7 @@ from floodlens.llm import (
     packing,
     quality_rules,
     quotations,
+    spelling,
     substring_dedup,
     token_alignment,
     topk_search,
@@ -97,6 +98,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with the form and the root it goes back to."""
+    return spelling.group(_table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two vocabularies that cover the same bytes, for every document."""
     return token_alignment.align(_table(spark, sf_dir, "documents"),
@@ -108,12 +114,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_topk_search, op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op6_line_dedup,
         op7_hmm_lm, op8_chat_quotations, op9_quality_classifier,
-        op10_bpe, op13_token_alignment,
+        op10_bpe, op11_spelling_variants, op13_token_alignment,
     )
 }
 
 #: DuckDB statements for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op11_spelling_variants": """
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, run, count(*) AS times, hex(concat(doc_id, ':', run)) AS h
+            FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text,
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+                FROM documents)
+            WHERE length(run) >= 7 GROUP BY ALL),
+        sums AS (  -- CRC-32 bit by bit: after each byte eight shifts, marked by -1
+            SELECT run, times, xor(4294967295, list_reduce([4294967295] || [
+                CASE WHEN i % 9 = 0 THEN CAST('0x' || substr(h, 2 * (i // 9) + 1, 2) AS BIGINT)
+                ELSE -1 END FOR i IN range(9 * length(h) // 2)],
+                lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+                    ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) AS crc
+            FROM runs),
+        words AS (
+            SELECT CASE WHEN crc % 31 > 0 THEN run ELSE concat(
+                substr(run, 1, crc % length(run)), substr(run, crc % length(run) + 2)) END AS word,
+                CAST(sum(times) AS BIGINT) AS n
+            FROM sums GROUP BY 1 HAVING length(word) >= 7 AND sum(times) >= 2),
+        holes AS (
+            SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS less
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        shorter AS (SELECT DISTINCT h.word AS a, h.n AS a_n, w.word AS b, w.n AS b_n
+            FROM holes h JOIN words w ON w.word = h.less),
+        near AS (
+            SELECT a, b, b_n FROM shorter UNION ALL SELECT b, a, a_n FROM shorter UNION ALL
+            SELECT x.word, y.word, y.n FROM holes x JOIN holes y
+            ON x.less = y.less AND x.i = y.i AND x.word <> y.word),
+        best AS (
+            SELECT a AS word, count(*) AS n_near, max(b_n) AS most,
+                arg_min(b, (-b_n, b)) AS form FROM near GROUP BY a),
+        found AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near,
+                CASE WHEN most >= 10 * n THEN form END AS form,
+                CASE WHEN most >= 10 * n THEN most END AS form_n
+            FROM words LEFT JOIN best USING (word)),
+        ways AS (
+            SELECT word, form AS root FROM found WHERE form IS NOT NULL
+            UNION ALL SELECT w.word, f.form FROM ways w JOIN found f ON f.word = w.root
+            WHERE f.form IS NOT NULL),
+        lasts AS (
+            SELECT w.word, w.root FROM ways w JOIN found f ON f.word = w.root
+            WHERE f.form IS NULL)
+        SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n
+        FROM found LEFT JOIN lasts USING (word)""",
     "op8_chat_quotations": """
         WITH RECURSIVE turns AS (
             SELECT DISTINCT conv_id, turn, text, concat_ws('-', conv_id, turn,
