@@ -435,4 +435,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_BY
             "n_best": n_best, "count_sum": count_sum,
             "groups_sha256": rows.column("groups_sha256")})
 
-    return texts.groupBy("chunk").cogroup(counted.groupBy("of_chunk")).applyInArrow(run, COLUMNS)
+    chunks = max(1, texts.select("chunk").distinct().count())  # about one to a task at any size
+    return (texts.repartition(chunks, "chunk").groupBy("chunk")
+            .cogroup(counted.repartition(chunks, "of_chunk").groupBy("of_chunk"))
+            .applyInArrow(run, COLUMNS))
