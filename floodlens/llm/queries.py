@@ -19,6 +19,7 @@ from floodlens.llm import (
     spelling,
     substring_dedup,
     token_alignment,
+    toxic_spans,
     topk_search,
 )
 
@@ -103,6 +104,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(_table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, with the number of spans it comes from and where the first
+    begins; every third id by CRC is held out of the fit."""
+    return toxic_spans.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"),
+                             _crc_is(3, 1)).select(
+        "doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"),
+        F.get(F.col("spans.start"), F.lit(0)).alias("first_start"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two vocabularies that cover the same bytes, for every document."""
     return token_alignment.align(_table(spark, sf_dir, "documents"),
@@ -114,7 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query for query in (
         op1_topk_search, op2_quality_rules, op3_near_dup, op4_packing, op5_substring_dedup, op6_line_dedup,
         op7_hmm_lm, op8_chat_quotations, op9_quality_classifier,
-        op10_bpe, op11_spelling_variants, op13_token_alignment,
+        op10_bpe, op11_spelling_variants, op12_toxicity, op13_token_alignment,
     )
 }
 

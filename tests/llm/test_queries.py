@@ -23,6 +23,7 @@ COLUMNS = {
     "op10_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op11_spelling_variants": "word string, form string, root string, n bigint, n_near bigint, "
                               "form_n bigint",
+    "op12_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op13_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, "
                             "n_links bigint, n_best bigint, count_sum bigint, "
                             "groups_sha256 string",
@@ -37,7 +38,7 @@ def con():
 def test_all_are_registered():
     found = contract.queries()
     assert set(corpus.QUERIES) | {"pipeline"} <= set(found)
-    assert {name.split("_")[0] for name in corpus.QUERIES} == {f"op{n}" for n in [*range(1, 12), 13]}
+    assert {name.split("_")[0] for name in corpus.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(corpus.ORACLE_SQL) <= set(corpus.QUERIES)
 
 
