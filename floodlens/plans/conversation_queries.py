@@ -67,10 +67,20 @@ _PER_SECOND = f"""
         GROUP BY {_CONNECTION}, ts)"""
 
 
-def _sql(body: str) -> str:
-    """A statement over the conversations of the session packets (`built`)."""
+#: Conversations with the start of the next one of the same connection.
+_FOLLOWED = """
+    followed AS (
+        SELECT *, lead(ts) OVER (PARTITION BY
+            least(struct_pack(ip := src, port := sport), struct_pack(ip := dst, port := dport)),
+            greatest(struct_pack(ip := src, port := sport), struct_pack(ip := dst, port := dport))
+            ORDER BY ts) AS next_ts
+        FROM built)"""
+
+
+def _sql(body: str, *more: str) -> str:
+    """A statement over the conversations of the session packets (`built`) and `more` views."""
     views = with_views("", "sessions").strip()
-    return f"{views},{_PER_SECOND},{_NUMBERED}\n{body.strip()}"
+    return ",".join([views, _PER_SECOND, _NUMBERED, *more]) + f"\n{body.strip()}"
 
 
 def _as_text(df: DataFrame) -> DataFrame:
@@ -89,7 +99,7 @@ def _times(t: Tables) -> DataFrame:
     return conversations.conversation_times(t.sessions, GAP)
 
 
-def _streamed(t: Tables) -> DataFrame:
+def _streamed(t: Tables, delay_hours: int = DELAY_HOURS) -> DataFrame:
     """Run the stream over the event files until all are read, and read its output back."""
     spark = t.spark.newSession()  # settings of the stream stay with it
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -97,7 +107,7 @@ def _streamed(t: Tables) -> DataFrame:
     spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
     events = spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
     out = shared_folder(t.spark, "stream-conversations")
-    stream = stream_conversations(t.sessions_of(events), f"{DELAY_HOURS} hours", GAP)
+    stream = stream_conversations(t.sessions_of(events), f"{delay_hours} hours", GAP)
     query = (
         stream.writeStream.format("parquet").option("path", f"{out}/rows")
         .option("checkpointLocation", f"{out}/checkpoint")
@@ -131,8 +141,9 @@ QUERIES = [
           _sql(f"""SELECT {_HEADER}, second, packets, NULL::VARCHAR AS end_state,
                        NULL::BIGINT AS last_ts FROM times WHERE second < {_WATERMARK}
                    UNION ALL
-                   SELECT {_HEADER}, NULL, packets, end_state, last_ts FROM built
-                   WHERE last_ts + {GAP} < {_WATERMARK}""")),
+                   SELECT {_HEADER}, NULL, packets, end_state, last_ts FROM followed
+                   WHERE last_ts + {GAP} < {_WATERMARK} OR next_ts < {_WATERMARK}""",
+               _FOLLOWED)),
     Query("conversation_volume",
           lambda t: conversations.conversation_volume(_built(t), t.sessions, DAY),
           _sql(f"""

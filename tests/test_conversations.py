@@ -3,9 +3,14 @@
 import random
 from collections import Counter
 
+import oracle
+import pytest
 from support import packets, rows, tcp
 
+import __spark_entry__ as contract
 from floodlens.operators import conversations
+from floodlens.plans import conversation_queries
+from floodlens.plans.tables import Tables
 from floodlens.streaming.conversations import stream_conversations
 
 GAP = 20
@@ -139,6 +144,56 @@ def test_stream_equals_batch(spark, tmp_path):
     assert _rows(times) == _seconds(want)
 
 
+@pytest.mark.parametrize("hours", [3, 24, 96])
+def test_registered_stream_equals_tracker(spark, hours):
+    """At a size where conversations are ended by their successors and not by the gap alone."""
+    tables = Tables(spark, "/root/testdata/sf0.01")
+    traffic = [
+        (r.ts, (r.ip_src, r.tcp_sport), (r.ip_dst, r.tcp_dport),
+         "R" if r.tcp_rst else "F" if r.tcp_fin else "", r.tcp_syn)
+        for r in tables.sessions.where("tcp_sport is not null and tcp_dport is not null").collect()]
+    watermark = max(p[0] for p in traffic) - hours * 3600
+    gap = conversation_queries.GAP
+    seconds, headers, by_connection = [], [], {}
+    for ts, one, two, flag, syn in sorted(traffic, key=lambda p: p[0]):
+        by_connection.setdefault(tuple(sorted([one, two])), {}).setdefault(ts, []).append(
+            (one, two, flag, syn))
+    for held in by_connection.values():
+        current = None
+        for ts in sorted(s for s in held if s < watermark):
+            silent = current is None or ts - current["last"] > gap
+            opens = any(p[3] for p in held[ts])
+            if current and (silent or (opens and current["ended"])):
+                headers.append(current)
+                current = None
+            if current is None:
+                one, two, *_ = min(held[ts], key=lambda p: (not p[3], p[0] > p[1]))
+                current = {"name": (ts, *one, *two), "n": 0, "flags": set(), "ended": False}
+            flags = {p[2] for p in held[ts]} - {""}
+            current["ended"] = bool(flags) or (current["ended"] and not opens and not silent)
+            current["flags"] |= flags
+            current["last"] = ts
+            current["n"] += len(held[ts])
+            seconds.append((*current["name"], ts, len(held[ts])))
+        if current and current["last"] + gap < watermark:
+            headers.append(current)
+    got = conversation_queries._streamed(tables, hours)
+    assert _rows(got.where("second is not null").select(
+        *conversations.HEADER, "second", "packets")) == sorted(seconds, key=str)
+    assert _rows(got.where("second is null").select(
+        *conversations.HEADER, "end_state", "last_ts", "packets")) == sorted(
+        ((*c["name"], "reset" if "R" in c["flags"] else "close" if "F" in c["flags"]
+          else "timeout", c["last"], c["n"]) for c in headers), key=str)
+    assert any(c["last"] + gap >= watermark for c in headers) or hours != 24
+
+
+def test_registered_stream_equals_sql_at_the_larger_size(spark):
+    sf = "/root/testdata/sf0.01"
+    name = "stream_conversations"
+    assert oracle.differences(contract.queries()[name](spark, sf), oracle.connect(sf),
+                              contract.oracle_sql()[name]) == []
+
+
 def test_open_conversation_gives_its_passed_seconds(spark, tmp_path):
     traffic = [(100 + 10 * i, ("a", 1), ("b", 2), "") for i in range(30)]
     frames = [_frame(spark, traffic[:10]), _frame(spark, traffic[10:20]),
