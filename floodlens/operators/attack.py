@@ -21,6 +21,11 @@ FLAG_COLUMNS = {
 }
 
 
+#: Columns of the attack traffic that statistics of its sources are made of.
+_SOURCE_COLUMNS = ["ts", "ip_src", "ip_total_length", "ip_ttl", "ip_more_fragments", "udp_sport",
+                   "udp_dport", "tcp_sport", "tcp_dport", *FLAG_COLUMNS.values()]
+
+
 def _series(packets: DataFrame, keys: list[Column], single_precision: bool) -> DataFrame:
     return packets.groupBy(*keys).agg(
         megabits(F.sum("ip_total_length"), single_precision).alias("mbits_per_bin"),
@@ -193,15 +198,21 @@ def attack_overall_stats(packets: DataFrame, binsize: int = 1,
     bins = staged(
         _attack(packets, filtered).groupBy(time_bin("ts", binsize).alias("timestamp")).agg(
             F.sum("ip_total_length").alias("bytes"), F.count("ts").alias("pkts_per_bin")),
-        "attack-bins").withColumn("_all", F.lit(0))
+        "attack-bins")
 
-    def median(column: str) -> Column:
-        return exact_median(bins, "_all", column, "median").select("median").scalar()
+    # Both in one pass: bytes and packets are two kinds of values.
+    values = bins.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in (
+            "bytes", "pkts_per_bin")])))
+    medians = exact_median(values, "kind", "value", "median").groupBy().agg(*[
+        F.max(F.when(F.col("kind") == c, F.col("median"))).alias(c) for c in (
+            "bytes", "pkts_per_bin")])
+    found = medians.select(F.struct("bytes", "pkts_per_bin")).scalar()
 
     series = bins.select("timestamp", megabits(F.col("bytes")).alias("mbits_per_bin"),
                          "pkts_per_bin")
-    return series_stats(series, {"mbits_per_bin": megabits(median("bytes")),
-                                 "pkts_per_bin": median("pkts_per_bin")})
+    return series_stats(series, {"mbits_per_bin": megabits(found["bytes"]),
+                                 "pkts_per_bin": found["pkts_per_bin"]})
 
 
 def _ports_and_median(attack: DataFrame, compat: bool) -> DataFrame:
@@ -296,8 +307,12 @@ def source_rate_stats(packets: DataFrame, binsize: int = 1, single_precision: bo
 
 def source_stats_joined(packets: DataFrame, binsize: int = 1, compat: bool = False,
                         filtered: bool = False) -> DataFrame:
-    """`source_stats` with the mean rates of each source, 25 columns."""
-    attack = _attack(packets, filtered)
+    """`source_stats` with the mean rates of each source, 25 columns.
+
+    The attack traffic is taken out of the packets once and staged, with the columns it needs.
+    """
+    attack = packets if filtered else staged(
+        filter_top_proto(packets).select(*_SOURCE_COLUMNS), "attack-packets")
     return source_stats(attack, compat, filtered=True).join(
         source_rate_stats(attack, binsize, filtered=True), "src_ip", "left")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from floodlens.functions.rates import megabits, time_bin
 from floodlens.functions.summaries import exact_median, rank_first, value_counts
 from floodlens.operators import attack
+from floodlens.session import staged
 
 
 def _total_packets() -> Column:
@@ -180,8 +181,11 @@ def flow_source_rates(flows: DataFrame, binsize: int = 1, filtered: bool = False
 
 def flow_source_stats_asn(flows: DataFrame, asn_dim: DataFrame, binsize: int = 1,
                           filtered: bool = False) -> DataFrame:
-    """Statistics, rates and network of each source, 18 columns, most packets first."""
-    traffic = _attack(flows, filtered)
+    """Statistics, rates and network of each source, 18 columns, most packets first.
+
+    The attack traffic is taken out of the flows once and staged.
+    """
+    traffic = flows if filtered else staged(flow_filter_top_proto(flows), "attack-flows")
     joined = flow_source_stats(traffic, filtered=True).join(
         flow_source_rates(traffic, binsize, filtered=True), "src_ip", "left")
     return (

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floodlens.functions.rates import megabits, time_bin
 from floodlens.operators import attack
+from floodlens.session import staged
 
 # Columns of each view on the per-source statistics.
 VIEWS = {
@@ -23,75 +25,168 @@ NAMED_SHARE = 0.25
 FEW_PORTS = 3
 
 
-def _port_text(ports: DataFrame, label: str, total: Column, measure: str) -> DataFrame:
-    """`a+b+MANY`: the ports above the share, most packets first, then the amount of others.
+#: Columns of the attack traffic that a summary is made of.
+_NEEDED = ["ts", "ip_src", "ip_total_length", "ip_more_fragments", "udp_sport", "udp_dport",
+           "tcp_sport", "tcp_dport", *attack.FLAG_COLUMNS.values()]
 
-    At most three ports can exceed a quarter of the packets, so the list is bounded.
+
+def attack_targets(packets: DataFrame, capture: str = "capture") -> DataFrame:
+    """Per capture: the victim (`ip_dst`) and its top protocol (`ip_proto`).
+
+    Most packets first, ties to the smaller address and protocol. The packets are counted once per
+    (capture, destination, protocol); both choices are minima over these counts, so no task sees
+    the destinations of a whole capture.
     """
-    share = F.col(measure) / total
-    named = F.when(share > NAMED_SHARE, F.struct((-F.col("packets")).alias("rank"), label))
-    return ports.agg(
-        F.sort_array(F.collect_list(named)).alias("named"),
-        F.count_if(~F.coalesce(share > NAMED_SHARE, F.lit(False))).alias("others"),
-    ).select(F.concat(
-        F.array_join(F.transform("named", lambda p: F.concat(p[label], F.lit("+"))), ""),
-        F.when(F.col("others") > FEW_PORTS, "MANY").when(F.col("others") > 0, "SOME")
-        .otherwise(""),
-    ).alias("text"))
+    pairs = packets.where(F.col(capture).isNotNull()).groupBy(
+        capture, "ip_dst", "ip_proto").agg(F.count("ts").alias("n"))
+    best_proto = F.struct(-F.col("n"), F.col("ip_proto").isNull(), "ip_proto")
+    best_dst = F.struct(-F.col("packets"), F.col("ip_dst").isNull(), "ip_dst")
+    per_dst = pairs.groupBy(capture, "ip_dst").agg(
+        F.sum("n").alias("packets"), F.min_by("ip_proto", best_proto).alias("ip_proto"))
+    return per_dst.groupBy(capture).agg(
+        F.min_by(F.struct("ip_dst", "ip_proto"), best_dst).alias("target")).select(
+        capture, "target.ip_dst", "target.ip_proto")
+
+
+def captures_attack(packets: DataFrame, targets: DataFrame, capture: str = "capture"
+                    ) -> DataFrame:
+    """The attack traffic of every capture: packets to its victim over the victim's top protocol.
+
+    `targets` has one row per capture. Read back from a table its size is known, and Spark sends it
+    to the tasks that read the packets as long as it is small.
+    """
+    wanted = targets.where("ip_dst is not null and ip_proto is not null")
+    return packets.join(wanted, [capture, "ip_dst", "ip_proto"])
 
 
-def attack_summary(packets: DataFrame, ip_proto_dim: DataFrame, port_dim: DataFrame,
-                   capture_name: str, binsize: int = 1, compat: bool = False,
-                   attack_packets: DataFrame | None = None) -> DataFrame:
-    """One row per capture: when, how long, peak, protocol, ports, sources, fragments, flags.
+def _port_texts(traffic: DataFrame, port_dim: DataFrame, capture: str, compat: bool) -> DataFrame:
+    """Per capture: src_ports and dst_ports as `a+b+MANY`: the ports above the share, most packets
+    first, then the amount of others.
 
-    Port shares are packets over the side's own total. `compat=True` reproduces the original
-    summary: UDP packets over the source-side total for both sides, and one fragmenting source
-    too many. `attack_packets` is a staged copy of the attack traffic, if there is one.
+    Both sides are counted in one pass. At most three ports can exceed a quarter of the packets, so
+    the lists are bounded; windows see the ports of one capture, at most 65,536 a side.
     """
-    traffic = attack_packets if attack_packets is not None else attack.filter_top_proto(packets)
-    sport = attack.src_port_stats(traffic, port_dim, filtered=True)
-    dport = attack.dst_port_stats(traffic, port_dim, compat, filtered=True)
+    gate = "tcp_sport" if compat else "tcp_dport"
+    entries = F.array(*[
+        F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"),
+                 F.col(f"{kind}_{side}").alias("port"), (F.col(condition) > 0).alias("keep"))
+        for side, kind, condition in (
+            ("sport", "udp", "udp_sport"), ("sport", "tcp", "tcp_sport"),
+            ("dport", "udp", "udp_dport"), ("dport", "tcp", gate))])
+    counted = F.col("ts").isNotNull()
+    ports = (
+        traffic.select(capture, "ts", F.inline(entries)).where("keep")
+        .groupBy(capture, "side", "port")
+        .agg(F.count_if((F.col("kind") == "udp") & counted).alias("udp_packets"),
+             F.count_if(counted).alias("packets"))
+        .join(port_dim, F.col("port") == F.col("port_number"), "left")
+        .withColumn("label", F.concat(F.col("port").cast("string"), F.lit(":"),
+                                      F.coalesce(F.col("port_desc"), F.lit("unknown"))))
+    )
+    if compat:
+        whole = Window.partitionBy(capture)
+        total = F.sum(F.when(F.col("side") == "sport", F.col("packets"))).over(whole)
+    else:
+        total = F.sum("packets").over(Window.partitionBy(capture, "side"))
     measure = "udp_packets" if compat else "packets"
-    sport_total = sport.agg(F.sum("packets")).scalar()
-    dport_total = sport_total if compat else dport.agg(F.sum("packets")).scalar()
-
-    peak = attack.traffic_timeseries(packets, binsize).agg(F.max("mbits_per_bin"))
-    protocol = attack.proto_counts(packets).orderBy(
-        F.col("occurrences").desc(), F.col("ip_proto").asc_nulls_last()).limit(1)
-    described = protocol.join(
-        ip_proto_dim, F.col("ip_proto") == F.col("ip_proto_number"), "left"
-    ).agg(F.coalesce(F.min("ip_proto_desc"), F.lit("")))
+    ports = ports.withColumn("named", F.coalesce(
+        F.col(measure) / F.nullif(total, F.lit(0)) > NAMED_SHARE, F.lit(False)))
+
+    def text(side: str) -> Column:
+        here = F.col("side") == side
+        names = F.sort_array(F.collect_list(F.when(here & F.col("named"), F.struct(
+            (-F.col("packets")).alias("rank"), "label"))))
+        others = F.count_if(here & ~F.col("named"))
+        return F.concat(
+            F.array_join(F.transform(names, lambda p: F.concat(p["label"], F.lit("+"))), ""),
+            F.when(others > FEW_PORTS, "MANY").when(others > 0, "SOME").otherwise(""))
+
+    return ports.groupBy(capture).agg(text("sport").alias("src_ports"),
+                                      text("dport").alias("dst_ports"))
+
+
+def _summaries(names: DataFrame, packets: DataFrame, targets: DataFrame, traffic: DataFrame,
+               ip_proto_dim: DataFrame, port_dim: DataFrame, binsize: int, compat: bool,
+               capture: str) -> DataFrame:
+    """A row for each of `names` (one column, `capture`) from statistics grouped by capture."""
+    peak = packets.groupBy(capture, time_bin("ts", binsize).alias("bin")).agg(
+        megabits(F.sum("ip_total_length")).alias("mbits")).groupBy(capture).agg(
+        F.max("mbits").alias("peak_mbps"))
+    described = targets.join(
+        ip_proto_dim, F.col("ip_proto") == F.col("ip_proto_number"), "left").groupBy(capture).agg(
+        F.min("ip_proto_desc").alias("protocol"))
+    ports = _port_texts(traffic, port_dim, capture, compat)
 
+    fragment = (F.col("ip_more_fragments") > 0) & F.col("ts").isNotNull()
+    bins = time_bin("ts", binsize)
+    per_source = traffic.groupBy(capture, "ip_src").agg(
+        F.count_if(fragment).alias("fragments"), F.min(bins).alias("first"),
+        F.max(bins).alias("last"),
+        *[F.sum(c).alias(f"sum_{flag}") for flag, c in attack.FLAG_COLUMNS.items()])
     flags = [
         F.when(F.count_if(F.col(f"sum_{flag}") > 0) > 0, F.concat(
             F.lit(f"{flag}("), F.count_if(F.col(f"sum_{flag}") > 0).cast("string"), F.lit(")")))
         for flag in attack.FLAG_COLUMNS
     ]
-    fragment = (F.col("ip_more_fragments") > 0) & F.col("ts").isNotNull()
-    per_source = traffic.groupBy("ip_src").agg(
-        F.count_if(fragment).alias("fragments"),
-        *[F.sum(c).alias(f"sum_{flag}") for flag, c in attack.FLAG_COLUMNS.items()])
-    sources = per_source.agg(
-        F.count("*").alias("src_ips"),
-        (F.count_if(F.col("fragments") > 0) + (1 if compat else 0)).alias("ips_fragmented"),
-        F.concat_ws("", *flags).alias("flags"),
-    )
-    bins = attack.attack_timeseries(traffic, binsize, filtered=True)
-    times = bins.agg(F.min("timestamp").alias("start"),
-                     (F.max("timestamp") - F.min("timestamp")).alias("duration_s"))
-    source = sources.select(F.struct("src_ips", "ips_fragmented", "flags")).scalar()
-    return times.select(
+    sources = per_source.groupBy(capture).agg(
+        F.min("first").alias("start"), (F.max("last") - F.min("first")).alias("duration_s"),
+        F.count("*").alias("src_ips"), F.count_if(F.col("fragments") > 0).alias("_fragmented"),
+        F.concat_ws("", *flags).alias("flags"))
+    joined = names
+    for part in (sources, peak, described, ports):
+        joined = joined.join(part, capture, "left")
+
+    def text(name: str) -> Column:
+        return F.coalesce(name, F.lit("")).alias(name)
+
+    none = F.lit(0).cast("long")
+    return joined.select(
         "start",
-        F.lit(f"TrafficAnalysis_{capture_name}/").alias("folder"),
-        F.lit(capture_name.split(".")[0]).alias("file_name"),
-        "duration_s",
-        peak.scalar().alias("peak_mbps"),
-        described.scalar().alias("protocol"),
-        _port_text(sport, "src_port", sport_total, measure).scalar().alias("src_ports"),
-        _port_text(dport, "dst_port", dport_total, measure).scalar().alias("dst_ports"),
-        *[source[name].alias(name) for name in ("src_ips", "ips_fragmented", "flags")],
-    )
+        F.concat(F.lit("TrafficAnalysis_"), capture, F.lit("/")).alias("folder"),
+        F.split_part(F.col(capture), F.lit("."), F.lit(1)).alias("file_name"),
+        "duration_s", "peak_mbps", text("protocol"), text("src_ports"), text("dst_ports"),
+        F.coalesce("src_ips", none).alias("src_ips"),
+        (F.coalesce("_fragmented", none) + (1 if compat else 0)).alias("ips_fragmented"),
+        text("flags"))
+
+
+def captures_summary(packets: DataFrame, ip_proto_dim: DataFrame, port_dim: DataFrame,
+                     binsize: int = 1, compat: bool = False,
+                     capture: str = "capture") -> DataFrame:
+    """`attack_summary` of all captures of `packets` (one more column, `capture`) at once.
+
+    One plan whatever the number of captures: the packets are read to find the targets, to take the
+    attack traffic out (staged once, with the columns a summary needs) and for the peaks. Packets
+    without a capture take no part; a capture without attack traffic has a row with empty texts.
+    Earliest attack first.
+    """
+    targets = staged(attack_targets(packets, capture), "capture-targets")
+    traffic = staged(captures_attack(packets, targets, capture).select(capture, *_NEEDED),
+                     "captures-attack")
+    return _summaries(targets.select(capture), packets, targets, traffic, ip_proto_dim, port_dim,
+                      binsize, compat, capture).orderBy("start", "folder")
+
+
+def attack_summary(packets: DataFrame, ip_proto_dim: DataFrame, port_dim: DataFrame,
+                   capture_name: str, binsize: int = 1, compat: bool = False,
+                   attack_packets: DataFrame | None = None) -> DataFrame:
+    """One row per capture: when, how long, peak, protocol, ports, sources, fragments, flags.
+
+    Port shares are packets over the side's own total. `compat=True` reproduces the original
+    summary: UDP packets over the source-side total for both sides, and one fragmenting source
+    too many. `attack_packets` is a staged copy of the attack traffic, if there is one.
+    """
+    name = F.lit(capture_name).alias("_capture")
+    named = packets.select("*", name)
+    targets = staged(attack_targets(named, "_capture"), "capture-target")
+    if attack_packets is None:  # two equalities with one value each, which the scan can use
+        attack_packets = staged(packets.where(
+            (F.col("ip_dst") == targets.select("ip_dst").scalar())
+            & (F.col("ip_proto") == targets.select("ip_proto").scalar())).select(*_NEEDED),
+            "capture-attack")
+    traffic = attack_packets.select(*_NEEDED, name)
+    return _summaries(packets.sparkSession.range(1).select(name), named, targets, traffic,
+                      ip_proto_dim, port_dim, binsize, compat, "_capture")
 
 
 def attack_summaries(summaries: Iterable[DataFrame]) -> DataFrame:

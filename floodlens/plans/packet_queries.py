@@ -95,6 +95,79 @@ _FLAGS = "concat(" + ", ".join(
     f"CAST(count(*) FILTER (coalesce({f}, 0) > 0) AS VARCHAR), ')') ELSE '' END"
     for f in attack.FLAG_COLUMNS) + ")"
 
+def _capture_ports(side: str, compat: bool) -> str:
+    """Named ports and the amount of others of each capture, as one text."""
+    gate = "tcp_sport" if compat else f"tcp_{side}"
+    measure, base = ("udp_n", "sport") if compat else ("n", side)
+    return f"""
+        SELECT capture, concat(
+            coalesce(string_agg(concat(label, '+'), '' ORDER BY n DESC, label)
+                     FILTER (named), ''),
+            CASE WHEN count(*) FILTER (NOT named) > 3 THEN 'MANY'
+                 WHEN count(*) FILTER (NOT named) > 0 THEN 'SOME' ELSE '' END) AS {side}_text
+        FROM (
+            SELECT capture, concat(CAST(port AS VARCHAR), ':', coalesce(port_desc, 'unknown'))
+                    AS label, n, coalesce({measure} > 0.25 * total, false) AS named
+            FROM (SELECT capture, port, sum(udp) AS udp_n, count(*) AS n
+                  FROM (SELECT capture, udp_{side} AS port, 1 AS udp FROM capture_attack
+                        WHERE udp_{side} > 0
+                        UNION ALL SELECT capture, tcp_{side}, 0 FROM capture_attack
+                        WHERE {gate} > 0)
+                  GROUP BY ALL)
+            LEFT JOIN port_dim ON port = port_number
+            LEFT JOIN (SELECT capture, sum(k) AS total
+                  FROM (SELECT capture, udp_{base} AS port, 1 AS k FROM capture_attack
+                        WHERE udp_{base} > 0
+                        UNION ALL SELECT capture, tcp_{base}, 1 FROM capture_attack
+                        WHERE tcp_{base} > 0)
+                  LEFT JOIN port_dim ON port = port_number GROUP BY capture) USING (capture))
+        GROUP BY capture"""
+
+
+def _captures(compat: bool) -> str:
+    """The summary of every capture."""
+    views = with_views("", "capture_packets", "port_dim", "ip_proto_dim").strip()
+    return f"""{views},
+    pairs AS (SELECT capture, ip_dst, ip_proto, count(ts) AS n FROM capture_packets GROUP BY ALL),
+    victims AS (
+        SELECT capture, ip_dst
+        FROM (SELECT capture, ip_dst, sum(n) AS n FROM pairs GROUP BY capture, ip_dst)
+        QUALIFY row_number() OVER (
+            PARTITION BY capture ORDER BY n DESC, ip_dst NULLS LAST) = 1),
+    targets AS (
+        SELECT capture, ip_dst, ip_proto FROM pairs JOIN victims USING (capture, ip_dst)
+        QUALIFY row_number() OVER (
+            PARTITION BY capture ORDER BY n DESC, ip_proto NULLS LAST) = 1),
+    capture_attack AS (SELECT p.* FROM capture_packets p JOIN targets
+        USING (capture, ip_dst, ip_proto)),
+    peaks AS (
+        SELECT capture, round(max(m), 9) AS peak_mbps
+        FROM (SELECT capture, sum(ip_total_length) * 8 / 1000000.0 AS m
+              FROM capture_packets GROUP BY capture, {sql_bin('ts', HOUR)}) GROUP BY capture),
+    described AS (
+        SELECT capture, min(ip_proto_desc) AS protocol
+        FROM targets LEFT JOIN ip_proto_dim ON ip_proto = ip_proto_number GROUP BY capture),
+    times AS (
+        SELECT capture, min({sql_bin('ts', HOUR)}) AS start,
+            max({sql_bin('ts', HOUR)}) - min({sql_bin('ts', HOUR)}) AS duration_s
+        FROM capture_attack GROUP BY capture),
+    sources AS (
+        SELECT capture, count(*) AS src_ips, count(*) FILTER (fragments > 0) AS fragmented,
+            {_FLAGS} AS flags
+        FROM (SELECT capture, ip_src, count(ts) FILTER (ip_more_fragments > 0) AS fragments,
+                  {FLAG_SUMS} FROM capture_attack GROUP BY capture, ip_src) GROUP BY capture),
+    sports AS ({_capture_ports('sport', compat)}),
+    dports AS ({_capture_ports('dport', compat)})
+    SELECT start, concat('TrafficAnalysis_', capture, '/') AS folder,
+        split_part(capture, '.', 1) AS file_name, duration_s, peak_mbps,
+        coalesce(protocol, '') AS protocol, coalesce(sport_text, '') AS src_ports,
+        coalesce(dport_text, '') AS dst_ports, coalesce(src_ips, 0) AS src_ips,
+        coalesce(fragmented, 0) + {int(compat)} AS ips_fragmented, coalesce(flags, '') AS flags
+    FROM victims LEFT JOIN times USING (capture) LEFT JOIN peaks USING (capture)
+    LEFT JOIN described USING (capture) LEFT JOIN sources USING (capture)
+    LEFT JOIN sports USING (capture) LEFT JOIN dports USING (capture)"""
+
+
 SUMMARY = with_views(f"""
     SELECT start, 'TrafficAnalysis_capture-1.txt/' AS folder, 'capture-1' AS file_name,
            duration_s,
@@ -170,6 +243,9 @@ DRILL_DOWN = [
     Query("asn_stats", lambda t: attack.asn_stats(t.packets, t.asn_dim), _sources_per("asn")),
     Query("attack_summary", lambda t: report.attack_summary(
         t.packets, t.ip_proto_dim, t.port_dim, "capture-1.txt", HOUR), SUMMARY),
+    *[Query(f"captures_summary{suffix}", lambda t, compat=compat: report.captures_summary(
+        t.capture_packets, t.ip_proto_dim, t.port_dim, HOUR, compat), _captures(compat))
+      for suffix, compat in (("", False), ("_compat", True))],
     *[_view(name) for name in report.VIEWS],
 ]
 

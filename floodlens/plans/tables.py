@@ -86,6 +86,13 @@ class Tables:
     def packets(self) -> DataFrame:
         return self.packets_of(self.events)
 
+    @cached_property
+    def capture_packets(self) -> DataFrame:
+        """The packets dealt to five captures, one of them without TCP."""
+        return self.packets.withColumn("capture", F.concat(
+            F.lit("capture-"), (F.col("ip_id") % 5).cast("string"), F.lit(".pcap"))).where(
+            "not (ip_id % 5 = 4 and ip_proto <=> 6)")
+
     @cached_property
     def legacy_packets(self) -> DataFrame:
         """Packets of the earlier layout, with the fragment offset."""
@@ -307,6 +314,8 @@ VIEWS = {
         SELECT ip_dst FROM packets GROUP BY ip_dst ORDER BY count(ts) DESC, ip_dst LIMIT 1)""",
     "f2": """SELECT * FROM f1 WHERE ip_proto = (
         SELECT ip_proto FROM f1 GROUP BY ip_proto ORDER BY count(ts) DESC, ip_proto LIMIT 1)""",
+    "capture_packets": """SELECT *, concat('capture-', CAST(ip_id % 5 AS VARCHAR), '.pcap') AS capture
+        FROM packets WHERE NOT (ip_id % 5 = 4 AND ip_proto IS NOT DISTINCT FROM 6)""",
     "sessions": f"""SELECT {sql_epoch('ts')} AS ts,
         CASE WHEN event_id % 3 = 1 THEN '192.0.2.9' ELSE {_SESSION_IP} END AS ip_src,
         CASE WHEN event_id % 3 = 1 THEN {_SESSION_IP} ELSE '192.0.2.9' END AS ip_dst,
@@ -381,6 +390,7 @@ VIEWS = {
                     FROM payloads))""",
 }
 _NEEDS = {
+    "capture_packets": ["packets"],
     "f1": ["packets"], "f2": ["f1"], "w1": ["flows"], "w2": ["w1"],
     "asn_dim": ["f2", "prefix_dim"], "payload_bytes": ["payloads"],
 }

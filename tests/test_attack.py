@@ -1,6 +1,7 @@
 """Null, tie and quirk rules of the packet and flow drill-downs, and the golden roll-ups."""
 
 import math
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from support import packets, rows, tcp, udp
 from floodlens import schemas
 from floodlens.operators import attack, flows, legacy, report
 from floodlens.operators import packets as general
+from floodlens.session import staged
 
 # Attack series of the golden capture: (second, megabits, packets).
 GOLDEN_SERIES = [
@@ -188,6 +190,69 @@ def test_summaries_are_ordered_by_start(spark):
     assert got[0].protocol == ""
 
 
+def _captures(spark):
+    """Five captures: two alike, one of UDP alone, one whose victims and protocols tie, one without
+    a protocol, and packets of none."""
+    many = [udp(10 + i, f"s{i % 3}", length=500, dport=i + 1, ip_more_fragments=i % 2)
+            for i in range(9)]
+    rows = {
+        "b.first.pcap": [*many, tcp(5, "x", "w", length=900), tcp(300, "s1", sport=1)],
+        "a.pcap": many,
+        "tie.pcap": [tcp(7, "a", "v2"), udp(7, "a", "v2"), udp(8, "b", "v1"), tcp(9, "b", "v1")],
+        "none.pcap": [{"ts": 1, "ip_src": "q", "ip_dst": "z", "ip_total_length": 10}],
+        "syn.pcap": [tcp(1000 + i, f"c{i}", sport=i + 1, tcp_syn=1) for i in range(6)],
+        None: [udp(1, "n")],
+    }
+    frames = [packets(spark, held).withColumn("capture", F.lit(name).cast("string"))
+              for name, held in rows.items()]
+    return reduce(type(frames[0]).unionByName, frames), [n for n in rows if n]
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_summary_of_many_captures_equals_one_by_one(spark, compat):
+    frame, names = _captures(spark)
+    dims = (spark.createDataFrame([(17, "UDP"), (6, "TCP"), (6, "TCP2")], schemas.PROTOCOL_DIM),
+            spark.createDataFrame([*PORTS, (1, "one"), (1, "uno")], schemas.PORT_DIM))
+    got = report.captures_summary(frame, *dims, 2, compat).collect()
+    want = report.attack_summaries([
+        report.attack_summary(frame.where(F.col("capture") == n), *dims, n, 2, compat)
+        for n in names]).collect()
+    assert got == want and len(got) == 5
+    by_name = {r.file_name: r for r in got}
+    assert by_name["tie"].protocol == "TCP" and by_name["tie"].start == 8
+    assert by_name["none"].start is None and by_name["none"].src_ips == 0
+    assert by_name["syn"].flags == "SYN(6)"
+
+
+def _reads(spark, frame, use):
+    """How often every row of `frame` is read while `use(frame)` runs."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = frame.count()
+    use(frame.mapInArrow(count, frame.schema)).collect()
+    return seen.value / rows
+
+
+def test_summaries_and_source_statistics_read_the_packets_three_times_at_most(spark):
+    frame, _ = _captures(spark)
+    frame = staged(frame.where("capture is not null"), "test-captures")
+    dims = (spark.createDataFrame([(17, "UDP")], schemas.PROTOCOL_DIM),
+            spark.createDataFrame(PORTS, schemas.PORT_DIM))
+    networks = spark.createDataFrame([], "ip string, asn string, bgp_prefix string, "
+                                         "country string, as_info string")
+    assert _reads(spark, frame, lambda p: report.captures_summary(p, *dims)) <= 3
+    assert _reads(spark, frame, lambda p: report.attack_summary(p, *dims, "x")) <= 3
+    assert _reads(spark, frame, lambda p: attack.source_stats_asn(p, networks)) <= 3
+    flow = staged(spark.createDataFrame([
+        _flow(i, f"s{i % 3}", i, sport=i) for i in range(40)], schemas.FLOWS), "test-flows")
+    assert _reads(spark, flow, lambda f: flows.flow_source_stats_asn(f, networks)) <= 3
+
+
 def test_report_time_column(spark):
     frame = spark.createDataFrame([(0, 1)], "timestamp long, n int")
     assert dict(report.with_datetime(frame).dtypes)["timestamp"] == "timestamp"
