@@ -39,6 +39,7 @@ BEGINNINGS = (4, 5, 6)      # code points of the beginnings of words that statis
 SURROUNDINGS = 5            # different ones that a mark of toxic documents has at least
 SURE = 3.0                  # by how much its evidence exceeds that of the best of as many words
 STEPS = 60
+PIECE_BYTES = 3 << 19      # text whose words are in memory at once
 _FILTER_BITS = 22
 _PLAIN = np.zeros(256, dtype=bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -232,7 +233,7 @@ def _unit_rows(rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in row_pieces(batch, "text", 8 << 20):
+            for _, data, offsets in row_pieces(batch, "text", PIECE_BYTES):
                 tokens = tokens_of(data, offsets)
                 units = tokens.units()
                 before, after = tokens.neighbours()
@@ -281,7 +282,7 @@ def _segments(labelled: DataFrame, sample_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in row_pieces(batch, "text"):
+            for rows, data, offsets in row_pieces(batch, "text", PIECE_BYTES):
                 words = words_of(data, offsets)
                 ids = rows.column("doc_id").to_numpy().astype(np.uint64)
                 labels = rows.column("label").to_numpy()
@@ -321,7 +322,7 @@ def fit(labelled: DataFrame, sample_words: int = SAMPLE_WORDS) -> Field:
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in row_pieces(batch, "text"):
+            for _, data, offsets in row_pieces(batch, "text", PIECE_BYTES):
                 found = np.unique(tokens_of(data, offsets).units())
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found))], names=["unit"])
 
@@ -348,7 +349,7 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in row_pieces(batch, "text", 2 << 20):
+            for rows, data, offsets in row_pieces(batch, "text", PIECE_BYTES):
                 tokens = tokens_of(data, offsets)
                 sizes = np.diff(tokens.first)
                 begins = _begins(tokens.first, len(tokens.word))
