@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floodlens import schemas
 from floodlens.operators import conversations
 from floodlens.plans.registry import Query
 from floodlens.plans.tables import Tables, sql_bin, with_views
 from floodlens.session import STATE_STORE, shared_folder
+from floodlens.sources import capture
+from floodlens.sources.capture_stream import packet_stream_pcap
 from floodlens.streaming.conversations import stream_conversations
 
 GAP = 6 * 3600
@@ -101,19 +104,43 @@ def _times(t: Tables) -> DataFrame:
 
 def _streamed(t: Tables, delay_hours: int = DELAY_HOURS) -> DataFrame:
     """Run the stream over the event files until all are read, and read its output back."""
+    spark = _stream_session(t)
+    events = spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
+    return _run(t, t.sessions_of(events), delay_hours)
+
+
+def _stream_session(t: Tables) -> SparkSession:
     spark = t.spark.newSession()  # settings of the stream stay with it
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # The state keeps the number of partitions it is started with: one per core.
     spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
-    events = spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
+    return spark
+
+
+def _streamed_captures(t: Tables) -> DataFrame:
+    """The same from a folder of capture files that the executors have written."""
+    capture.register_capture(t.spark)
+    folder = shared_folder(t.spark, "session-captures")
+    held = {f.name: f for f in t.sessions.schema.fields}
+    t.sessions.where("tcp_sport is not null and tcp_dport is not null").selectExpr(*[
+        f"cast({f.name if f.name in held else 'null'} as {f.dataType.simpleString()}) as {f.name}"
+        for f in schemas.PACKETS.fields]).write.format("capture").mode("append").save(folder)
+    packets = packet_stream_pcap(_stream_session(t), folder,
+                                 shared_folder(t.spark, "session-capture-log"))
+    return _run(t, packets, DELAY_HOURS)
+
+
+def _run(t: Tables, packets: DataFrame, delay_hours: int) -> DataFrame:
     out = shared_folder(t.spark, "stream-conversations")
-    stream = stream_conversations(t.sessions_of(events), f"{delay_hours} hours", GAP)
+    stream = stream_conversations(packets, f"{delay_hours} hours", GAP)
     query = (
         stream.writeStream.format("parquet").option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{out}/checkpoint").start()
     )
-    query.awaitTermination()
+    try:
+        query.processAllAvailable()  # up to the batch without data that the last watermark opens
+    finally:
+        query.stop()
     return t.spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
@@ -131,19 +158,21 @@ _LATENCY = f"""
     FROM (SELECT unnest(string_split(intervals, ',')) AS i FROM ({_LISTS}))
     WHERE i <> '' GROUP BY 1"""
 
+_STREAM_SQL = _sql(f"""
+    SELECT {_HEADER}, second, packets, NULL::VARCHAR AS end_state, NULL::BIGINT AS last_ts
+    FROM times WHERE second < {_WATERMARK}
+    UNION ALL
+    SELECT {_HEADER}, NULL, packets, end_state, last_ts FROM followed
+    WHERE last_ts + {GAP} < {_WATERMARK} OR next_ts < {_WATERMARK}""", _FOLLOWED)
+
 QUERIES = [
     Query("conversation_build", _built,
           _sql(f"SELECT {_HEADER}, end_state, last_ts, packets FROM built")),
     Query("conversation_times", _times, _sql(f"SELECT {_HEADER}, second, packets FROM times")),
     Query("conversation_lists",
           lambda t: _as_text(conversations.conversation_lists(_times(t))), _sql(_LISTS)),
-    Query("stream_conversations", _streamed,
-          _sql(f"""SELECT {_HEADER}, second, packets, NULL::VARCHAR AS end_state,
-                       NULL::BIGINT AS last_ts FROM times WHERE second < {_WATERMARK}
-                   UNION ALL
-                   SELECT {_HEADER}, NULL, packets, end_state, last_ts FROM followed
-                   WHERE last_ts + {GAP} < {_WATERMARK} OR next_ts < {_WATERMARK}""",
-               _FOLLOWED)),
+    Query("stream_conversations", _streamed, _STREAM_SQL),
+    Query("stream_conversations_captures", _streamed_captures, _STREAM_SQL),
     Query("conversation_volume",
           lambda t: conversations.conversation_volume(_built(t), t.sessions, DAY),
           _sql(f"""

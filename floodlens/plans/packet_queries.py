@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodlens.operators import attack, legacy, ngrams, packets, report
 from floodlens.plans.registry import Query
 from floodlens.plans.tables import Tables, sql_bin, with_views
+from floodlens.session import shared_folder
+from floodlens.sources import capture
 
 HOUR = 3600
 FLAG_SUMS = ", ".join(f"sum({c}) AS {f}" for f, c in attack.FLAG_COLUMNS.items())
@@ -382,7 +385,37 @@ _THREE_BYTES = """
           FROM payload_bytes WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
     WHERE pos + 2 < size"""
 
+_TWO_BYTES_OF_PACKETS = (_TWO_BYTES.replace("payload_bytes", "piece_bytes")
+                         .replace("PARTITION BY doc_id", "PARTITION BY doc_id, piece"))
+
+
+def _service_sql(rows: str) -> str:
+    return f"""
+        SELECT service, ngram, coalesce(c, 0) AS count
+        FROM (SELECT unnest({list(ngrams.SERVICES)}) AS service),
+             (SELECT unnest(range(256)) AS ngram)
+        LEFT JOIN (SELECT service AS s, byte AS g, count(*) AS c FROM ({rows})
+                   GROUP BY 1, 2) ON service = s AND ngram = g"""
+
+
+def _captured_payloads(t: Tables) -> DataFrame:
+    """The payloads, written as capture files by the executors and read back from them."""
+    capture.register_capture(t.spark)
+    folder = shared_folder(t.spark, "payload-captures")
+    t.payload_packets.write.format("capture").mode("append").save(folder)
+    return capture.packet_scan_pcap(t.spark, folder, columns=[
+        "tcp_sport", "tcp_dport", "udp_sport", "udp_dport", "payload"])
+
+
 PAYLOADS = [
+    Query("payload_ngrams_capture",
+          lambda t: ngrams.payload_ngrams(_captured_payloads(t), "payload", "udp:53", 2),
+          with_views(f"""SELECT 'udp:53' AS filter, g AS ngram, c AS count
+                         FROM ({_TWO_BYTES_OF_PACKETS})""", "piece_bytes")),
+    Query("ngrams_by_service_capture",
+          lambda t: ngrams.ngrams_by_service(_captured_payloads(t), "payload"),
+          with_views(_service_sql(_SERVICE_ROWS.replace("payload_bytes", "piece_bytes")),
+                     "piece_bytes")),
     Query("payload_ngrams",
           lambda t: ngrams.payload_ngrams(t.payloads, "text", "udp:53", 2, zeros=True),
           with_views(f"""
@@ -398,12 +431,7 @@ PAYLOADS = [
               SELECT '' AS filter, a * 65536 + b * 256 + c AS ngram, count(*) AS count
               FROM ({_THREE_BYTES}) GROUP BY 2""", "payload_bytes")),
     Query("ngrams_by_service", lambda t: ngrams.ngrams_by_service(t.payloads, "text"),
-          with_views(f"""
-              SELECT service, ngram, coalesce(c, 0) AS count
-              FROM (SELECT unnest({list(ngrams.SERVICES)}) AS service),
-                   (SELECT unnest(range(256)) AS ngram)
-              LEFT JOIN (SELECT service AS s, byte AS g, count(*) AS c FROM ({_SERVICE_ROWS})
-                         GROUP BY 1, 2) ON service = s AND ngram = g""", "payload_bytes")),
+          with_views(_service_sql(_SERVICE_ROWS), "payload_bytes")),
     Query("ngram_cube",
           lambda t: ngrams.ngram_cube(ngrams.payload_ngrams(t.payloads, "text", "", 3)),
           with_views(f"""

@@ -16,6 +16,7 @@ from floodlens.operators import attack, geo
 
 CHART = ["AU", "CN", "DE", "JP", "NL", "KR", "NZ", "US", "FR", "BR"]
 PAYLOAD_PORTS = [22, 25, 80, 443]
+PIECE_BYTES = 1400  # of a payload in a packet
 PROTOCOLS = [(6, "TCP"), (6, "TCP-ALT"), (17, "UDP")]
 PORTS = [(22, "SSH"), (53, "DNS"), (80, "HTTP"), (443, "HTTPS"), (1024, "Reserved"),
          (1055, "ANSYS-LM"), (2048, "DLS-Monitor"), (3128, "Proxy")]
@@ -231,6 +232,27 @@ class Tables:
             "case when doc_id % 2 = 1 then if(doc_id % 4 = 1, 53, 5353) end as udp_sport",
             "case when doc_id % 2 = 1 then cast(2000 + doc_id % 1000 as int) end as udp_dport")
 
+    @cached_property
+    def payload_packets(self) -> DataFrame:
+        """The payloads in pieces that fit a packet, as TCP and UDP packets with all columns of a
+        capture that the pieces decide on."""
+        size = PIECE_BYTES
+        pieces = self.payloads.withColumn("body", F.col("text").cast("binary")).withColumn(
+            "piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(
+                (F.octet_length("body") - 1) / size).cast("int")))))
+        held = pieces.withColumn("payload", F.substring(
+            "body", F.col("piece") * size + 1, F.lit(size)))
+        known = {
+            "ts": "doc_id", "ip_proto": "if(tcp_sport is null, 17, 6)", "ip_version": "4",
+            "ip_header_length": "5", "ip_src": ip("doc_id"), "ip_dst": "'192.0.2.1'",
+            "ip_total_length": "cast(octet_length(payload) as int) + if(tcp_sport is null, 28, 40)",
+            "tcp_sport": "tcp_sport", "tcp_dport": "tcp_dport", "tcp_offset": "5",
+            "udp_sport": "udp_sport", "udp_dport": "udp_dport",
+        }
+        return held.selectExpr(*[
+            f"cast({known.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}"
+            for f in schemas.PACKETS.fields], "payload")
+
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to 9 digits, standard deviations to 6, so that both engines agree."""
@@ -389,7 +411,12 @@ VIEWS = {
               FROM (SELECT *, regexp_extract_all(hex(encode(text)), '..') AS pairs
                     FROM payloads))""",
 }
+VIEWS["piece_bytes"] = f"""SELECT * EXCLUDE (pos, size), (pos - 1) // {PIECE_BYTES} AS piece,
+    (pos - 1) % {PIECE_BYTES} + 1 AS pos,
+    least({PIECE_BYTES}, size - (pos - 1) // {PIECE_BYTES} * {PIECE_BYTES}) AS size
+    FROM payload_bytes"""
 _NEEDS = {
+    "piece_bytes": ["payload_bytes"],
     "capture_packets": ["packets"],
     "f1": ["packets"], "f2": ["f1"], "w1": ["flows"], "w2": ["w1"],
     "asn_dim": ["f2", "prefix_dim"], "payload_bytes": ["payloads"],

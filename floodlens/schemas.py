@@ -48,6 +48,15 @@ PACKETS = _struct([
     ("udp_checksum", _STR),
 ])
 
+#: What a capture file holds beyond the packet layout: microseconds since 1970, the fragment offset
+#: (in units of 8 bytes) and the payload behind a TCP or UDP header.
+CAPTURED = T.StructType([
+    *PACKETS.fields,
+    T.StructField("ts_micros", _LONG),
+    T.StructField("ip_frag_offset", _INT),
+    T.StructField("payload", T.BinaryType()),
+])
+
 FLOWS = _struct([
     ("ts", _LONG),
     ("ip_proto", _STR),

@@ -14,23 +14,33 @@ import gzip
 import posixpath
 import struct
 import uuid
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
     WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
 
-from floodlens.schemas import PACKETS
+from floodlens.schemas import CAPTURED, PACKETS
 from floodlens.session import ship_package
 
 # Magic numbers (microseconds, nanoseconds), link types, frame and protocol numbers.
@@ -126,69 +136,170 @@ def _network_layer(link: int, frame: np.ndarray, end: np.ndarray, number: Number
     return start, kind
 
 
-def decode(block: bytes, order: str, link: int = ETHERNET, limit: int = MOST_CAPTURED
-           ) -> tuple[dict[str, pa.Array], int, bool]:
-    """Packet columns of the IPv4 frames in a block, the number of bytes used, and whether a
-    broken record follows."""
-    record, captured, used, broken = _boundaries(block, order, limit)
-    data = np.frombuffer(block, np.uint8)
-
-    def number(at: np.ndarray, size: int) -> np.ndarray:
+@dataclass(frozen=True)
+class Condition:
+    """A condition on one column that the reader applies before it builds any column."""
+
+    column: str
+    kind: str
+    values: tuple
+
+    def holds(self, values: np.ndarray, valid: np.ndarray | None) -> np.ndarray:
+        """Rows that meet the condition; null rows never do."""
+        wanted = self.values[0] if self.values else None
+        found = {
+            "in": lambda: np.isin(values, np.array(self.values, np.int64)),
+            "<": lambda: values < wanted, "<=": lambda: values <= wanted,
+            ">": lambda: values > wanted, ">=": lambda: values >= wanted,
+            "notnull": lambda: np.ones(len(values), bool),
+        }[self.kind]()
+        return found if valid is None else found & valid
+
+
+class Frames:
+    """The IPv4 frames among the records of a block. Columns are computed when they are asked for,
+    and only for the rows that are left."""
+
+    def __init__(self, block: bytes, order: str, link: int, record: np.ndarray,
+                 captured: np.ndarray, nanos: bool = False) -> None:
+        self.data = np.frombuffer(block, np.uint8)
+        self.order, self.nanos = order, nanos
+        frame = record + RECORD_HEADER
+        end = frame + captured
+        ip, kind = _network_layer(link, frame, end, self.number)
+        kept = (kind == IPV4) & (ip + 20 <= end) & (self.number(ip, 1) >> 4 == 4)
+        self._set(record[kept], end[kept], ip[kept])
+
+    def _set(self, record: np.ndarray, end: np.ndarray, ip: np.ndarray) -> None:
+        self.record, self.end, self.ip = record, end, ip
+        self.header = self.number(ip, 1) & 15
+        self.transport = ip + self.header * 4
+        self.protocol = self.number(ip + 9, 1)
+        first = (self.number(ip + 6, 2) & 0x1FFF) == 0
+        self.is_tcp = (self.protocol == TCP) & first & (self.transport + 20 <= end)
+        self.is_udp = (self.protocol == UDP) & first & (self.transport + 8 <= end)
+
+    def keep(self, conditions: Sequence[Condition]) -> None:
+        """Leave out the rows that fail a condition."""
+        kept = np.ones(len(self.record), bool)
+        for condition in conditions:
+            kept &= condition.holds(*self.numbers(condition.column))
+        if not kept.all():
+            self._set(self.record[kept], self.end[kept], self.ip[kept])
+
+    def number(self, at: np.ndarray, size: int) -> np.ndarray:
         value = np.zeros(len(at), np.int64)
         for i in range(size):
             # Positions beyond the block belong to rows that are masked out.
-            value = value << 8 | data[np.minimum(at + i, len(data) - 1)]
+            value = value << 8 | self.data[np.minimum(at + i, len(self.data) - 1)]
         return value
 
-    frame = record + RECORD_HEADER
-    end = frame + captured
-    ip, kind = _network_layer(link, frame, end, number)
-    is_ip = (kind == IPV4) & (ip + 20 <= end) & (number(ip, 1) >> 4 == 4)
-    record, end, ip = record[is_ip], end[is_ip], ip[is_ip]
-    header_length = number(ip, 1) & 15
-    total = number(ip + 2, 2)
-    fragment = number(ip + 6, 2)
-    protocol = number(ip + 9, 1)
-    transport = ip + header_length * 4
-    first = (fragment & 0x1FFF) == 0
-    is_tcp = (protocol == TCP) & first & (transport + 20 <= end)
-    is_udp = (protocol == UDP) & first & (transport + 8 <= end)
-    seconds = np.ascontiguousarray(
-        data[record[:, None] + np.arange(4)]).view(order + "u4").ravel().astype(np.int64)
-    flags = number(transport + 12, 2) & 0x1FF
-    data_offset = number(transport + 12, 1) >> 4
-    tcp_length = np.maximum(total - header_length * 4 - np.maximum(data_offset, 5) * 4, 0)
-
-    everywhere = {
-        "ts": seconds, "ip_version": number(ip, 1) >> 4, "ip_header_length": header_length,
-        "ip_tos": number(ip + 1, 1), "ip_total_length": total, "ip_id": number(ip + 4, 2),
-        "ip_flags": fragment >> 13, "ip_more_fragments": fragment >> 13 & 1,
-        "ip_ttl": number(ip + 8, 1), "ip_proto": protocol, "ip_checksum": number(ip + 10, 2),
-    }
-    tcp = {
-        "tcp_sport": number(transport, 2), "tcp_dport": number(transport + 2, 2),
-        "tcp_seq_id": number(transport + 4, 4), "tcp_ack_id": number(transport + 8, 4),
-        "tcp_offset": data_offset,
-        **{f"tcp_{name}": (flags & bit != 0).astype(np.int64) for name, bit in FLAG_BITS.items()},
-        "tcp_window": number(transport + 14, 2), "tcp_len": tcp_length,
-    }
-    udp = {
-        "udp_sport": number(transport, 2), "udp_dport": number(transport + 2, 2),
-        "udp_len": number(transport + 4, 2),
-    }
-    columns = {name: pa.array(values) for name, values in everywhere.items()}
-    columns["ip_src"] = _dotted(number(ip + 12, 4))
-    columns["ip_dst"] = _dotted(number(ip + 16, 4))
-    columns.update({name: pa.array(v, mask=~is_tcp) for name, v in tcp.items()})
-    columns.update({name: pa.array(v, mask=~is_udp) for name, v in udp.items()})
-    columns["udp_checksum"] = pa.array(
-        number(transport + 6, 2), mask=~is_udp).cast(pa.string())
-    return columns, used, broken
-
-
-def _arrow_schema() -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in PACKETS.fields])
+    def _clock(self, at: int) -> np.ndarray:
+        return np.ascontiguousarray(
+            self.data[self.record[:, None] + np.arange(at, at + 4)]).view(
+            self.order + "u4").ravel().astype(np.int64)
+
+    def numbers(self, name: str) -> tuple[np.ndarray, np.ndarray | None]:
+        """A column as numbers (addresses too), and which rows have it, if not all."""
+        ip, transport = self.ip, self.transport
+        if name in _IP_FIELDS:
+            at, size, shift, mask = _IP_FIELDS[name]
+            return self.number(ip + at, size) >> shift & mask, None
+        if name in _TCP_FIELDS:
+            at, size, shift, mask = _TCP_FIELDS[name]
+            return self.number(transport + at, size) >> shift & mask, self.is_tcp
+        if name in _UDP_FIELDS:
+            at, size = _UDP_FIELDS[name]
+            return self.number(transport + at, size), self.is_udp
+        if name == "ts":
+            return self._clock(0), None
+        if name == "ts_micros":
+            fraction = self._clock(4)
+            return self._clock(0) * 1_000_000 + (fraction // 1000 if self.nanos else fraction), None
+        if name == "ip_header_length":
+            return self.header, None
+        if name == "tcp_len":
+            words = np.maximum(self.number(transport + 12, 1) >> 4, 5)
+            total = self.number(ip + 2, 2)
+            return np.maximum(total - self.header * 4 - words * 4, 0), self.is_tcp
+        raise KeyError(name)
+
+    def payload(self) -> pa.Array:
+        """The bytes behind the TCP or UDP header, as far as captured and without padding behind
+        the packet; null for other packets. One gather for the whole block: what lies between the
+        payloads is masked out."""
+        words = np.maximum(self.number(self.transport + 12, 1) >> 4, 5)
+        start = self.transport + np.where(self.is_tcp, words * 4, 8)
+        total = self.number(self.ip + 2, 2)
+        # A length of zero is left to the network card (segmentation offload).
+        stop = np.where(total > 0, np.minimum(self.end, self.ip + total), self.end)
+        held = self.is_tcp | self.is_udp
+        start = np.minimum(start, self.end)
+        size = np.where(held, np.maximum(stop - start, 0), 0)
+        some = size > 0
+        edges = np.zeros(len(self.data) + 1, np.int8)
+        edges[start[some]] += 1
+        edges[(start + size)[some]] -= 1
+        body = self.data[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        valid = pa.array(held).buffers()[1]
+        return pa.Array.from_buffers(
+            pa.binary(), len(held), [valid, pa.py_buffer(offsets), pa.py_buffer(body)])
+
+    def column(self, name: str) -> pa.Array:
+        if name == "payload":
+            return self.payload()
+        values, valid = self.numbers(name)
+        if name in ("ip_src", "ip_dst"):
+            return _dotted(values)
+        column = pa.array(values, mask=None if valid is None else ~valid)
+        return column.cast(pa.string()) if name == "udp_checksum" else column
+
+
+# Place, size, shift and mask of the header fields.
+_IP_FIELDS = {
+    "ip_version": (0, 1, 4, 15), "ip_tos": (1, 1, 0, 255), "ip_total_length": (2, 2, 0, 65535),
+    "ip_id": (4, 2, 0, 65535), "ip_flags": (6, 2, 13, 7), "ip_more_fragments": (6, 2, 13, 1),
+    "ip_frag_offset": (6, 2, 0, 0x1FFF), "ip_ttl": (8, 1, 0, 255), "ip_proto": (9, 1, 0, 255),
+    "ip_checksum": (10, 2, 0, 65535), "ip_src": (12, 4, 0, 0xFFFFFFFF),
+    "ip_dst": (16, 4, 0, 0xFFFFFFFF),
+}
+_TCP_FIELDS = {
+    "tcp_sport": (0, 2, 0, 65535), "tcp_dport": (2, 2, 0, 65535),
+    "tcp_seq_id": (4, 4, 0, 0xFFFFFFFF), "tcp_ack_id": (8, 4, 0, 0xFFFFFFFF),
+    "tcp_offset": (12, 1, 4, 15),
+    **{f"tcp_{name}": (12, 2, bit.bit_length() - 1, 1) for name, bit in FLAG_BITS.items()},
+    "tcp_window": (14, 2, 0, 65535),
+}
+_UDP_FIELDS = {"udp_sport": (0, 2), "udp_dport": (2, 2), "udp_len": (4, 2), "udp_checksum": (6, 2)}
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """Columns to build, in order, and conditions on the rows."""
+
+    columns: tuple[str, ...] = tuple(PACKETS.names)
+    conditions: tuple[Condition, ...] = ()
+
+    def schema(self) -> pa.Schema:
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(),
+                 "binary": pa.binary()}
+        return pa.schema([(n, kinds[CAPTURED[n].dataType.simpleString()]) for n in self.columns])
+
+
+HEADERS = Wanted()
+
+
+def decode(block: bytes, order: str, link: int = ETHERNET, limit: int = MOST_CAPTURED,
+           wanted: Wanted = HEADERS, nanos: bool = False
+           ) -> tuple[dict[str, pa.Array], int, int, bool]:
+    """The wanted columns of the IPv4 frames in a block, their number, the number of bytes used,
+    and whether a broken record follows."""
+    record, captured, used, broken = _boundaries(block, order, limit)
+    frames = Frames(block, order, link, record, captured, nanos)
+    frames.keep(wanted.conditions)
+    columns = {name: frames.column(name) for name in wanted.columns}
+    return columns, len(frames.record), used, broken
 
 
 def byte_order(head: bytes, path: str) -> str:
@@ -199,6 +310,11 @@ def byte_order(head: bytes, path: str) -> str:
     raise ValueError(f"{path} is not a capture file")
 
 
+def counts_nanos(head: bytes, order: str) -> bool:
+    """Whether fractions of seconds are nanoseconds, from the header of the file."""
+    return struct.unpack_from(order + "I", head)[0] == MAGIC[1]
+
+
 def link_type(head: bytes, order: str, path: str) -> int:
     """Link type of a capture; raises for those that are not decoded."""
     link = struct.unpack_from(order + "I", head, 20)[0] & 0xFFFF
@@ -207,11 +323,12 @@ def link_type(head: bytes, order: str, path: str) -> int:
     return link
 
 
-def _batches(take: Callable[[int], bytes], head: bytes, order: str, path: str,
-             strict: bool) -> Iterator[pa.RecordBatch]:
+def _batches(take: Callable[[int], bytes], head: bytes, order: str, path: str, strict: bool,
+             wanted: Wanted = HEADERS) -> Iterator[pa.RecordBatch]:
     """Decode what `take` gives, block by block. A record cut off by the end of the file ends it; a
     broken one raises if `strict`, else it ends the file too."""
-    schema = _arrow_schema()
+    schema = wanted.schema()
+    nanos = counts_nanos(head, order)
     link = link_type(head, order, path)
     limit = max(MOST_CAPTURED, struct.unpack_from(order + "I", head, 16)[0])
     if limit > 64 * MOST_CAPTURED:  # some writers leave the field unset or all ones
@@ -219,9 +336,9 @@ def _batches(take: Callable[[int], bytes], head: bytes, order: str, path: str,
     rest = b""
     while more := take(BLOCK):
         block = rest + more
-        columns, used, broken = decode(block, order, link, limit)
+        columns, count, used, broken = decode(block, order, link, limit, wanted, nanos)
         rest = block[used:]
-        if len(columns["ts"]):
+        if count:
             yield pa.RecordBatch.from_arrays(
                 [columns[f.name].cast(f.type) for f in schema], schema=schema)
         if broken and strict:
@@ -231,7 +348,8 @@ def _batches(take: Callable[[int], bytes], head: bytes, order: str, path: str,
             return
 
 
-def read_capture(path: str, strict: bool = True) -> Iterator[pa.RecordBatch]:
+def read_capture(path: str, strict: bool = True, wanted: Wanted = HEADERS
+                 ) -> Iterator[pa.RecordBatch]:
     """The packets of one file; a truncated tail ends it, a broken record raises if `strict`."""
     filesystem, inner = _filesystem(path)
     with filesystem.open_input_stream(inner, compression=None) as raw:
@@ -255,33 +373,83 @@ def read_capture(path: str, strict: bool = True) -> Iterator[pa.RecordBatch]:
             return b"".join(parts)
 
         head = take(FILE_HEADER)
-        yield from _batches(take, head, byte_order(head, path), path, strict)
+        yield from _batches(take, head, byte_order(head, path), path, strict, wanted)
 
 
-def read_range(path: str, start: int, end: int, strict: bool = True) -> Iterator[pa.RecordBatch]:
+def read_range(path: str, start: int, end: int, strict: bool = True, wanted: Wanted = HEADERS
+               ) -> Iterator[pa.RecordBatch]:
     """The packets between two record boundaries of an uncompressed file."""
     filesystem, inner = _filesystem(path)
     with filesystem.open_input_file(inner) as file:
         head = file.read(FILE_HEADER)
         file.seek(start)
         yield from _batches(lambda size: file.read(min(size, end - file.tell())), head,
-                            byte_order(head, path), path, strict)
+                            byte_order(head, path), path, strict, wanted)
+
+
+def _address_number(text: str) -> int | None:
+    """Number of a dotted address as the reader writes it, or None."""
+    parts = text.split(".")
+    if len(parts) != 4 or not all(p.isascii() and p.isdigit() and len(p) < 4 for p in parts):
+        return None
+    numbers = [int(p) for p in parts]
+    if max(numbers) > 255 or ".".join(map(str, numbers)) != text:
+        return None
+    return sum(n << s for n, s in zip(numbers, (24, 16, 8, 0)))
+
+
+_COMPARED = {EqualTo: "in", EqualNullSafe: "in", In: "in", LessThan: "<", LessThanOrEqual: "<=",
+             GreaterThan: ">", GreaterThanOrEqual: ">=", IsNotNull: "notnull"}
+
+
+def condition_of(found: Filter) -> Condition | None:
+    """What the reader can do for a filter: equality, order and membership of numbers, equality and
+    membership of addresses, presence. None for all others."""
+    kind = _COMPARED.get(type(found))
+    name = ".".join(found.attribute) if kind else None
+    if name in ("payload", "udp_checksum") or name not in CAPTURED.names:
+        return None
+    if kind == "notnull":
+        return Condition(name, kind, ())
+    values = list(found.value) if isinstance(found, In) else [found.value]
+    values = [v for v in values if v is not None]  # equal to nothing
+    if isinstance(found, EqualNullSafe) and not values:
+        return None
+    if name in ("ip_src", "ip_dst"):
+        if kind != "in":
+            return None
+        values = [n for v in values if (n := _address_number(v)) is not None]
+    return Condition(name, kind, tuple(values)) if values or kind == "in" else None
 
 
 class CaptureReader(DataSourceReader):
-    def __init__(self, path: str, strict: bool) -> None:
+    """Reads the columns of its schema; filters that it can apply to headers are applied before any
+    column is built."""
+
+    def __init__(self, path: str, strict: bool, columns: tuple[str, ...]) -> None:
         self.path = path
         self.strict = strict
+        self.wanted = Wanted(columns)
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for found in filters:
+            condition = condition_of(found)
+            if condition is None:
+                yield found
+            else:
+                self.wanted = replace(
+                    self.wanted, conditions=(*self.wanted.conditions, condition))
 
     def partitions(self) -> list[CaptureFile]:
         return [CaptureFile(f) for f in list_files(self.path)]
 
     def read(self, partition: CaptureFile) -> Iterator[pa.RecordBatch]:
-        return read_capture(partition.path, self.strict)
+        return read_capture(partition.path, self.strict, self.wanted)
 
 
 def encode(batch: pa.RecordBatch) -> bytes:
-    """Packets as capture records that hold the headers; payload bytes are not recorded."""
+    """Packets as capture records that hold the headers, and the payloads of TCP and UDP packets and
+    fractions of seconds if there are columns `payload` and `ts_micros`."""
     def column(name: str) -> np.ndarray:
         values = batch.column(batch.schema.get_field_index(name)).cast(pa.int64())
         return values.fill_null(0).to_numpy(zero_copy_only=False)
@@ -295,7 +463,14 @@ def encode(batch: pa.RecordBatch) -> bytes:
 
     protocol = column("ip_proto")
     is_tcp, is_udp = protocol == TCP, protocol == UDP
-    captured = FRAME_HEADER + 20 + np.where(is_tcp, 20, np.where(is_udp, 8, 0))
+    headers = FRAME_HEADER + 20 + np.where(is_tcp, 20, np.where(is_udp, 8, 0))
+    body, sizes = np.zeros(0, np.uint8), np.zeros(len(protocol), np.int64)
+    if "payload" in batch.schema.names:
+        held = batch.column(batch.schema.get_field_index("payload")).fill_null(b"")
+        held = pc.if_else(pa.array(is_tcp | is_udp), held, pa.scalar(b"", held.type))
+        sizes = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+        body = np.frombuffer(b"".join(held.to_pylist()), np.uint8)
+    captured = headers + sizes
     ends = np.cumsum(captured + RECORD_HEADER)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     record = ends - captured - RECORD_HEADER
@@ -306,6 +481,12 @@ def encode(batch: pa.RecordBatch) -> bytes:
             out[at + i] = values >> shift & 255
 
     put(record, column("ts"), 4, little=True)
+    if "ts_micros" in batch.schema.names:
+        put(record + 4, column("ts_micros") % 1_000_000, 4, little=True)
+    if len(body):
+        behind = record + RECORD_HEADER + headers
+        place = np.repeat(behind - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(body))
+        out[place] = body
     put(record + 8, captured, 4, little=True)
     put(record + 12, FRAME_HEADER + column("ip_total_length"), 4, little=True)
     ip = record + RECORD_HEADER + FRAME_HEADER
@@ -384,7 +565,10 @@ class CaptureWriter(DataSourceArrowWriter):
 
 class CaptureSource(DataSource):
     """Packets from and to capture files; options `path` and `badRecords`: `raise` (default) or
-    `stop`, which keeps what a file holds before a record that no capture can hold."""
+    `stop`, which keeps what a file holds before a record that no capture can hold.
+
+    The schema may be any choice of the columns of `CAPTURED`; only these are built.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -397,24 +581,33 @@ class CaptureSource(DataSource):
         choice = self.options.get("badRecords", "raise")
         if choice not in ("raise", "stop"):
             raise ValueError("badRecords is raise or stop")
-        return CaptureReader(self.options["path"], choice == "raise")
+        unknown = [name for name in schema.names if name not in CAPTURED.names]
+        if unknown:
+            raise ValueError(f"captures have no columns {', '.join(unknown)}")
+        return CaptureReader(self.options["path"], choice == "raise", tuple(schema.names))
 
     def writer(self, schema: StructType, overwrite: bool) -> CaptureWriter:
         return CaptureWriter(self.options["path"], overwrite)
 
 
 def register_capture(spark: SparkSession) -> None:
-    """Make the `capture` format known to the session."""
+    """Make the `capture` format known to the session, and let filters reach it."""
     ship_package(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CaptureSource)
 
 
-def packet_scan_pcap(spark: SparkSession, path: str, bad_records: str = "raise") -> DataFrame:
+def packet_scan_pcap(spark: SparkSession, path: str, bad_records: str = "raise",
+                     columns: Sequence[str] | None = None) -> DataFrame:
     """Capture files as packets, one partition per file; frames that are not IPv4 are dropped.
 
     Frames of Ethernet (tagged or not), raw IP and the cooked form are read; other link types
     raise. `bad_records` says what happens at a record that claims more bytes than a frame can
-    have: `raise`, or `stop` reading that file there.
+    have: `raise`, or `stop` reading that file there. `columns` names the columns to build, of
+    `schemas.CAPTURED`; without it the packet layout is read, which has no payload.
     """
     register_capture(spark)
-    return spark.read.format("capture").option("badRecords", bad_records).load(path)
+    reader = spark.read.format("capture").option("badRecords", bad_records)
+    if columns is not None:
+        reader = reader.schema(StructType([CAPTURED[name] for name in columns]))
+    return reader.load(path)

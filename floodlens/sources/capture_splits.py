@@ -9,19 +9,22 @@ before it ended. A wrong guess is walked again from the right place.
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from floodlens.schemas import PACKETS
+from floodlens.schemas import CAPTURED
 from floodlens.session import ship_package, staged
 from floodlens.sources.capture import (
     FILE_HEADER,
+    HEADERS,
     RECORD_HEADER,
+    Wanted,
     _filesystem,
     byte_order,
     read_range,
@@ -137,11 +140,12 @@ def _range_walker(stop: bool) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.
     return walk
 
 
-def _range_reader(strict: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _range_reader(strict: bool, wanted: Wanted
+                  ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from read_range(row["path"], row["start"], row["end"], strict)
+                yield from read_range(row["path"], row["start"], row["end"], strict, wanted)
 
     return read
 
@@ -187,12 +191,14 @@ def boundaries(spark: SparkSession, files: list[tuple[str, int]],
 
 
 def packet_scan_large(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
-                      bad_records: str = "raise") -> DataFrame:
+                      bad_records: str = "raise", columns: Sequence[str] | None = None
+                      ) -> DataFrame:
     """Packets of one uncompressed capture file, or several separated by commas. A broken record
-    raises, or ends its file with `bad_records="stop"`, as in `packet_scan_pcap`."""
+    raises, or ends its file with `bad_records="stop"`, as in `packet_scan_pcap`; `columns` too."""
     if bad_records not in ("raise", "stop"):
         raise ValueError("bad_records is raise or stop")
     stop = bad_records == "stop"
+    wanted = HEADERS if columns is None else Wanted(tuple(columns))
     ship_package(spark)
     files = []
     for part in path.split(","):
@@ -200,4 +206,4 @@ def packet_scan_large(spark: SparkSession, path: str, split_bytes: int = SPLIT_B
         files.append((part, filesystem.get_file_info(inner).size))
     ranges = boundaries(spark, files, split_bytes, stop).filter(F.col("start") < F.col("end"))
     return _one_task_each(ranges).select("path", "start", "end").mapInArrow(
-        _range_reader(not stop), PACKETS)
+        _range_reader(not stop, wanted), StructType([CAPTURED[n] for n in wanted.columns]))

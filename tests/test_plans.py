@@ -51,7 +51,7 @@ def test_top_ports_do_not_sort_everything(stored):
 
 # The queries whose result is one row from one-row parts use no join at all; every other join is
 # an equality.
-@pytest.mark.parametrize("name", [n for n in all_queries() if n != "stream_conversations"
+@pytest.mark.parametrize("name", [n for n in all_queries() if not n.startswith("stream_conversations")
                                   and "sink" not in n and n not in ("connection_split",)])
 def test_no_product_joins(name, tables):
     text = plan(all_queries()[name].run(tables))
