@@ -64,7 +64,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that every document loses to runs of three lines or more seen earlier."""
+    """Lines that every document loses to runs of three lines or ten words seen earlier."""
     docs = _table(spark, sf_dir, "documents")
     return line_dedup.dedup(docs).select(
         "doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"),
@@ -282,16 +282,29 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, n, trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS line,
                 row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i
             FROM raw WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+        around AS (
+            SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines),
+        neighbours AS (
+            SELECT doc_id, i, line, words, lead(line) OVER w AS next, lead(line, 2) OVER w AS next2,
+                lead(words) OVER w AS words1, lag(line) OVER w AS prev, lag(line, 2) OVER w AS prev2,
+                lag(words) OVER w AS words_1, count(*) OVER d AS n_lines, sum(words) OVER d AS total
+            FROM around WINDOW w AS (PARTITION BY doc_id ORDER BY i), d AS (PARTITION BY doc_id)),
         windows AS (
-            SELECT doc_id, i, md5(concat(line, chr(10), lead(line) OVER w, chr(10),
-                lead(line, 2) OVER w)) AS k, lead(line, 2) OVER w IS NOT NULL AS whole
-            FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+            SELECT doc_id, i, 1 AS size, line AS k FROM neighbours WHERE words >= 10
+            UNION SELECT doc_id, i, 2, concat_ws(chr(10), line, next) FROM neighbours
+            WHERE words < 10 AND words + words1 >= 10
+            UNION SELECT doc_id, i - 1, 2, concat_ws(chr(10), prev, line) FROM neighbours
+            WHERE words < 10 AND words + words_1 >= 10
+            UNION SELECT doc_id, i, 3, concat_ws(chr(10), line, next, next2) FROM neighbours
+            WHERE words + words1 < 10 AND next2 IS NOT NULL
+            UNION SELECT doc_id, i - 2, 3, concat_ws(chr(10), prev2, prev, line) FROM neighbours
+            WHERE words + words_1 < 10 AND prev2 IS NOT NULL
+            UNION SELECT doc_id, i, n_lines, concat(chr(0), line, chr(10), next) FROM neighbours
+            WHERE i = 0 AND n_lines < 3 AND total < 10),
         later AS (
-            SELECT doc_id, i FROM windows WHERE whole
-            QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
-        gone AS (
-            SELECT DISTINCT doc_id, i + d AS i
-            FROM later, (VALUES (0), (1), (2)) AS o(d)),
+            SELECT doc_id, i, size FROM windows
+            QUALIFY row_number() OVER (PARTITION BY md5(k) ORDER BY doc_id, i) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + unnest(range(size)) AS i FROM later),
         counts AS (
             SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
                 string_agg(CAST(g.i AS VARCHAR), ',' ORDER BY g.i) AS removed

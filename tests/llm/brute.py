@@ -34,8 +34,9 @@ def shingles(text: str | None, size: int = 4) -> frozenset:
     return frozenset(zip(*[found[i:] for i in range(size)]))
 
 
-def near_components(docs: dict[int, str | None], percent: int = 80) -> dict[int, int]:
-    sets = {i: shingles(text) for i, text in docs.items()}
+def near_components(docs: dict[int, str | None], percent: int = 80, size: int = 4
+                    ) -> dict[int, int]:
+    sets = {i: shingles(text, size) for i, text in docs.items()}
     root = {i: i for i in docs}
 
     def find(i: int) -> int:
@@ -79,18 +80,36 @@ def without_words(text: str | None, gone: list[bool]) -> str:
     return "".join([*out, (text or "")[at:]])
 
 
-def repeated_lines(docs: dict[int, str | None], run: int) -> dict[int, list[int]]:
-    """Numbers of lines in runs that start at an earlier position, counting lines with a word."""
-    seen, out = set(), {}
+def lines_of(text: str | None) -> list[str]:
+    return [line.strip(" \t\n\x0b\x0c\r") for line in (text or "").split("\n") if words(line)]
+
+
+def repeated_lines(docs: dict[int, str | None], run: int, least: int) -> dict[int, list[int]]:
+    """Numbers of the lines in runs of `run` lines or `least` words that start at an earlier
+    position, counting lines with a word; all lines of a shorter document that occurs earlier.
+
+    Follows the definition: of all runs from each line on, up to the longest there is any need to
+    look at, every one that counts and was seen before marks its lines.
+    """
+    seen, short, out = set(), set(), {}
     for i in sorted(docs):
-        lines = [line.strip(" \t\n\x0b\x0c\r") for line in (docs[i] or "").split("\n")
-                 if words(line)]
+        lines = lines_of(docs[i])
+        sizes = [len(words(line)) for line in lines]
         gone = set()
-        for k in range(len(lines) - run + 1):
-            key = tuple(lines[k:k + run])
-            if key in seen:
-                gone.update(range(k, k + run))
-            seen.add(key)
+        for k in range(len(lines)):
+            for size in range(1, 2 * run + 2):
+                if k + size > len(lines):
+                    break
+                key = tuple(lines[k:k + size])
+                if size < run and sum(sizes[k:k + size]) < least:
+                    continue
+                if key in seen:
+                    gone.update(range(k, k + size))
+                seen.add(key)
+        if lines and len(lines) < run and sum(sizes) < least:
+            if tuple(lines) in short:
+                gone.update(range(len(lines)))
+            short.add(tuple(lines))
         out[i] = sorted(gone)
     return out
 

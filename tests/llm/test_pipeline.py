@@ -42,7 +42,7 @@ def test_rules(spark, stages):
 def test_lines(stages):
     before, after = texts_of(stages[1]), texts_of(stages[2])
     want = {}
-    for i, gone in brute.repeated_lines(before, 3).items():
+    for i, gone in brute.repeated_lines(before, 3, 10).items():
         text = brute.without_lines(before[i], gone)
         if not gone or brute.words(text):
             want[i] = text if gone else before[i]
@@ -51,7 +51,7 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     before, after = texts_of(stages[2]), texts_of(stages[3])
-    parts = brute.near_components(before)
+    parts = brute.near_components(before, size=5)
     assert after == {i: t for i, t in before.items() if parts[i] == i}
 
 

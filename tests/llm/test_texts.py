@@ -220,12 +220,42 @@ def test_substrings_of_the_documents(documents, empty):
     assert substring_dedup.dedup(empty).collect() == []
 
 
-@pytest.mark.parametrize("run", [1, 2, 3, 5])
-def test_lines(odd, odd_rows, run):
-    texts = dict(odd_rows)
-    found = by_id(line_dedup.dedup(odd, run))
+def _line_texts():
+    """Texts of few different lines of one to twelve words, some whole and short, some copied."""
+    rng = np.random.default_rng(11)
+    lines = [" ".join(f"w{k}" for k in rng.integers(0, 9, n)) for n in (1, 1, 2, 3, 3, 4, 6, 9, 12)]
+    texts = {i: "\n".join(rng.choice(lines, rng.integers(0, 7))) for i in range(150)}
+    return texts | {150: texts[3], 151: "one long line of more than ten words stands here alone now",
+                    152: "a\n one long line of more than ten words stands here alone now\nb",
+                    153: "short text", 154: " short text \n", 155: "short text\nand more"}
+
+
+@pytest.mark.parametrize("run,least", [(1, 1000), (2, 1000), (3, 10), (5, 7), (2, 4), (3, 1)])
+def test_lines(spark, odd, odd_rows, run, least):
+    made = _line_texts()
+    frames = ((odd, dict(odd_rows)), (frame(spark, list(made.items())).repartition(3), made))
+    for df, texts in frames:
+        compare_lines(by_id(line_dedup.dedup(df, run, least)), texts, run, least)
+
+
+def test_one_long_line_and_a_whole_short_document_count():
+    texts = _line_texts()
+    gone = brute.repeated_lines(texts, 3, 10)
+    assert gone[152] == [1] and gone[154] == [0] and gone[155] == [] and gone[151] == []
+
+
+def test_a_line_that_a_third_of_the_documents_hold(spark):
+    """One line everywhere, with the lines around it shared by pairs of documents."""
+    line = "this very common line of more than ten words is in every document"
+    texts = {i: f"own {i // 2} before\n{line}\nown {i // 2} behind" if i % 3 else f"alone {i}"
+             for i in range(900)}
+    found = by_id(line_dedup.dedup(frame(spark, list(texts.items())).repartition(4)))
+    compare_lines(found, texts, 3, 10)
+
+
+def compare_lines(found, texts, run, least):
     assert set(found) == set(texts)
-    for i, gone in brute.repeated_lines(texts, run).items():
+    for i, gone in brute.repeated_lines(texts, run, least).items():
         assert list(found[i]["removed"]) == gone and found[i]["n_removed"] == len(gone)
         want = brute.without_lines(texts[i], gone) if gone else None
         assert found[i]["kept_text"] == want
