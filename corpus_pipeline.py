@@ -41,13 +41,14 @@ def _with_texts(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that occur earlier."""
+    """Documents without runs of three lines or ten words that occur earlier."""
     return _with_texts(docs, line_dedup.dedup(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id")
+    """One document of each group of near-duplicates (80 percent of shingles of five words), the one
+    with the smallest id."""
+    kept = near_dup.near_duplicates(docs, shingle=5).where("kept").select("doc_id")
     return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
