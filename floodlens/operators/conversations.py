@@ -17,8 +17,9 @@ ENDPOINTS = ["src", "sport", "dst", "dport"]
 HEADER = ["ts", *ENDPOINTS]
 
 
-def connection_packets(packets: DataFrame) -> DataFrame:
-    """TCP packets by direction-independent connection, with what decides conversations.
+def connection_packets(packets: DataFrame, *more: Column) -> DataFrame:
+    """TCP packets by direction-independent connection, with what decides conversations, and
+    `more` columns.
 
     Packets without ports (later fragments, short captures) belong to no connection.
     `starter` is smallest for the packet that names the endpoints: an opening packet before
@@ -39,7 +40,7 @@ def connection_packets(packets: DataFrame) -> DataFrame:
         a["ip"].alias("a_ip"), a["port"].alias("a_port"),
         b["ip"].alias("b_ip"), b["port"].alias("b_port"),
         "ts", starter.alias("starter"), syn.cast("int").alias("syn"),
-        flag("fin").cast("int").alias("fin"), flag("rst").cast("int").alias("rst"))
+        flag("fin").cast("int").alias("fin"), flag("rst").cast("int").alias("rst"), *more)
 
 
 def per_second(rows: DataFrame) -> DataFrame:
@@ -53,8 +54,12 @@ def per_second(rows: DataFrame) -> DataFrame:
 
 def _numbered(packets: DataFrame, gap_s: int) -> DataFrame:
     """Packets per (connection, second) with the `number` of their conversation."""
+    return number_conversations(per_second(connection_packets(packets)), gap_s)
+
+
+def number_conversations(seconds: DataFrame, gap_s: int) -> DataFrame:
+    """Rows of connections and seconds with the `number` of their conversation."""
     connection = Window.partitionBy(*CONNECTION).orderBy("ts")
-    seconds = per_second(connection_packets(packets))
     silent = F.coalesce(F.col("ts") - F.lag("ts").over(connection) > gap_s, F.lit(True))
     seconds = seconds.withColumn("silent", silent.cast("int"))
     seconds = seconds.withColumn("stretch", F.sum("silent").over(connection))
@@ -71,7 +76,7 @@ def _numbered(packets: DataFrame, gap_s: int) -> DataFrame:
     return seconds.withColumn("number", F.sum("begins").over(connection))
 
 
-def _named(starter: str) -> list[Column]:
+def named_endpoints(starter: str) -> list[Column]:
     """Endpoints, from the side that sent the packet `starter` tells of."""
     from_a = F.col(starter) % 2 == 0
     pairs = {"src": ("a_ip", "b_ip"), "sport": ("a_port", "b_port"),
@@ -88,7 +93,7 @@ def conversation_build(packets: DataFrame, gap_s: int = 60) -> DataFrame:
         F.min_by("starter", "ts").alias("starter"),
         F.max("rst").alias("rst"), F.max("fin").alias("fin"))
     state = F.when(F.col("rst") > 0, "reset").when(F.col("fin") > 0, "close").otherwise("timeout")
-    return held.select("ts", *_named("starter"), state.alias("end_state"), "last_ts", "packets")
+    return held.select("ts", *named_endpoints("starter"), state.alias("end_state"), "last_ts", "packets")
 
 
 def conversation_times(packets: DataFrame, gap_s: int = 60) -> DataFrame:
@@ -99,7 +104,7 @@ def conversation_times(packets: DataFrame, gap_s: int = 60) -> DataFrame:
         _numbered(packets, gap_s)
         .withColumn("start", F.first("ts").over(ordered))
         .withColumn("first_starter", F.first("starter").over(ordered))
-        .select(F.col("start").alias("ts"), *_named("first_starter"),
+        .select(F.col("start").alias("ts"), *named_endpoints("first_starter"),
                 F.col("ts").alias("second"), F.col("n").alias("packets"))
     )
 

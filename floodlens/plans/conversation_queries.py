@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodlens import schemas
-from floodlens.operators import conversations
+from floodlens.operators import conversations, latency
 from floodlens.plans.registry import Query
 from floodlens.plans.tables import Tables, sql_bin, with_views
 from floodlens.session import STATE_STORE, shared_folder
@@ -165,7 +165,48 @@ _STREAM_SQL = _sql(f"""
     SELECT {_HEADER}, NULL, packets, end_state, last_ts FROM followed
     WHERE last_ts + {GAP} < {_WATERMARK} OR next_ts < {_WATERMARK}""", _FOLLOWED)
 
+#: Every packet with its time and the first one of its conversation, in microseconds.
+_MICROS = f"""
+    packet_micros AS (
+        SELECT n.*, ts_micros, min(ts_micros) OVER (PARTITION BY {_CONNECTION}, number) AS begun
+        FROM (SELECT {_CONNECTION}, number, first_starter, start, ts, fin, rst FROM numbered) n
+        JOIN (SELECT *, CASE WHEN onward THEN ip_src ELSE ip_dst END AS a_ip,
+                  CASE WHEN onward THEN tcp_sport ELSE tcp_dport END AS a_port,
+                  CASE WHEN onward THEN ip_dst ELSE ip_src END AS b_ip,
+                  CASE WHEN onward THEN tcp_dport ELSE tcp_sport END AS b_port
+              FROM (SELECT ip_src, ip_dst, tcp_sport, tcp_dport, ts, ts_micros,
+                        (ip_src, tcp_sport) <= (ip_dst, tcp_dport) AS onward FROM sessions
+                    WHERE tcp_sport IS NOT NULL AND tcp_dport IS NOT NULL)) p
+        USING ({_CONNECTION}, ts)),
+    offsets AS (
+        SELECT ts_micros - begun AS micros FROM packet_micros
+        QUALIFY row_number() OVER (PARTITION BY {_CONNECTION}, number ORDER BY ts_micros) > 1)"""
+_BUCKET = f"""CASE WHEN micros < {1 << latency.SUB_BITS} THEN micros ELSE
+    (floor(log2(micros)) - {latency.SUB_BITS} << {latency.SUB_BITS})
+    + (micros >> (floor(log2(micros)) - {latency.SUB_BITS})) END"""
+_BUCKET = _BUCKET.replace("floor(log2(micros))", "CAST(length(ltrim(bin(micros), '0')) - 1 AS BIGINT)")
+
 QUERIES = [
+    Query("conversation_build_micros",
+          lambda t: latency.conversation_build_micros(t.micro_sessions, GAP),
+          _sql("""
+              SELECT min(ts_micros) AS ts_micros,
+                  CASE WHEN any_value(first_starter) % 2 = 0 THEN a_ip ELSE b_ip END AS src,
+                  CASE WHEN any_value(first_starter) % 2 = 0 THEN a_port ELSE b_port END AS sport,
+                  CASE WHEN any_value(first_starter) % 2 = 0 THEN b_ip ELSE a_ip END AS dst,
+                  CASE WHEN any_value(first_starter) % 2 = 0 THEN b_port ELSE a_port END AS dport,
+                  CASE WHEN max(rst) > 0 THEN 'reset' WHEN max(fin) > 0 THEN 'close'
+                      ELSE 'timeout' END AS end_state,
+                  max(ts_micros) AS last_micros, count(*) AS packets
+              FROM packet_micros GROUP BY a_ip, a_port, b_ip, b_port, number""", _MICROS)),
+    Query("latency_histogram_micros",
+          lambda t: latency.latency_histogram_micros(t.micro_sessions, GAP),
+          _sql("""SELECT CAST(micros // 1000 AS BIGINT) AS interval_ms, count(*) AS count
+                  FROM offsets GROUP BY 1""", _MICROS)),
+    Query("latency_buckets",
+          lambda t: latency.latency_buckets(t.micro_sessions, GAP).drop("from_micros"),
+          _sql(f"""SELECT CAST({_BUCKET} AS BIGINT) AS bucket, count(*) AS count
+                   FROM offsets GROUP BY 1""", _MICROS)),
     Query("conversation_build", _built,
           _sql(f"SELECT {_HEADER}, end_state, last_ts, packets FROM built")),
     Query("conversation_times", _times, _sql(f"SELECT {_HEADER}, second, packets FROM times")),

@@ -101,7 +101,7 @@ class Tables:
             "ip_frag_offset", F.when(F.col("ip_id") % 9 == 0, 185).otherwise(0))
 
     @staticmethod
-    def sessions_of(events: DataFrame) -> DataFrame:
+    def sessions_of(events: DataFrame, *more: str) -> DataFrame:
         """TCP packets of few connections, both directions, with opening and ending flags; some
         are later fragments without ports."""
         one = "concat('10.9.', cast(user_id % 5 as string), '.', cast(user_id % 20 as string))"
@@ -116,13 +116,21 @@ class Tables:
             f"case when {whole} then case when {back} then {port} else 80 end end as tcp_dport",
             "if(event_id % 6 = 0, 1, 0) as tcp_syn", "if(event_id % 4 = 3, 1, 0) as tcp_ack",
             "if(event_id % 10 = 5, 1, 0) as tcp_fin", "if(event_id % 50 = 7, 1, 0) as tcp_rst",
-            "cast(20 + event_id % 1000 as int) as ip_total_length",
+            "cast(20 + event_id % 1000 as int) as ip_total_length", *more,
         )
 
     @cached_property
     def sessions(self) -> DataFrame:
         return self.sessions_of(self.events)
 
+    @cached_property
+    def micro_sessions(self) -> DataFrame:
+        """The session packets with fractions of seconds; some have none."""
+        held = self.sessions_of(self.events, "event_id")
+        return held.withColumn("ts_micros", F.expr(
+            "case when event_id % 13 <> 4 then ts * 1000000 + event_id * 7919 % 1000000 end"
+        )).drop("event_id")
+
     @cached_property
     def flows(self) -> DataFrame:
         return self.table("lineitem").selectExpr(
@@ -346,7 +354,9 @@ VIEWS = {
         CASE WHEN event_id % 97 <> 5 THEN
             CASE WHEN event_id % 3 = 1 THEN {_SESSION_PORT} ELSE 80 END END AS tcp_dport,
         event_id % 6 = 0 AND event_id % 4 <> 3 AS syn, event_id % 10 = 5 AS fin,
-        event_id % 50 = 7 AS rst, CAST(20 + event_id % 1000 AS INTEGER) AS ip_total_length
+        event_id % 50 = 7 AS rst, CAST(20 + event_id % 1000 AS INTEGER) AS ip_total_length,
+        {sql_epoch('ts')} * 1000000 + CASE WHEN event_id % 13 <> 4
+            THEN event_id * 7919 % 1000000 ELSE 0 END AS ts_micros
         FROM events""",
     "flows": f"""SELECT {sql_epoch('l_shipdate')} AS ts,
         CASE l_returnflag WHEN 'A' THEN 'TCP' WHEN 'R' THEN 'UDP' ELSE 'ICMP' END AS ip_proto,
