@@ -412,12 +412,12 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text")
     held = F.coalesce(held_out, F.lit(False))
     known = known_labels(labels)
-    labelled = staged(rows.where(~held & F.col("doc_id").isNotNull()).join(known, "doc_id"),
-                      "toxic-labelled")
+    labelled = staged(rows.where(~held & F.col("doc_id").isNotNull()).join(
+        known.hint("merge"), "doc_id"), "toxic-labelled")
     field = fit(labelled, sample_words)
     tagged = staged(tag(rows.withColumn("held_out", held), field), "toxic-tagged")
-    sample = hashed_sample(tagged.where("not held_out").join(known, "doc_id"), "doc_id",
-                           ["highest", "expected", "label"], sample_rows)
+    sample = hashed_sample(tagged.where("not held_out").join(
+        known.hint("merge"), "doc_id"), "doc_id", ["highest", "expected", "label"], sample_rows)
 
     def evidence(highest: np.ndarray, expected: np.ndarray) -> np.ndarray:
         p = np.clip(highest, 1e-5, 1 - 1e-5)
