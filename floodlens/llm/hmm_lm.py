@@ -7,8 +7,11 @@ number of hash classes, the end among them), and a class emits its words by thei
 
 where N(class) also leaves room for one unseen word. Word counts come from all training texts.
 The states are trained on all training texts as well: each partition runs forward and backward
-over its texts, cut into segments of equal length, and sends its expected counts, which Spark
-adds up; a round needs no more of the driver than the two small tables.
+over its texts and sends its expected counts, which Spark adds up; a round needs no more of the
+driver than the two small tables. So that long and short texts are worked on side by side, texts are
+cut into segments. A segment is run through with `OVERLAP` more tokens on either side, which carry the
+state across the cut but are counted by their own segment: every move is counted once, and first
+states only where a text begins.
 
 For scoring, texts are dealt to buckets of bounded size, and a bucket is given the counts of the
 words that occur in it. No table of all words is ever in one place.
@@ -33,7 +36,10 @@ STATES = 6
 STAY = 0.95         # probability of keeping a state, to start training with
 CLASSES = 1024      # word classes; the end token has one more of its own
 ROUNDS = 5
-SEGMENT = 64
+SEGMENT = 224
+OVERLAP = 32
+PIECE_BYTES = 3 << 20
+_STEPS = 1 << 16    # expected counts travel as whole numbers of this fraction
 BUCKET_BYTES = 24 << 20
 _END = np.uint64(0x5851F42D4C957F2D)  # stands for the end token among word hashes
 
@@ -73,54 +79,68 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 # Training --------------------------------------------------------------------------------------
 
-def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray, segment: int
-                    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected first states, moves and emissions of rows of tokens, cut into segments."""
+def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray, segment: int,
+                    overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected first states, moves and emissions of rows of tokens, cut into segments. Where a
+    segment and the overlap begin inside a text, states are as likely as they are in the long
+    run."""
     states = len(model.first)
     sizes = np.diff(first)
     parts = -(-sizes // segment)
     row = np.repeat(np.arange(len(sizes)), parts)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = first[row] + inside * segment
-    length = np.minimum(segment, first[row + 1] - start)
+    begin = first[row] + inside * segment
+    end = np.minimum(begin + segment, first[row + 1])
+    start = np.maximum(begin - overlap, first[row])
+    length = np.minimum(end + overlap, first[row + 1]) - start
     order = np.argsort(-length, kind="stable")
-    start, length = start[order], length[order]
+    row, begin, end, start, length = (x[order] for x in (row, begin, end, start, length))
     initial, moves = np.zeros(states), np.zeros((states, states))
     emissions = np.zeros((model.emit.shape[1], states))
     if not len(start):
         return initial, moves, emissions.T
+    opens = start == first[row]
+    low, high = begin - start, end - start  # the segment's own tokens
+    prior = np.where(opens[:, None], model.first, _long_run(model.move))
     table = np.ascontiguousarray(model.emit.T)
-    live = [int(np.searchsorted(-length, -t)) for t in range(segment)]  # segments longer than t
-    live = [n for n in live if n]
+    live = [int(np.searchsorted(-length, -t)) for t in range(int(length[0]))]  # longer than t
     alphas, seen = [], []
     for t, n in enumerate(live):
         at = classes[start[:n] + t]
-        alpha = table[at] * (model.first if t == 0 else alphas[-1][:n] @ model.move)
+        alpha = table[at] * (prior if t == 0 else alphas[-1][:n] @ model.move)
         alpha /= alpha.sum(axis=1, keepdims=True)
         alphas.append(alpha)
         seen.append(at)
     beta = np.ones((len(start), states))
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
+        own = ((low[:n] <= t) & (t < high[:n])).astype(np.float64)[:, None]
         gamma = alphas[t] * beta[:n]
-        total = gamma.sum(axis=1, keepdims=True)
-        gamma /= total
+        gamma *= own / gamma.sum(axis=1, keepdims=True)
         for k in range(states):
             emissions[:, k] += np.bincount(seen[t], gamma[:, k], len(emissions))
         if t == 0:
-            initial += gamma.sum(axis=0)
+            initial += gamma[opens[:n]].sum(axis=0)
             break
         # Both ends of each move into place t, scaled so that its expected count sums to one.
         ahead = table[seen[t]] * beta[:n]
         back = ahead @ model.move.T
         scale = (alphas[t - 1][:n] * back).sum(axis=1, keepdims=True)
-        moves += alphas[t - 1][:n].T @ (ahead / scale) * model.move
+        moves += alphas[t - 1][:n].T @ (ahead * (own / scale)) * model.move
         beta[:n] = back / scale
     return initial, moves, emissions.T
 
 
+def _long_run(move: np.ndarray) -> np.ndarray:
+    """Share of each state after many moves."""
+    share = np.full(len(move), 1 / len(move))
+    for _ in range(200):
+        share = share @ move
+    return share / share.sum()
+
+
 def train(docs: DataFrame, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS,
-          segment: int = SEGMENT) -> Model:
+          segment: int = SEGMENT, overlap: int = OVERLAP) -> Model:
     """Baum-Welch over all rows of `docs` (text)."""
     model = Model.untrained(states, classes + 1)
     shape = (states, states + 1 + classes + 1)
@@ -131,18 +151,20 @@ def train(docs: DataFrame, states: int = STATES, classes: int = CLASSES, rounds:
         def run(batches: Iterator[pa.RecordBatch], now: Model = now) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(shape)
             for batch in batches:
-                for _, data, offsets in row_pieces(batch, "text"):
+                for _, data, offsets in row_pieces(batch, "text", PIECE_BYTES):
                     tokens, first = tokens_of(data, offsets)
                     initial, moves, emissions = expected_counts(
-                        now, classes_of(tokens, classes), first, segment)
+                        now, classes_of(tokens, classes), first, segment, overlap)
                     sums += np.concatenate([initial[:, None], moves, emissions], axis=1)
+            # Whole numbers have the same sum in whatever order they come.
+            steps = np.rint(sums.ravel() * _STEPS).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["cell", "value"])
+                [pa.array(np.arange(sums.size)), pa.array(steps)], names=["cell", "value"])
 
-        found = (docs.select("text").mapInArrow(run, "cell long, value double")
+        found = (docs.select("text").mapInArrow(run, "cell long, value long")
                  .groupBy("cell").agg(F.sum("value").alias("value")).toPandas())
         sums = np.zeros(states * shape[1])
-        sums[found["cell"]] = found["value"].round(3)  # the same sum in whatever order it came
+        sums[found["cell"]] = found["value"] / _STEPS
         initial, moves, emissions = np.split(sums.reshape(shape), [1, 1 + states], axis=1)
         initial, moves, emissions = initial[:, 0] + 0.1, moves + 0.1, emissions + 0.01
         model = Model(initial / initial.sum(), moves / moves.sum(1, keepdims=True),

@@ -418,6 +418,26 @@ def test_expected_counts_and_forward_over_all_paths():
     assert np.allclose(hmm_lm.forward(model, classes, first), logs)
 
 
+def test_segments_of_a_long_text_count_as_the_whole_text(documents):
+    texts = sorted((t or "" for t in documents[1].values()), key=len)[-3:]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    tokens, first = hmm_lm.tokens_of(data, offsets)
+    classes = hmm_lm.classes_of(tokens, 64)
+    model = hmm_lm.Model.untrained(4, 65)
+    for _ in range(2):  # the model, and what one round makes of it
+        whole = hmm_lm.expected_counts(model, classes, first, len(classes))
+        parts = hmm_lm.expected_counts(model, classes, first, 100)
+        assert np.allclose(whole[0], parts[0], atol=0.02)  # first states: of the three texts only
+        assert math.isclose(parts[0].sum(), 3)
+        assert math.isclose(parts[1].sum(), len(classes) - 3, rel_tol=1e-9)  # every move once
+        for a, b in zip(whole[1:], parts[1:]):
+            assert np.abs(a - b).sum() < 0.01 * a.sum()
+        model = hmm_lm.Model(*(x / x.sum(-1, keepdims=True) for x in (
+            whole[0] + 0.1, whole[1] + 0.1, whole[2] + 0.01)))
+
+
 def test_language_model(documents):
     df, texts = documents
     rows = by_id(hmm_lm.score(df, _crc_is(7, 2), bucket_bytes=1 << 17))
