@@ -182,7 +182,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
         firsts AS (SELECT conv_id, turn, arg_min(text, msg_id) AS quoted FROM turns GROUP BY ALL),
         messages AS (
-            SELECT msg_id, t.conv_id * 1000 + t.turn AS sent, concat(
+            SELECT msg_id, t.conv_id * 4294967296 + t.turn AS sent, concat(
                 '> > ' || replace(b.quoted, chr(10), chr(10) || '> > ') || chr(10),
                 '> ' || replace(a.quoted, chr(10), chr(10) || '> ') || chr(10),
                 CASE WHEN a.quoted IS NOT NULL THEN chr(10) END, text) AS text

@@ -139,7 +139,8 @@ def quoting_messages(turns: DataFrame) -> DataFrame:
 
     return (rows.join(before(1, "> "), ["conv_id", "turn"], "left")
             .join(before(2, "> > "), ["conv_id", "turn"], "left")
-            .select("msg_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("sent"),
+            # Turns are ints: no turn of a conversation is behind one of the next.
+            .select("msg_id", (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("sent"),
                     F.concat(F.coalesce("quote_2", F.lit("")), F.coalesce("quote_1", F.lit("")),
                              F.when(F.col("quote_1").isNotNull(), "\n").otherwise(""),
                              F.coalesce("text", F.lit(""))).alias("text")))

@@ -116,6 +116,30 @@ def test_quotations(spark):
     assert found["d"]["n_quoted"] == 3
 
 
+def test_long_conversations_do_not_run_into_the_next(spark):
+    """Turns beyond a thousand sort before the next conversation, and link to the turn before."""
+    turns = [(c, t, "user", f"text {c} {t}") for c in (1, 2) for t in (0, 1, 999, 1000, 1001, 5000,
+                                                                       5001)]
+    turns.append((2, 1002, "user", "text 1 5000"))
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    messages = quotations.quoting_messages(df)
+    sent = {tuple(map(int, r["msg_id"].split("-")[:2])): r["sent"] for r in messages.collect()}
+    assert sorted(sent, key=sent.get) == sorted(sent)
+    found = {tuple(map(int, r["msg_id"].split("-")[:2])): r["parent_id"]
+             for r in quotations.conversations(messages).collect()}
+    assert found[1, 1001].startswith("1-1000-") and found[1, 5001].startswith("1-5000-")
+    assert found[2, 1000].startswith("2-999-") and found[2, 999] is None
+
+
+def test_very_long_message_and_a_passage_that_many_quote(spark):
+    long = "\n".join(f"line {i} of a long message" for i in range(20_000))
+    rows = [("a", 1, long), ("b", 2, "\n".join("> " + x for x in long.split("\n")) + "\n\nyes")]
+    rows += [(f"h{i:04}", 10 + i, "> yes\n\nme too" if i else "yes") for i in range(1500)]
+    found = linked(spark, rows)
+    assert found["b"]["parent_id"] == "a" and found["b"]["n_quoted"] == 20_000
+    assert all(found[f"h{i:04}"]["parent_id"] == "b" for i in range(1, 1500))
+
+
 def test_long_chain_and_hot_message(spark):
     rows = [("m0000", 0, "text 0")]
     rows += [(f"m{i:04}", i, f"> text {i - 1}\ntext {i}") for i in range(1, 70)]
