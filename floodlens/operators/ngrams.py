@@ -1,8 +1,9 @@
 """Byte n-grams of payloads and word counts.
 
-N-grams are counted with numpy inside the tasks, straight on the Arrow buffers: a task gives one
-row per n-gram and batch (or, for n up to 2, per partition) instead of one per byte, and Spark
-sums those rows.
+N-grams are counted with numpy inside the tasks, straight on the Arrow buffers. For n up to 2 a task
+keeps one table; for larger n it keeps sorted runs of distinct n-grams with their counts and merges
+runs of like size, so a task gives one row per distinct n-gram as long as these fit its bound of
+memory, and hands over what it has where they do not. Spark sums those rows.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodlens.functions.summaries import rank_first
+from floodlens.session import staged
 
 # The services of the n-gram chart and their filters.
 SERVICES = {
@@ -28,6 +30,7 @@ SERVICES = {
 _TABLE_UP_TO = 2  # counted in one table per group instead of by distinct values
 PIECE_BYTES = 16 * 1024
 _CHUNK_BYTES = 16 * 1024 * 1024
+HELD_NGRAMS = 4_000_000  # distinct n-grams a task holds, 16 bytes each
 
 
 def service_filter(text: str) -> Column:
@@ -73,7 +76,44 @@ def _codes(data: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, n
     return codes, starts
 
 
-def _counter(n: int, groups: list[str]) -> Callable[[Iterable[pa.RecordBatch]],
+class Runs:
+    """Counts of codes as sorted runs. A new run is merged with the one before it as long as that is
+    not much larger, so every code is merged a logarithmic number of times."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Count these codes. Where more than `limit` distinct ones would be held, all counts so
+        far are returned and forgotten."""
+        self.runs.append(np.unique(codes, return_counts=True))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) <= 2 * len(self.runs[-1][0]):
+            self._merge()
+        if sum(len(codes) for codes, _ in self.runs) <= self.limit:
+            return None
+        while len(self.runs) > 1:
+            self._merge()
+        return self.take() if len(self.runs[0][0]) > self.limit else None
+
+    def _merge(self) -> None:
+        (a, n), (b, m) = self.runs.pop(), self.runs.pop()
+        codes, counts = np.concatenate([b, a]), np.concatenate([m, n])
+        order = np.argsort(codes, kind="stable")  # two ascending runs are merged in one pass
+        codes, counts = codes[order], counts[order]
+        new = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[:len(codes)])
+        self.runs.append((codes[new], np.add.reduceat(counts, new) if len(new) else counts))
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """All codes in order with their counts; nothing is held after that."""
+        while len(self.runs) > 1:
+            self._merge()
+        found = self.runs[0] if self.runs else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.runs = []
+        return found
+
+
+def _counter(n: int, groups: list[str], held: int = HELD_NGRAMS) -> Callable[[Iterable[pa.RecordBatch]],
                                                     Iterator[pa.RecordBatch]]:
     """Arrow function: (payload, one boolean per group) to (group, ngram, count) partial counts."""
     dense = n <= _TABLE_UP_TO
@@ -86,6 +126,7 @@ def _counter(n: int, groups: list[str]) -> Callable[[Iterable[pa.RecordBatch]],
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {g: np.zeros(256 ** n, np.int64) for g in groups} if dense else {}
+        runs = {} if dense else {g: Runs(held // len(groups)) for g in groups}
         for batch in batches:
             payloads = batch.column(0).fill_null(b"")
             members = {g: np.asarray(batch.column(i + 1).to_numpy(zero_copy_only=False), bool)
@@ -99,8 +140,10 @@ def _counter(n: int, groups: list[str]) -> Callable[[Iterable[pa.RecordBatch]],
                     chosen = starts if member.all() else starts & np.repeat(member, lengths)
                     if dense:
                         totals[group] += np.bincount(codes[chosen], minlength=256 ** n)
-                    else:
-                        yield rows(group, *np.unique(codes[chosen], return_counts=True))
+                    elif full := runs[group].add(codes[chosen]):
+                        yield rows(group, *full)
+        for group, counted in runs.items():
+            yield rows(group, *counted.take())
         for group, total in totals.items():
             present = np.flatnonzero(total)
             yield rows(group, present, total[present])
@@ -157,6 +200,44 @@ def payload_ngrams(df: DataFrame, payload_col: str, filter: str = "", n: int = 1
     return counts.select(F.col("group").alias("filter"), "ngram", "count")
 
 
+def top_ngrams(df: DataFrame, payload_col: str, k: int, filter: str = "", n: int = 3) -> DataFrame:
+    """The `k` most frequent n-grams with their exact counts, ties to the smaller n-gram.
+
+    The counts of every task are written once. A bound on the k-th count comes from the best of
+    each task; an n-gram below its share of that bound in every task cannot reach it, so only the
+    others are summed. A second bound from these sums leaves the few whose exact counts are added
+    up. What is shuffled depends on how uneven the counts are, not on how many n-grams there are.
+    """
+    wanted = df.select(F.col(payload_col).cast("binary").alias("payload"),
+                       service_filter(filter).alias("member")).where("member")
+    local = staged(_pieces(wanted, n).mapInArrow(
+        _counter(n, [filter]), "group string, ngram bigint, count bigint").select(
+        F.spark_partition_id().alias("task"), "ngram", "count").groupBy(
+        "task", "ngram").agg(F.sum("count").alias("count")), "ngram-counts")
+    tasks = local.select("task").distinct().count()
+    if not tasks or k < 1:
+        return local.select("ngram", "count").limit(0)
+
+    def kth(sums: DataFrame) -> int:
+        """The k-th largest count, 0 if there are fewer."""
+        best = sums.orderBy(F.col("count").desc()).limit(k).agg(
+            F.count("*").alias("n"), F.min("count").alias("least")).first()
+        return best["least"] if best["n"] == k else 0
+
+    own = Window.partitionBy("task").orderBy(F.col("count").desc(), "ngram")
+    first = kth(local.withColumn("_rank", F.row_number().over(own)).where(F.col("_rank") <= k)
+                .groupBy("ngram").agg(F.sum("count").alias("count")))
+    share = first / tasks  # below it in every task: below the bound
+    sums = staged(local.where(F.col("count") >= share).groupBy("ngram").agg(
+        F.sum("count").alias("count"), F.count("*").alias("seen")), "ngram-bounds")
+    second = kth(sums)
+    candidates = staged(sums.where(
+        F.col("count") + (tasks - F.col("seen")) * F.lit(share) >= second).select("ngram"),
+        "ngram-candidates")
+    return (local.join(candidates, "ngram").groupBy("ngram").agg(F.sum("count").alias("count"))
+            .orderBy(F.col("count").desc(), "ngram").limit(k))
+
+
 def ngrams_by_service(df: DataFrame, payload_col: str) -> DataFrame:
     """Byte counts of all payloads and of each service's, in one pass."""
     counts = _with_zeros(_ngram_counts(df, payload_col, 1, SERVICES), 1, list(SERVICES))

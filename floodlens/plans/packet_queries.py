@@ -430,6 +430,11 @@ PAYLOADS = [
           with_views(f"""
               SELECT '' AS filter, a * 65536 + b * 256 + c AS ngram, count(*) AS count
               FROM ({_THREE_BYTES}) GROUP BY 2""", "payload_bytes")),
+    Query("top_trigrams", lambda t: ngrams.top_ngrams(t.payloads, "text", 50, n=3),
+          with_views(f"""
+              SELECT a * 65536 + b * 256 + c AS ngram, count(*) AS count
+              FROM ({_THREE_BYTES}) GROUP BY 1 ORDER BY count DESC, ngram LIMIT 50""",
+                     "payload_bytes")),
     Query("ngrams_by_service", lambda t: ngrams.ngrams_by_service(t.payloads, "text"),
           with_views(_service_sql(_SERVICE_ROWS), "payload_bytes")),
     Query("ngram_cube",

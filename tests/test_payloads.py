@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from support import rows
 
@@ -59,6 +61,59 @@ def test_small_chunks(spark, monkeypatch):
     assert dict(zip(got["ngram"].to_pylist(), got["count"].to_pylist())) == dict(_brute(data, 2))
 
 
+def _fed(limit, chunks):
+    """What a counter of this limit gives for chunks of codes: rows in all, and their sums."""
+    runs, given = ngrams.Runs(limit), []
+    for chunk in chunks:
+        if full := runs.add(chunk):
+            given.append(full)
+    given.append(runs.take())
+    sums = Counter()
+    for codes, counts in given:
+        assert (np.diff(codes.astype(np.int64)) > 0).all()
+        sums.update(dict(zip(codes.tolist(), counts.tolist())))
+    return sum(len(codes) for codes, _ in given), sums
+
+
+def test_a_task_gives_each_ngram_once_while_they_fit():
+    rng = np.random.default_rng(1)
+    chunks = [rng.integers(0, 5000, size).astype(np.uint64) for size in (900, 0, 4000, 10, 3000) * 9]
+    want = Counter(np.concatenate(chunks).tolist())
+    rows_given, sums = _fed(5000, chunks)
+    assert rows_given == len(want) and sums == want
+    rows_given, sums = _fed(500, chunks)
+    assert rows_given > len(want) and sums == want
+
+
+def test_memory_of_a_counter_is_bounded():
+    rng = np.random.default_rng(2)
+    limit = 50_000
+    runs, largest = ngrams.Runs(limit), 0
+    tracemalloc.start()
+    for _ in range(200):
+        runs.add(rng.integers(0, 1 << 40, 5000).astype(np.uint64))
+        largest = max(largest, sum(len(c) for c, _ in runs.runs))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Runs, and while two are merged their copies, order and sums.
+    assert largest <= limit and peak < 8 * 16 * limit
+
+
+@pytest.mark.parametrize("n,k", [(1, 3), (3, 20), (3, 100_000), (5, 7)])
+def test_top_ngrams(spark, n, k):
+    rng = random.Random(n)
+    data = _payloads()
+    words = [bytes(rng.choices(range(256), k=6)) for _ in range(40)]
+    for _ in range(300):  # some n-grams are much more frequent, and not in every task
+        data.append((bytearray(b"".join(rng.choices(words, weights=range(1, 41), k=20))),
+                     None, None, None, None))
+    frame = spark.createDataFrame(data, SCHEMA).repartition(5)
+    counts = _brute([d[0] for d in data], n)
+    want = sorted(((g, c) for g, c in counts.items()), key=lambda x: (-x[1], x[0]))[:k]
+    assert [tuple(r) for r in ngrams.top_ngrams(frame, "payload", k, n=n).collect()] == want
+    assert ngrams.top_ngrams(frame.limit(0), "payload", k, n=n).count() == 0
+
+
 def test_services(spark):
     data = _payloads()
     frame = spark.createDataFrame(data, SCHEMA)
