@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodlens.functions.rates import time_bin
+from floodlens.functions.semijoin import only_possible
 from floodlens.functions.summaries import rank_first
 from floodlens.operators import geo
+from floodlens.session import staged
 
 ENDPOINTS = ["src", "sport", "dst", "dport"]
 # The countries of the country series.
@@ -137,7 +139,7 @@ def alert_globe(alerts: DataFrame, geo_dim: DataFrame) -> DataFrame:
 
 def attacker_fingerprints(alerts: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """Alerts with the fingerprints of the same connection."""
-    extra = fingerprints.select(
+    extra = only_possible(fingerprints, alerts, ENDPOINTS).select(
         *ENDPOINTS, *[F.col(c).alias(f"fp_{c}" if c in alerts.columns else c)
                       for c in fingerprints.columns if c not in ENDPOINTS])
     return alerts.join(extra, ENDPOINTS).select(
@@ -184,9 +186,12 @@ def attacker_useragents(alerts: DataFrame, http: DataFrame) -> DataFrame:
     """(alert, header) pairs of the same connection per header value, most first.
 
     Both sides are counted per connection before they meet, so no pair is ever written out.
+    Headers of connections without alerts are left out before they are shuffled.
     """
-    raised = alerts.groupBy(*ENDPOINTS).agg(F.count("*").alias("_alerts"))
-    sent = http.groupBy(*ENDPOINTS, "field").agg(F.count("*").alias("_headers"))
+    raised = staged(alerts.groupBy(*ENDPOINTS).agg(F.count("*").alias("_alerts")),
+                    "alerted-connections")
+    sent = only_possible(http, raised, ENDPOINTS).groupBy(*ENDPOINTS, "field").agg(
+        F.count("*").alias("_headers"))
     return (
         sent.join(raised, ENDPOINTS)
         .groupBy("field").agg(F.sum(F.col("_alerts") * F.col("_headers")).alias("count"))
@@ -198,9 +203,10 @@ def attacker_profile(alerts: DataFrame, fingerprints: DataFrame, http: DataFrame
                      geo_dim: DataFrame, compat: bool = False) -> DataFrame:
     """Priority-1 alerts with the fingerprints, headers and location of the same connection.
 
-    Every side is made distinct before the joins. `compat=True` combines signatures, messages
-    and times of a connection freely, as the original flattening did, instead of keeping those
-    of one alert together.
+    Every side is made distinct before the joins, and rows of connections without such alerts are
+    left out before that. `compat=True` combines signatures, messages and times of a connection
+    freely, as the original flattening did, instead of keeping those of one alert together; its
+    size is the product of the three numbers for every connection.
     """
     high = alerts.filter(F.col("priority") == 1)
     if compat:
@@ -209,10 +215,10 @@ def attacker_profile(alerts: DataFrame, fingerprints: DataFrame, http: DataFrame
             raised = raised.join(high.select(*ENDPOINTS, column).distinct(), ENDPOINTS)
     else:
         raised = high.select(*ENDPOINTS, "sig", "message", "ts").distinct()
-    joined = (
-        raised.join(http.select(*ENDPOINTS, "field").distinct(), ENDPOINTS)
-        .join(fingerprints.select(*ENDPOINTS, "os").distinct(), ENDPOINTS)
-    )
+    connections = staged(high.select(*ENDPOINTS).distinct(), "alerted-connections")
+    fields, systems = (only_possible(side, connections, ENDPOINTS).select(
+        *ENDPOINTS, column).distinct() for side, column in ((http, "field"), (fingerprints, "os")))
+    joined = raised.join(fields, ENDPOINTS).join(systems, ENDPOINTS)
     located = geo.with_location(joined, "src", geo_dim, {
         "country": F.col("country"), "city": F.col("city"), "latlon": geo.lat_lon()})
     return located.select(

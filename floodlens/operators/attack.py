@@ -361,3 +361,29 @@ def bgp_stats(packets: DataFrame, asn_dim: DataFrame, filtered: bool = False) ->
 def asn_stats(packets: DataFrame, asn_dim: DataFrame, filtered: bool = False) -> DataFrame:
     """Attacking sources per autonomous system."""
     return _attack_source_counts(packets, asn_dim, "asn", filtered)
+
+
+def length_sketches(packets: DataFrame, binsize: int = 1, k: int = 200, filtered: bool = False,
+                    keys: tuple[str, ...] = ()) -> DataFrame:
+    """A mergeable sketch of the packet lengths of each source and time bin: src_ip, bin, n, sketch,
+    and `keys` (such as the capture) if given.
+
+    Sketches are binary KLL sketches of bounded size (a few KB at k = 200). They are built from what
+    each task has before the shuffle, can be stored, and add up over bins and captures with
+    `sketched_medians`. `source_stats` keeps the exact median.
+    """
+    return _attack(packets, filtered).groupBy(
+        *keys, F.col("ip_src").alias("src_ip"), time_bin("ts", binsize).alias("bin")).agg(
+        F.count("ip_total_length").alias("n"),
+        F.kll_sketch_agg_bigint(F.col("ip_total_length").cast("long"), k).alias("sketch"))
+
+
+def sketched_medians(sketches: DataFrame, keys: tuple[str, ...] = ("src_ip",)) -> DataFrame:
+    """Packets and approximate median length per `keys`, of sketches from any bins and captures.
+
+    At k = 200 the rank of the result is within 1.7 percent of the middle in 99 of 100 cases.
+    """
+    merged = sketches.where("n > 0").groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    return merged.select(*keys, "n", F.kll_sketch_get_quantile_bigint(
+        "sketch", F.lit(0.5)).alias("pkt_length_median"))
