@@ -39,9 +39,9 @@ def _line(*columns: Column, sep: str) -> Column:
 
 
 def _files(df: DataFrame, value: Column, name: str) -> str:
-    """A folder of text files with `value` of each row, at least two of them."""
+    """A folder of text files with `value` of each row, one for every task that has some."""
     folder = shared_folder(df.sparkSession, name)
-    df.select(value.alias("value")).repartition(2).write.text(folder)
+    df.select(value.alias("value")).write.text(folder)
     return folder
 
 
@@ -111,7 +111,7 @@ def _fingerprint_scan(t: Tables) -> DataFrame:
         block("client", F.col("os")), block("server", F.lit("srv")))).alias("value"))
     # The observations of a connection are in one log, in order.
     folder = shared_folder(t.spark, "fingerprints")
-    (blocks.repartition(2, "src", "sport", "dst", "dport").sortWithinPartitions("event_id")
+    (blocks.repartition("src", "sport", "dst", "dport").sortWithinPartitions("event_id")
      .select(F.concat("value", F.lit(fingerprints.BLOCK_END + "\n"))).write.text(folder))
     return fingerprints.fingerprint_scan(t.spark, folder).select(
         "ts", "src", "sport", "dst", "dport", "os", "app", "dist")

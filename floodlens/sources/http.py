@@ -56,19 +56,23 @@ def http_all_fields_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def http_message_split(df: DataFrame, column: str = "message", compat: bool = False) -> DataFrame:
-    """Raw HTTP messages as status, header map (lower-case names, last one wins) and payload.
+    """Raw HTTP messages (text or bytes) as status, header map (lower-case names, last one wins),
+    payload and payload_bytes.
 
     The payload is cut to Content-Length, counted in bytes; without that header it is empty.
-    Rows without a complete header are left out. `compat=True` ignores the last header line, as
-    the original splitter did.
+    `payload_bytes` is exact; `payload` is the same as text, with replacement characters for bytes
+    that are no UTF-8, such as those of a character that the cut goes through. Rows without a
+    complete header are left out. `compat=True` ignores the last header line, as the original
+    splitter did.
     """
-    text = F.col(column).cast("string")
-    head_length = F.instr(text, _HEAD_END)
-    head = F.substring(text, F.lit(1), head_length - 1)
-    body = F.substring(text, head_length + len(_HEAD_END), F.length(text))
+    raw = F.col(column).cast("binary")
+    # One character to a byte, so that places are places of bytes.
+    head_length = F.instr(F.decode(raw, "ISO-8859-1"), _HEAD_END)
+    head = F.substring(raw, F.lit(1), head_length - 1).cast("string")
+    body = F.substring(raw, head_length + len(_HEAD_END), F.octet_length(raw))
     rows = (
-        df.withColumn("_head", F.when(head_length > 0, head))
-        .withColumn("_body", body.cast("binary"))
+        df.withColumn("_head", F.when(head_length > 0, F.make_valid_utf8(head)))
+        .withColumn("_body", body)
         .filter(F.contains(F.col("_head"), F.lit("\r\n")))
         .withColumn("_lines", F.split("_head", "\r\n", -1))
     )
@@ -89,7 +93,9 @@ def http_message_split(df: DataFrame, column: str = "message", compat: bool = Fa
     return (
         rows.withColumn("headers", headers)
         .select(*others, F.get("_lines", F.lit(0)).alias("status"), "headers",
-                F.substring("_body", F.lit(1), size).cast("string").alias("payload"))
+                F.make_valid_utf8(F.substring("_body", F.lit(1), size).cast("string"))
+                .alias("payload"),
+                F.substring("_body", F.lit(1), size).alias("payload_bytes"))
     )
 
 

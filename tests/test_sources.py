@@ -182,6 +182,19 @@ def test_http_messages(spark):
     assert got[1] == ({"a": "2"}, "")
 
 
+def test_message_bodies_are_cut_by_bytes(spark):
+    """A cut through a character, a body that is no text, and line ends at odd places of it."""
+    head = b"POST / HTTP/1.1\r\nContent-Length: %d\r\nX: \xc3\xa9\r\n\r\n"
+    bodies = [("é日本".encode(), 4), (bytes(range(256)) * 2, 512), (b"\x00\r\n\r\n\xff", 6)]
+    frame = spark.createDataFrame([(i, head % n + body) for i, (body, n) in enumerate(bodies)],
+                                  "id int, message binary")
+    found = {r.id: r for r in http.http_message_split(frame).collect()}
+    for i, (body, n) in enumerate(bodies):
+        assert bytes(found[i].payload_bytes) == body[:n] and found[i].headers["x"] == "é"
+        assert found[i].payload == body[:n].decode(errors="replace")
+    assert found[0].payload == "é\ufffd"
+
+
 def test_http_files(spark):
     frame = spark.createDataFrame([
         (1, "abc", "text/html", ".html", "c", "GET /a/b?c=1 HTTP/1.1"),
