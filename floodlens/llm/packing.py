@@ -332,7 +332,8 @@ def _packed(items: DataFrame, blocks: int, level: int, capacity: int, open_below
 
     dealt = items.select("_item", "length",
                          F.pmod(F.xxhash64("_item"), F.lit(blocks)).alias("_block"))
-    return dealt.groupBy("_block").applyInArrow(
+    # As many tasks as blocks: blocks are few bytes and much work, so their size must not join them.
+    return dealt.repartition(blocks, "_block").groupBy("_block").applyInArrow(
         run, "_item long, length long, sequence_id long, offset long, _open boolean")
 
 
