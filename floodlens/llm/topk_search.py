@@ -6,8 +6,10 @@ best-first: a node comes up in the order of the largest inner product its box al
 ends when that cannot beat the query's k-th result.
 
 Queries are first searched in the shard that holds them. Their k-th result goes along to all other
-shards, so most of those are left at the root or soon after. Queries meet shards in blocks; every
-block and shard is of bounded size.
+shards, which are left at the root where their box cannot beat it. Queries meet shards in blocks;
+every block and shard is of bounded size. All queries of a block walk a tree together: each takes its
+most promising leaf first, then in rounds the next ones that its k-th result leaves open, one, two,
+four and so on at a time, and the items of a leaf are scored for all queries in one product.
 """
 
 from __future__ import annotations
@@ -103,6 +105,107 @@ class Tree:
         return found
 
 
+    def _pair_bounds(self, queries: np.ndarray, query: np.ndarray, node: np.ndarray
+                     ) -> np.ndarray:
+        """Largest inner product with a node's box for each pair (row of `queries`, node)."""
+        out = np.empty(len(query), dtype=queries.dtype)
+        for at in range(0, len(query), 1 << 14):
+            q, n = queries[query[at:at + (1 << 14)]], node[at:at + (1 << 14)]
+            out[at:at + (1 << 14)] = np.maximum(self.low[n] * q, self.high[n] * q).sum(axis=1)
+        return out
+
+    def _first_leaves(self, queries: np.ndarray) -> np.ndarray:
+        """The leaf that each query reaches by the better bound at every node."""
+        node = np.zeros(len(queries), np.int64)
+        every = np.arange(len(queries))
+        while (inner := np.flatnonzero(self.child[node] >= 0)).size:
+            child = self.child[node[inner]]
+            left, right = (self._pair_bounds(queries, every[inner], child + i) for i in (0, 1))
+            node[inner] = child + (right > left)
+        return node
+
+    def search_all(self, own: np.ndarray, queries: np.ndarray, k: int,
+                   kth: tuple[np.ndarray, np.ndarray] | None = None
+                   ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of `queries`, score, id) of the up to k best items of every query, in the order of
+        row, score downwards and id; `own` ids are left out. With `kth`, scores and ids of k-th
+        results from elsewhere, only items that are better are given."""
+        rows = len(queries)
+        lowest = np.iinfo(np.int64).min
+        limit, limit_id = (x.copy() for x in kth) if kth is not None else (
+            np.full(rows, lowest), np.full(rows, np.iinfo(np.int64).max))
+        best = tuple(np.empty(0, np.int64) for _ in range(3))
+
+        def may_help(query: np.ndarray, bound: np.ndarray, node: np.ndarray) -> np.ndarray:
+            return (bound > limit[query]) | ((bound == limit[query])
+                                             & (self.least_id[node] <= limit_id[query]))
+
+        def take(query: np.ndarray, leaf: np.ndarray) -> None:
+            """Score these leaves for these queries, and draw the limits closer."""
+            nonlocal best
+            found = [best]
+            order = np.argsort(leaf, kind="stable")
+            query, leaf = query[order], leaf[order]
+            cuts = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])[:len(leaf)])
+            for a, b in zip(cuts, np.append(cuts[1:], len(leaf))):
+                q, node = query[a:b], leaf[a]
+                part = slice(self.begin[node], self.end[node])
+                scores = (queries[q] @ self.vectors[part].T).astype(np.int64)
+                ids = self.ids[part]
+                good = (scores > limit[q][:, None]) | (
+                    (scores == limit[q][:, None]) & (ids <= limit_id[q][:, None]))
+                good &= ids != own[q][:, None]
+                i, j = np.nonzero(good)
+                found.append((q[i], scores[i, j], ids[j]))
+            row, score, item = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((item, -score, row))
+            row, score, item = row[order], score[order], item[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = rank < k
+            best = row[keep], score[keep], item[keep]
+            last = np.flatnonzero(rank == k - 1)
+            q, value, at = row[last], score[last], item[last]
+            closer = (value > limit[q]) | ((value == limit[q]) & (at < limit_id[q]))
+            limit[q[closer]], limit_id[q[closer]] = value[closer], at[closer]
+
+        every = np.arange(rows)
+        asked = every[may_help(every, self._pair_bounds(queries, every, np.zeros(rows, np.int64)),
+                               np.zeros(rows, np.int64))]
+        first = self._first_leaves(queries[asked])
+        take(asked, first)
+        done = np.full(rows, -1)
+        done[asked] = first
+        query, node = asked, np.zeros(len(asked), np.int64)
+        bound = self._pair_bounds(queries, query, node)
+        while (self.child[node] >= 0).any():  # down to the leaves that are still open
+            inner = self.child[node] >= 0
+            child = self.child[node[inner]]
+            down_query = np.repeat(query[inner], 2)
+            down = np.column_stack([child, child + 1]).ravel()
+            down_bound = self._pair_bounds(queries, down_query, down)
+            open_ = may_help(down_query, down_bound, down)
+            query = np.concatenate([query[~inner], down_query[open_]])
+            node = np.concatenate([node[~inner], down[open_]])
+            bound = np.concatenate([bound[~inner], down_bound[open_]])
+        rest = node != done[query]
+        query, node, bound = query[rest], node[rest], bound[rest]
+        order = np.lexsort((-bound, query))
+        query, node, bound = query[order], node[order], bound[order]
+        leaves = 1
+        while len(query):
+            now = np.arange(len(query)) - np.searchsorted(query, query) < leaves
+            take(query[now], node[now])
+            later = ~now
+            later[later] = may_help(query[later], bound[later], node[later])
+            query, node, bound = query[later], node[later], bound[later]
+            leaves *= 2
+        if kth is None:
+            return best
+        row, score, item = best
+        better = (score > kth[0][row]) | ((score == kth[0][row]) & (item < kth[1][row]))
+        return row[better], score[better], item[better]
+
+
 def quantized(rows: DataFrame, vector: str, scale: int = SCALE) -> DataFrame:
     """(vec_id, vector, dim) with components floor(scale * x), x as double. Rows with a null id,
     null or empty vectors, and vectors with null or non-finite components are left out; of rows
@@ -135,10 +238,12 @@ def _matrix(table: pa.Table, column: str = "vector") -> np.ndarray:
     return vectors.astype(np.float64) if exact else vectors
 
 
-def _hits(keys: dict[str, list], ids: list, scores: list) -> pa.Table:
-    return pa.table({**{name: pa.array(values, pa.int64()) for name, values in keys.items()},
-                     "ids": pa.array(ids, pa.list_(pa.int64())),
-                     "scores": pa.array(scores, pa.list_(pa.int64()))})
+def _lists(best: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int
+           ) -> tuple[pa.Array, pa.Array]:
+    """Ids and scores of every row."""
+    begins = pa.array(np.searchsorted(best[0], np.arange(rows + 1)).astype(np.int32))
+    return (pa.ListArray.from_arrays(begins, pa.array(best[2])),
+            pa.ListArray.from_arrays(begins, pa.array(best[1])))
 
 
 def search(rows: DataFrame, is_query: Column, k: int, vector: str = "embedding",
@@ -154,13 +259,13 @@ def search(rows: DataFrame, is_query: Column, k: int, vector: str = "embedding",
     def at_home(table: pa.Table) -> pa.Table:
         ids, vectors = table.column("vec_id").to_numpy(), _matrix(table)
         asked = np.flatnonzero(table.column("asked").to_numpy())
-        tree = Tree.build(ids, vectors) if len(asked) else None
-        found = [tree.search(int(ids[i]), vectors[i], k, None) for i in asked]
+        best = (Tree.build(ids, vectors).search_all(ids[asked], vectors[asked], k)
+                if len(asked) else [np.empty(0, np.int64)] * 3)
+        found, scores = _lists(best, len(asked))
         return pa.table({
             "query_id": ids[asked], "home": table.column("shard").take(asked),
             "vector": table.column("vector").take(asked), "dim": table.column("dim").take(asked),
-            "ids": pa.array([[i for _, i in f] for f in found], pa.list_(pa.int64())),
-            "scores": pa.array([[int(-s) for s, _ in f] for f in found], pa.list_(pa.int64()))})
+            "ids": found, "scores": scores})
 
     asked = F.coalesce(is_query, F.lit(False)).alias("asked")
     home = staged(
@@ -183,24 +288,22 @@ def _abroad(items: DataFrame, home: DataFrame, shards: int, k: int, query_block:
     """Results better than the k-th at home, from all other shards."""
     blocks = max(1, math.ceil(home.count() / query_block))
 
-    def meet(queries: pa.Table, table: pa.Table) -> pa.Table:
-        if not queries.num_rows or not table.num_rows:
-            return _hits({"query_id": []}, [], [])
-        both = pa.concat_tables([queries.select(["vector"]), table.select(["vector"])])
-        vectors = _matrix(both)
+    def meet(queries: pa.Table, shard: pa.Table) -> pa.Table:
+        if not queries.num_rows or not shard.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()),
+                             "ids": pa.array([], pa.list_(pa.int64())),
+                             "scores": pa.array([], pa.list_(pa.int64()))})
+        # One matrix, so that both sides hold their sums exactly.
+        vectors = _matrix(pa.concat_tables([queries.select(["vector"]), shard.select(["vector"])]))
         asked, vectors = vectors[:queries.num_rows], vectors[queries.num_rows:]
-        tree = Tree.build(table.column("vec_id").to_numpy(), vectors)
-        found_by, ids, scores = [], [], []
-        for query, own, score, vec_id in zip(
-                asked, queries.column("query_id").to_pylist(),
-                queries.column("kth_score").to_pylist(), queries.column("kth_id").to_pylist()):
-            kth = None if score is None else (-score, vec_id)
-            found = [f for f in tree.search(own, query, k, kth) if kth is None or f < kth]
-            if found:
-                found_by.append(own)
-                ids.append([i for _, i in found])
-                scores.append([int(-s) for s, _ in found])
-        return _hits({"query_id": found_by}, ids, scores)
+        tree = Tree.build(shard.column("vec_id").to_numpy(), vectors)
+        own = queries.column("query_id").to_numpy()
+        # Without k results at home, everything is better.
+        kth = tuple(queries.column(name).combine_chunks().fill_null(fill).to_numpy()
+                    for name, fill in (("kth_score", np.iinfo(np.int64).min),
+                                       ("kth_id", np.iinfo(np.int64).max)))
+        found, scores = _lists(tree.search_all(own, asked, k, kth), len(own))
+        return pa.table({"query_id": own, "ids": found, "scores": scores})
 
     block = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks))
     travelling = home.select(

@@ -75,6 +75,61 @@ def test_tree_leaves_most_items_out_of_a_clustered_search():
     assert len(visited) < len(tree.begin) / 4
 
 
+@pytest.mark.parametrize("leaf", [4, 64, 10_000])
+def test_queries_together_find_what_each_finds_alone(leaf):
+    rng = np.random.default_rng(leaf)
+    centres = rng.normal(size=(12, 6)) * 30
+    vectors = np.floor(centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 6)))
+    vectors[100:300] = vectors[5]  # many equal ones: ties go by id
+    ids = rng.permutation(5000)[:900].astype(np.int64)
+    tree = topk_search.Tree.build(ids, vectors, leaf)
+    asked = np.arange(0, 900, 7)
+    alone = [tree.search(int(ids[i]), vectors[i], 10, None) for i in asked]
+    row, score, item = tree.search_all(ids[asked], vectors[asked], 10)
+    assert [(r, -s, i) for r, s, i in zip(row.tolist(), score.tolist(), item.tolist())] == [
+        (r, int(s), int(i)) for r, found in enumerate(alone) for s, i in found]
+    kth = (np.array([-f[4][0] for f in alone], np.int64), np.array([f[4][1] for f in alone]))
+    row, score, item = tree.search_all(ids[asked], vectors[asked], 10, kth)
+    assert [(r, -s, i) for r, s, i in zip(row.tolist(), score.tolist(), item.tolist())] == [
+        (r, int(s), int(i)) for r, found in enumerate(alone) for s, i in found[:4]]
+
+
+def test_queries_together_leave_most_leaves_of_clusters_alone():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(32, 8)) * 40
+    vectors = np.floor(centres[rng.integers(0, 32, 4000)] + rng.normal(size=(4000, 8)))
+    tree = topk_search.Tree.build(np.arange(4000), vectors, leaf=64)
+    scored = []
+    asked = np.arange(0, 4000, 40)
+    tree.vectors = Counted(tree.vectors, scored)
+    tree.search_all(asked, vectors[asked], 5)
+    assert sum(scored) < 0.2 * len(asked) * 4000
+
+
+class Counted:
+    """Item vectors that count the products they take part in."""
+
+    def __init__(self, vectors, scored):
+        self.vectors, self.scored = vectors, scored
+
+    def __getitem__(self, part):
+        outer = self
+
+        class Part:
+            @property
+            def T(self):  # noqa: N802
+                return self
+
+            def __rmatmul__(self, queries):
+                held = outer.vectors[part]
+                outer.scored.append(len(queries) * len(held))
+                return queries @ held.T
+
+            __array_ufunc__ = None
+
+        return Part()
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 9), (20, 20), (5, 4), (4, 3), (100, 99)]
     links += [(i, i + 1) for i in range(1000, 1100)]
