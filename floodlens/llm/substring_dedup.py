@@ -163,7 +163,9 @@ def find_repeats(docs: DataFrame, scanned: DataFrame, window: int, shortest: int
                              ).selectExpr("doc_id", "w.hashes as hash_a", "w.places as place")
     texts = docs
     for level, size in enumerate(sizes):
-        found = _repeated(windows, keys)
+        # Written first: the join below then meets two plain tables, a small one is broadcast, and the
+        # places of a very common window are split over tasks.
+        found = staged(_repeated(windows, keys), f"repeated-{size}")
         last = level == len(sizes) - 1
         met = windows.join(found, keys).where("doc_id > first_id" if last else "true")
         texts = staged(texts.select("doc_id", "text").join(_by_document(met), "doc_id"),
