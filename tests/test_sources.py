@@ -66,18 +66,19 @@ def test_dimensions(spark, tmp_path):
     assert rows(records.protocol_dim_scan(spark, path)) == [
         (6, "TCP"), (84, "IPTM"), (84, "TTP")]
     assert records.port_dim_scan(spark, path).count() == 3
-    path = _write(tmp_path / "a.txt", "NA;1.1.1.1;NA;;NA\n17506;58.8.6.8;58.0.0.0/8;JP;U-JP\n")
+    path = _write(tmp_path / "a.txt", "NA;203.0.113.1;NA;;NA\n64502;192.0.2.8;192.0.2.0/24;NZ;U-NZ\n")
     assert rows(records.asn_dim_scan(spark, path)) == [
-        ("17506", "58.8.6.8", "58.0.0.0/8", "JP", "U-JP"), ("NA", "1.1.1.1", "NA", None, "NA")]
+        ("64502", "192.0.2.8", "192.0.2.0/24", "NZ", "U-NZ"),
+        ("NA", "203.0.113.1", "NA", None, "NA")]
 
 
 def test_registry_response(spark, tmp_path):
     path = _write(tmp_path / "w.txt", "Bulk mode; registry [now]\n"
-                  "17506   | 58.81.46.188     | 58.80.0.0/15 | JP | UCOM UCOM Corp., JP\n"
-                  "NA      | 231.94.30.158    | NA           |    | NA\n")
+                  "64501   | 198.51.100.44    | 198.51.100.0/24 | NZ | PINEHILL Pinehill Carrier, NZ\n"
+                  "NA      | 203.0.113.71     | NA              |    | NA\n")
     assert rows(records.whois_scan(spark, path)) == [
-        ("17506", "58.81.46.188", "58.80.0.0/15", "JP", "UCOMUCOMCorp.-JP"),
-        ("NA", "231.94.30.158", "NA", None, "NA")]
+        ("64501", "198.51.100.44", "198.51.100.0/24", "NZ", "PINEHILLPinehillCarrier-NZ"),
+        ("NA", "203.0.113.71", "NA", None, "NA")]
 
 
 ALERT = ("03/07/19-06:05:04.000250  [**] [3:9001:2] made-up rule, long body [**] [Priority: 3] "
