@@ -105,10 +105,9 @@ def _port_texts(traffic: DataFrame, port_dim: DataFrame, capture: str, compat: b
                                       text("dport").alias("dst_ports"))
 
 
-def _summaries(names: DataFrame, packets: DataFrame, targets: DataFrame, traffic: DataFrame,
-               ip_proto_dim: DataFrame, port_dim: DataFrame, binsize: int, compat: bool,
-               capture: str) -> DataFrame:
-    """A row for each of `names` (one column, `capture`) from statistics grouped by capture."""
+def _parts(packets: DataFrame, targets: DataFrame, traffic: DataFrame, ip_proto_dim: DataFrame,
+           port_dim: DataFrame, binsize: int, compat: bool, capture: str) -> list[DataFrame]:
+    """Statistics by capture: times, sources and flags; peaks; protocols; ports."""
     peak = packets.groupBy(capture, time_bin("ts", binsize).alias("bin")).agg(
         megabits(F.sum("ip_total_length")).alias("mbits")).groupBy(capture).agg(
         F.max("mbits").alias("peak_mbps"))
@@ -132,9 +131,11 @@ def _summaries(names: DataFrame, packets: DataFrame, targets: DataFrame, traffic
         F.min("first").alias("start"), (F.max("last") - F.min("first")).alias("duration_s"),
         F.count("*").alias("src_ips"), F.count_if(F.col("fragments") > 0).alias("_fragmented"),
         F.concat_ws("", *flags).alias("flags"))
-    joined = names
-    for part in (sources, peak, described, ports):
-        joined = joined.join(part, capture, "left")
+    return [sources, peak, described, ports]
+
+
+def _summaries(joined: DataFrame, compat: bool, capture: str) -> DataFrame:
+    """The columns of a summary from captures with all their parts, null where there are none."""
 
     def text(name: str) -> Column:
         return F.coalesce(name, F.lit("")).alias(name)
@@ -163,8 +164,10 @@ def captures_summary(packets: DataFrame, ip_proto_dim: DataFrame, port_dim: Data
     targets = staged(attack_targets(packets, capture), "capture-targets")
     traffic = staged(captures_attack(packets, targets, capture).select(capture, *_NEEDED),
                      "captures-attack")
-    return _summaries(targets.select(capture), packets, targets, traffic, ip_proto_dim, port_dim,
-                      binsize, compat, capture).orderBy("start", "folder")
+    joined = targets.select(capture)
+    for part in _parts(packets, targets, traffic, ip_proto_dim, port_dim, binsize, compat, capture):
+        joined = joined.join(part, capture, "left")
+    return _summaries(joined, compat, capture).orderBy("start", "folder")
 
 
 def attack_summary(packets: DataFrame, ip_proto_dim: DataFrame, port_dim: DataFrame,
@@ -185,8 +188,13 @@ def attack_summary(packets: DataFrame, ip_proto_dim: DataFrame, port_dim: DataFr
             & (F.col("ip_proto") == targets.select("ip_proto").scalar())).select(*_NEEDED),
             "capture-attack")
     traffic = attack_packets.select(*_NEEDED, name)
-    return _summaries(packets.sparkSession.range(1).select(name), named, targets, traffic,
-                      ip_proto_dim, port_dim, binsize, compat, "_capture")
+    # Every part is one row or none: scalar subqueries instead of joins.
+    parts = [part.select(F.struct(*[c for c in part.columns if c != "_capture"])).scalar().alias(
+        f"_part_{i}") for i, part in enumerate(_parts(
+            named, targets, traffic, ip_proto_dim, port_dim, binsize, compat, "_capture"))]
+    row = packets.sparkSession.range(1).select(name, *parts).select(
+        "_capture", *[f"_part_{i}.*" for i in range(len(parts))])
+    return _summaries(row, compat, "_capture")
 
 
 def attack_summaries(summaries: Iterable[DataFrame]) -> DataFrame:
