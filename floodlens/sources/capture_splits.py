@@ -3,7 +3,8 @@
 Records can only be found one after the other, so a task that starts inside a file has to guess
 where a record begins. The guess is checked, not trusted: every range reports where it began and
 where the last record it owns ended, and a range is used only if it began exactly where the range
-before it ended. A wrong guess is walked again from the right place.
+before it ended. The ranges with wrong guesses are walked again from the right places, all of a file
+in one pass.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ MAX_CAPTURED = 262144
 # A guessed record lies within this many seconds of the first one.
 _SPAN = 366 * 86400
 _SEARCH = 4 * MAX_CAPTURED
+_NEAR_SEARCH = 64 * 1024  # searched first: most records are small
 _CHAIN = 16
 _WALK = 32 * 1024 * 1024
 _RANGE = "path string, number bigint, low bigint, high bigint, size bigint"
@@ -49,32 +51,40 @@ def _first_second(file, order: str) -> int:
 
 
 def _guesses(file, order: str, low: int, size: int) -> Iterator[int]:
-    """Places at or after `low` from which a chain of plausible records starts."""
+    """Places at or after `low` from which a chain of plausible records starts; none of them lies on
+    the chain of another."""
     first_second = _first_second(file, order)
-    file.seek(low)
-    window = file.read(min(_SEARCH, size - low))
-    data = np.frombuffer(window, np.uint8)
-    count = len(data) - RECORD_HEADER + 1
-    if count <= 0:
-        return
-
-    def word(at: int) -> np.ndarray:
-        parts = [data[at + i:at + i + count].astype(np.uint32) for i in range(4)]
-        if order == "<":
-            parts.reverse()
-        return parts[0] << 24 | parts[1] << 16 | parts[2] << 8 | parts[3]
-
-    captured = word(8)
-    near = np.abs(word(0).astype(np.int64) - first_second) <= _SPAN
-    plausible = (near & (word(4) < 1_000_000_000) & (captured > 0)
-                 & (captured <= MAX_CAPTURED) & (captured <= word(12)))
-    for first in np.flatnonzero(plausible[:MAX_CAPTURED + RECORD_HEADER]).tolist():
-        at, steps = first, 0
-        while steps < _CHAIN and at < count and plausible[at]:
-            at += RECORD_HEADER + int(captured[at])
-            steps += 1
-        if steps == _CHAIN or low + at == size:
-            yield low + first
+    seen: set[int] = set()
+    for search in (_NEAR_SEARCH, _SEARCH):
+        file.seek(low)
+        data = np.frombuffer(file.read(min(search, size - low)), np.uint8)
+        count = len(data) - RECORD_HEADER + 1
+        if count <= 0:
+            return
+
+        def word(at: int) -> np.ndarray:
+            parts = [data[at + i:at + i + count].astype(np.uint32) for i in range(4)]
+            if order == "<":
+                parts.reverse()
+            return parts[0] << 24 | parts[1] << 16 | parts[2] << 8 | parts[3]
+
+        captured = word(8)
+        near = np.abs(word(0).astype(np.int64) - first_second) <= _SPAN
+        plausible = (near & (word(4) < 1_000_000_000) & (captured > 0)
+                     & (captured <= MAX_CAPTURED))
+        for first in np.flatnonzero(plausible[:MAX_CAPTURED + RECORD_HEADER]).tolist():
+            chain = []
+            at = first
+            while at < count and plausible[at] and at not in seen:
+                chain.append(at)
+                at += RECORD_HEADER + int(captured[at])
+            if at in seen:
+                seen.update(chain)
+            elif len(chain) >= _CHAIN or low + at == size:
+                seen.update(chain)
+                yield low + first
+        if low + len(data) == size:
+            return
 
 
 def _walk(file, order: str, start: int, high: int, size: int, strict: bool = False,
@@ -89,12 +99,12 @@ def _walk(file, order: str, start: int, high: int, size: int, strict: bool = Fal
     at = start
     while at < high:
         file.seek(at)
-        block = file.read(min(_WALK, size - at))
+        block = file.read(min(_WALK, high - at + RECORD_HEADER, size - at))
         used = 0
         while at + used < high and used + RECORD_HEADER <= len(block):
-            second, fraction, captured, length = record(block, used)
+            second, fraction, captured, _ = record(block, used)
             if strict and (abs(second - first_second) > _SPAN or fraction >= 1_000_000_000
-                           or not 0 < captured <= min(length, MAX_CAPTURED)):
+                           or not 0 < captured <= MAX_CAPTURED):
                 return None
             if at + used + RECORD_HEADER + captured > size:
                 if not (strict or stop) and captured > MAX_CAPTURED:
@@ -140,6 +150,27 @@ def _range_walker(stop: bool) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.
     return walk
 
 
+def _corrector(stop: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The ranges of one file, those that do not begin where the one before ended walked again."""
+
+    def correct(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("number")
+        path, size = rows["path"].iloc[0], int(rows["size"].iloc[0])
+        starts, ends, due = [], [], FILE_HEADER
+        filesystem, inner = _filesystem(path)
+        with filesystem.open_input_file(inner) as file:
+            order = byte_order(file.read(FILE_HEADER), path)
+            for high, start, end in zip(rows["high"], rows["start"], rows["end"]):
+                # A range that begins beyond its own bytes owns no record.
+                if pd.isna(start) or int(start) != due:
+                    end = _walk(file, order, due, int(high), size, stop=stop)
+                starts.append(due)
+                ends.append(due := int(end))
+        return rows.assign(start=np.array(starts, np.int64), end=np.array(ends, np.int64))
+
+    return correct
+
+
 def _range_reader(strict: bool, wanted: Wanted
                   ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +191,8 @@ def boundaries(spark: SparkSession, files: list[tuple[str, int]],
                split_bytes: int = SPLIT_BYTES, stop: bool = True) -> DataFrame:
     """Ranges of the files with exact record boundaries (`start`, `end`).
 
-    Guesses that turn out wrong are corrected in rounds; a round corrects at least the first wrong
-    range of every file, and usually there is none.
+    Guesses that turn out wrong, of which there are usually none, are corrected file by file; only
+    their bytes are read again.
     """
     sized = spark.createDataFrame(files, "path string, size bigint")
     step = F.lit(split_bytes).cast("long")
@@ -175,19 +206,18 @@ def boundaries(spark: SparkSession, files: list[tuple[str, int]],
     walked = staged(_one_task_each(ranges).mapInPandas(_range_walker(stop), _WALKED),
                     "capture-ranges")
     before = F.lag("end").over(Window.partitionBy("path").orderBy("number"))
-    # A range that begins beyond its own bytes owns no record.
     due = F.when(F.col("number") == 0, F.lit(FILE_HEADER).cast("long")).otherwise(before)
-    while True:
-        checked = walked.withColumn("due", due)
-        wrong = checked.filter(F.col("due").isNotNull()
-                               & ~F.col("due").eqNullSafe(F.col("start")))
-        if wrong.isEmpty():
-            return walked
-        fixed = _one_task_each(wrong.select(
-            "path", "number", "low", "high", "size", F.col("due").alias("start"))
-        ).mapInPandas(_range_walker(stop), _WALKED)
-        kept = walked.join(wrong.select("path", "number"), ["path", "number"], "left_anti")
-        walked = staged(kept.select(*walked.columns).unionByName(fixed), "capture-ranges")
+    # An unknown end is due to an unknown start, which is wrong already.
+    wrong = walked.withColumn("due", due).filter(
+        F.col("due").isNotNull() & ~F.col("due").eqNullSafe(F.col("start")))
+    files_wrong = staged(wrong.select("path").distinct(), "capture-wrong")
+    if files_wrong.isEmpty():
+        return walked
+    torn = walked.join(files_wrong, "path", "left_semi").repartition(
+        4 * spark.sparkContext.defaultParallelism, "path")
+    fixed = torn.groupBy("path").applyInPandas(_corrector(stop), _WALKED)
+    kept = walked.join(files_wrong, "path", "left_anti")
+    return staged(kept.select(*walked.columns).unionByName(fixed), "capture-ranges")
 
 
 def packet_scan_large(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,

@@ -53,3 +53,50 @@ def test_several_files_and_an_empty_one(spark, tmp_path):
     paths = ",".join(str(tmp_path / f"{n}.pcap") for n in "abc")
     got = capture_splits.packet_scan_large(spark, paths, 300)
     assert rows(got) == rows(capture.packet_scan_pcap(spark, str(tmp_path)))
+
+
+def _records(count, second=lambda i: 1, length=500):
+    """Records of 60 bytes that claim `length` bytes on the wire."""
+    frame = (_frame(17, UDP_HEADER) + bytes(60))[:60]
+    return _capture([]) + b"".join(
+        struct.pack("<IIII", second(i), 1, len(frame), length) + frame for i in range(count))
+
+
+def test_wrong_guesses_of_a_file_are_corrected_in_one_pass(spark, tmp_path, monkeypatch):
+    """Times far from the first one: no guess holds, in any of the ranges."""
+    path = tmp_path / "old.pcap"
+    path.write_bytes(_records(600, lambda i: 2_000_000_000 if i else 1))
+    rounds = []
+    real = capture_splits.staged
+    monkeypatch.setattr(capture_splits, "staged",
+                        lambda df, name: rounds.append(name) or real(df, name))
+    got = capture_splits.packet_scan_large(spark, str(path), 3000)
+    assert rows(got) == rows(capture.packet_scan_pcap(spark, str(path))) and got.count() == 600
+    assert len(rounds) <= 3
+
+
+def test_records_longer_than_their_frames_are_found(tmp_path):
+    """Some writers note fewer bytes on the wire than they have captured."""
+    path = tmp_path / "short.pcap"
+    path.write_bytes(_records(200, length=20))
+    with open(path, "rb") as file:
+        assert capture_splits._find(file, "<", 24 + 76 * 10 - 7, 24 + 76 * 50, 24 + 76 * 200) == (
+            24 + 76 * 10, 24 + 76 * 50)
+
+
+def test_a_walk_reads_its_range_only(tmp_path):
+    path = tmp_path / "long.pcap"
+    path.write_bytes(_records(20000))
+    size = path.stat().st_size
+    with open(path, "rb") as file:
+        class Counted:
+            taken = 0
+            seek = file.seek
+
+            def read(self, count):
+                self.taken += count
+                return file.read(count)
+
+        counted = Counted()
+        assert capture_splits._walk(counted, "<", 24, 24 + 7600, size) == 24 + 7600
+        assert counted.taken < 8000
