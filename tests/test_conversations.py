@@ -2,8 +2,10 @@
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import oracle
+import pandas as pd
 import pytest
 from support import packets, rows, tcp
 
@@ -11,6 +13,7 @@ import __spark_entry__ as contract
 from floodlens.operators import conversations
 from floodlens.plans import conversation_queries
 from floodlens.plans.tables import Tables
+from floodlens.streaming import conversations as tracking
 from floodlens.streaming.conversations import stream_conversations
 
 GAP = 20
@@ -204,6 +207,92 @@ def test_open_conversation_gives_its_passed_seconds(spark, tmp_path):
     assert sorted(r["second"] for r in got.collect()) == passed
 
 
+class _State:
+    """Map and value state of one key in plain Python, with the number of writes."""
+
+    def __init__(self):
+        self.held, self.value, self.writes, self.timers = {}, None, 0, []
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return SimpleNamespace(exists=lambda: self.value is not None, get=lambda: self.value,
+                               update=lambda v: setattr(self, "value", v),
+                               clear=lambda: setattr(self, "value", None))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+
+@pytest.mark.parametrize("held_rows", [200_000, 700])
+def test_seconds_are_kept_and_given_out_in_blocks(monkeypatch, held_rows):
+    """Many seconds of one connection, in batches that overlap; watermarks within blocks."""
+    if hasattr(tracking, "HELD_ROWS"):
+        monkeypatch.setattr(tracking, "HELD_ROWS", held_rows)
+    random.seed(8)
+    one, two = ("10.0.0.1", 1), ("10.0.0.2", 80)
+    traffic, ts = [], 5000
+    for _ in range(9000):
+        ts += random.choice([0, 1, 1, 2, 2, GAP + 1 if random.random() < 0.1 else 1])
+        traffic.append((ts, *random.sample([one, two], 2),
+                        random.choices(["", "S", "SA", "F", "R"], [40, 4, 1, 2, 2])[0]))
+    traffic.append((ts + 10 ** 6, one, two, ""))
+    state, tracker = _State(), tracking.ConversationTracker(GAP)
+    tracker.init(state)
+    key, got = (*one, *two), []
+
+    def batches(part):
+        for low in range(0, len(part), 500):
+            yield pd.DataFrame([{
+                "ts": p[0], "n": 1, "starter": 2 * (p[3] != "S") + (p[1] > p[2]),
+                "syn": int(p[3] == "S"), "fin": int(p[3] == "F"), "rst": int(p[3] == "R")}
+                for p in part[low:low + 500]])
+
+    def run(watermark):
+        clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark * 1000)
+        got.extend(f for f in tracker.handleExpiredTimer(key, clock, None) if len(f))
+
+    part = list(traffic[:-1])
+    random.shuffle(part)
+    list(tracker.handleInputRows(key, batches(part[:6000]), None))
+    list(tracker.handleInputRows(key, batches(part[6000:] + traffic[-1:]), None))
+    assert min(state.timers) <= min(p[0] for p in traffic) * 1000 + 1
+    blocks = (ts - 5000) // 3600 + 3
+    assert len(state.held) <= blocks
+    assert state.writes <= 2 * blocks if held_rows > 9000 else state.writes <= 20 * blocks
+    for watermark in (5001, 7000, 7000, 7001, 11000, ts + 10, ts + GAP + 1):
+        run(watermark)
+        if state.held:
+            assert state.timers[-1] >= watermark * 1000
+    want = _track(traffic[:-1], GAP)
+    found = pd.concat(got, ignore_index=True).astype(object)
+    found = found.where(found.notna(), None)
+    over = found[found["second"].isna()]
+    assert sorted(over[[*conversations.HEADER, "end_state", "last_ts", "packets"]].itertuples(
+        index=False, name=None), key=str) == _headers(want)
+    times = found[found["second"].notna()]
+    assert sorted(times[[*conversations.HEADER, "second", "packets"]].itertuples(
+        index=False, name=None), key=str) == _seconds(want)
+    assert len(state.held) == 1 and state.value is None
+
+
 def test_volume_counts_shared_bins_twice(spark):
     held = spark.createDataFrame(
         [(10, "a", 1, "b", 2), (50, "a", 1, "b", 2), (70, "a", 1, "b", 2), (10, "x", 1, "b", 2)],
