@@ -125,8 +125,10 @@ def _streamed_captures(t: Tables) -> DataFrame:
     t.sessions.where("tcp_sport is not null and tcp_dport is not null").selectExpr(*[
         f"cast({f.name if f.name in held else 'null'} as {f.dataType.simpleString()}) as {f.name}"
         for f in schemas.PACKETS.fields]).write.format("capture").mode("append").save(folder)
-    packets = packet_stream_pcap(_stream_session(t), folder,
-                                 shared_folder(t.spark, "session-capture-log"))
+    packets = packet_stream_pcap(
+        _stream_session(t), folder, shared_folder(t.spark, "session-capture-log"), columns=[
+            "ts", "ip_proto", "ip_src", "ip_dst", "tcp_sport", "tcp_dport",
+            *[f"tcp_{flag}" for flag in ("syn", "ack", "fin", "rst")]])
     return _run(t, packets, DELAY_HOURS)
 
 
