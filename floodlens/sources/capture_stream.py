@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader
 from pyspark.sql.types import StructType
@@ -110,6 +111,21 @@ class CaptureStream(DataSource):
             int(self.options.get("filesPerEntry", "100")))
 
 
+def _registered(spark: SparkSession) -> str:
+    """Make the format known to the session; its name there. A name that the first session of the
+    application holds cannot be used in another one, which then gets one of its own."""
+    try:
+        spark.dataSource.register(CaptureStream)
+        return CaptureStream.name()
+    except AnalysisException as error:
+        if error.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+            raise
+    name = f"{CaptureStream.name()}-{uuid.uuid4().hex}"
+    spark.dataSource.register(
+        type("CaptureStream", (CaptureStream,), {"name": classmethod(lambda _: name)}))
+    return name
+
+
 def packet_stream_pcap(spark: SparkSession, path: str, log: str, bad_records: str = "raise",
                        columns: Sequence[str] | None = None) -> DataFrame:
     """Packets of the capture files in a folder and of those that are added to it, as a stream.
@@ -122,8 +138,7 @@ def packet_stream_pcap(spark: SparkSession, path: str, log: str, bad_records: st
     if bad_records not in ("raise", "stop"):
         raise ValueError("bad_records is raise or stop")
     ship_package(spark)
-    spark.dataSource.register(CaptureStream)
-    reader = (spark.readStream.format("capture-stream").option("path", path).option("log", log)
+    reader = (spark.readStream.format(_registered(spark)).option("path", path).option("log", log)
               .option("badRecords", bad_records))
     if columns is not None:
         reader = reader.schema(StructType([CAPTURED[name] for name in columns]))

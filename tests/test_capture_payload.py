@@ -214,6 +214,13 @@ def test_stream_of_a_growing_folder_survives_a_failure(spark, tmp_path):
         *conversations.HEADER, "second", "packets")) == _seconds(want)
 
 
+def test_other_sessions_read_streams_too(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for session in (spark, spark.newSession(), spark.newSession()):
+        assert packet_stream_pcap(
+            session, str(tmp_path / "in"), str(tmp_path / "log"), columns=["ts"]).isStreaming
+
+
 def test_log_keeps_its_entries(tmp_path):
     log = FileLog(str(tmp_path / "log"))
     assert log.last() == 0 and log.files(0, 0) == []
