@@ -14,13 +14,13 @@ def _column(c: Column | str) -> Column:
 
 def ipv4_to_long(address: Column | str) -> Column:
     """Dotted IPv4 text as a number; anything else gives null."""
-    parts = F.split(_column(address), r"\.", -1)
-    octets = [F.get(parts, F.lit(i)).try_cast("long") for i in range(4)]
-    valid = F.size(parts) == 4
-    for octet in octets:
-        valid = valid & octet.between(0, 255)
-    value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    return F.when(valid, value)
+    # The address is named once: where it is an expression, each mention would compute it anew. A
+    # fifth part, or a part too few, gives a number that does not begin with the 1.
+    octets = F.transform(F.split(_column(address), r"\.", 5), lambda part: part.try_cast("long"))
+    return F.aggregate(
+        octets, F.lit(1).cast("long"),
+        lambda number, octet: F.when(octet.between(0, 255), number * 256 + octet),
+        lambda number: F.when(F.shiftright(number, 32) == 1, number - (1 << 32)))
 
 
 def long_to_ipv4(number: Column | str) -> Column:

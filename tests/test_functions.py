@@ -5,7 +5,7 @@ import random
 import statistics
 
 from pyspark.sql import functions as F
-from support import rows
+from support import plan, rows
 
 from floodlens import schemas
 from floodlens.functions.addresses import (
@@ -38,6 +38,22 @@ def test_networks(spark):
     assert got == [True, True, False, None]
 
 
+def test_an_address_is_taken_apart_once(spark):
+    """Also where it is an expression that a filter holds."""
+    frame = spark.range(3).select(F.concat(F.lit("145.58.0."), "id").alias("ip"))
+    found = frame.filter(in_network("ip", "145.58.0.0/16"))
+    filters = [line for line in plan(found).splitlines() if "Filter" in line]
+    assert found.count() == 3 and sum(line.count("split(") for line in filters) == 1
+
+
+def test_odd_parts_of_addresses(spark):
+    texts = [" 1.2.3.4", "1.2.3.4 ", "01.2.3.4", "+1.2.3.4", "-1.2.3.4", "1.2.3.", ".1.2.3", "1..2.3",
+             "1.2.3.4.", "1.2.3.4.5.6.7.8.9.10", "1.2.3.1e1", "1.2.3.99999999999999999999", "1.0.0.0.0"]
+    frame = spark.createDataFrame([(t,) for t in texts], "ip string")
+    first = (1 << 24) + (2 << 16) + (3 << 8) + 4
+    assert [r[0] for r in frame.select(ipv4_to_long("ip")).collect()] == [first] * 4 + [None] * 9
+
+
 def test_flag_bits(spark):
     frame = spark.createDataFrame([(0b100010010,)], "f int")
     got = frame.select(*[c.alias(n) for n, c in tcp_flag_columns("f").items()]).first().asDict()
