@@ -28,8 +28,8 @@ SERVICES = {
     "https": "tcp:443",
 }
 _TABLE_UP_TO = 2  # counted in one table per group instead of by distinct values
-PIECE_BYTES = 16 * 1024
-_CHUNK_BYTES = 16 * 1024 * 1024
+PIECE_BYTES = 4 * 1024
+_CHUNK_BYTES = 1024 * 1024  # some 25 bytes are held for each of them
 HELD_NGRAMS = 4_000_000  # distinct n-grams a task holds, 16 bytes each
 
 
@@ -120,7 +120,7 @@ def _counter(n: int, groups: list[str], held: int = HELD_NGRAMS) -> Callable[[It
 
     def rows(group: str, grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([group] * len(grams), pa.string()),
+            [pa.repeat(pa.scalar(group, pa.string()), len(grams)),
              pa.array(grams.astype(np.int64)), pa.array(counts.astype(np.int64))],
             names=["group", "ngram", "count"])
 

@@ -6,6 +6,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from support import rows
 
@@ -99,6 +100,20 @@ def test_memory_of_a_counter_is_bounded():
     assert largest <= limit and peak < 8 * 16 * limit
 
 
+def test_memory_does_not_grow_with_a_batch():
+    """Many payloads in one batch, as text of packets or of documents comes."""
+    data = np.random.default_rng(3).integers(97, 123, 24_000_000).astype(np.uint8).tobytes()
+    payloads = [data[at:at + 6000] for at in range(0, len(data), 6000)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(payloads, pa.binary()), pa.array([True] * len(payloads))], names=["p", "m"])
+    tracemalloc.start()
+    (got,) = ngrams._counter(2, [""])([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(got["count"].to_pylist()) == sum(len(p) - 2 for p in payloads)
+    assert peak < 48_000_000
+
+
 @pytest.mark.parametrize("n,k", [(1, 3), (3, 20), (3, 100_000), (5, 7)])
 def test_top_ngrams(spark, n, k):
     rng = random.Random(n)
