@@ -1,6 +1,7 @@
 """Capture files: payloads, chosen columns, pushed filters, and the stream of a growing folder."""
 
 import struct
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -214,6 +215,34 @@ def test_stream_of_a_growing_folder_survives_a_failure(spark, tmp_path):
         *conversations.HEADER, "second", "packets")) == _seconds(want)
 
 
+def test_memory_of_payloads_does_not_grow_with_a_batch(tmp_path):
+    """Written and read again, of all sizes, some larger than what is written at once."""
+    rng = np.random.default_rng(4)
+    sizes = [0, 1, 5, 65000, *rng.integers(0, 3000, 20_000).tolist()]
+    payloads = [rng.bytes(n) for n in sizes]
+    wanted = capture.Wanted((*schemas.PACKETS.names, "payload"))
+    known = {"payload": payloads, "ts": list(range(len(sizes))), "ip_proto": [17] * len(sizes),
+             "ip_total_length": [0] * len(sizes)}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(known.get(f.name, [None] * len(sizes)), f.type) for f in wanted.schema()],
+        schema=wanted.schema())
+    writer = capture.CaptureWriter(str(tmp_path), False)
+    tracemalloc.start()
+    file = writer.write(iter([batch, batch.slice(0, 0), batch.slice(3, 2)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    found, stamps = [], []
+    for part in capture.read_capture(str(tmp_path / "_temporary" / file.file),
+                                     wanted=capture.Wanted(("ts", "payload"))):
+        found.extend(map(hash, part["payload"].to_pylist()))
+        stamps.extend(part["ts"].to_pylist())
+    read_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert stamps == [*range(len(sizes)), 3, 4]
+    assert found == [hash(p) for p in [*payloads, *payloads[3:5]]]
+    assert peak < 48_000_000 and read_peak < 64_000_000
+
+
 def test_other_sessions_read_streams_too(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for session in (spark, spark.newSession(), spark.newSession()):
