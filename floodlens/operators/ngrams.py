@@ -28,8 +28,8 @@ SERVICES = {
     "https": "tcp:443",
 }
 _TABLE_UP_TO = 2  # counted in one table per group instead of by distinct values
-PIECE_BYTES = 4 * 1024
-_CHUNK_BYTES = 1024 * 1024  # some 25 bytes are held for each of them
+PIECE_BYTES = 256  # an Arrow batch is 10,000 rows by default, so some 2.6 MB however much a task reads
+_CHUNK_BYTES = 256 * 1024  # some 25 bytes are held for each of them
 HELD_NGRAMS = 4_000_000  # distinct n-grams a task holds, 16 bytes each
 
 

@@ -114,6 +114,35 @@ def test_memory_does_not_grow_with_a_batch():
     assert peak < 48_000_000
 
 
+def test_batches_do_not_grow_with_what_a_task_reads(spark):
+    """Long payloads in one task, 4 and 40 MB of them."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["size", "n"])
+
+    for payloads in (1_000, 10_000):
+        frame = spark.range(0, payloads, 1, 1).selectExpr(
+            "cast(repeat('0123456789abcdef', 256) as binary) as payload", "true as member")
+        found = ngrams._pieces(frame, 2).mapInArrow(sizes, "size long, n long").collect()
+        assert sum(r.n for r in found) >= payloads
+        assert 2_000_000 < max(r.size for r in found) < 4_000_000
+
+
+def test_memory_of_a_table_of_counts():
+    """Next to the batch, a task holds the table and what one chunk takes."""
+    data = np.random.default_rng(4).integers(97, 123, 2_500_000).astype(np.uint8).tobytes()
+    payloads = [data[at:at + 250] for at in range(0, len(data), 250)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(payloads, pa.binary()), pa.array([True] * len(payloads))], names=["p", "m"])
+    tracemalloc.start()
+    (got,) = ngrams._counter(2, [""])([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(got["count"].to_pylist()) == sum(len(p) - 2 for p in payloads)
+    assert peak < 12_000_000
+
+
 @pytest.mark.parametrize("n,k", [(1, 3), (3, 20), (3, 100_000), (5, 7)])
 def test_top_ngrams(spark, n, k):
     rng = random.Random(n)
